@@ -279,7 +279,8 @@ def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, s
             by_doc = rows.assign(topic=None, docs=1, loss=loss, grad=list(by_weight))
             yield by_doc
             sums = {"topic": range(by_topic.shape[1]), "docs": len(rows), "grad": list(by_topic.T)}
-            yield pd.DataFrame(sums).reindex(columns=by_doc.columns)
+            nulls = dict.fromkeys(by_doc.columns)
+            yield pd.DataFrame({**nulls, **sums})
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInPandas(
