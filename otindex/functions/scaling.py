@@ -131,7 +131,9 @@ def barycenters(K, A, W, max_iter, tol, debias=False, trail=None):
         _, u, _, b, v = _half_rounds(K, a, W[live], v0, d0)
         with np.errstate(all="ignore"):
             d1 = np.sqrt(d0 * b / (K @ d0)) if debias else d0
-            gap = np.sqrt(((a - u * _product(K, v)) ** 2).sum(axis=(0, 2)))
+            gap = ((a - u * _product(K, v)) ** 2).sum(axis=(0, 2))
+            # the marginals may fit while the correction still moves
+            gap = np.sqrt(gap + ((d1 - d0) ** 2).sum(axis=0))
         good = np.isfinite(v).all(axis=(0, 2)) & np.isfinite(d1).all(axis=0) & np.isfinite(gap)
         status[live[~good]] = NONFINITE  # the previous round stays
         kept = live[good]
@@ -167,9 +169,10 @@ def barycenter_log(C, A, w, eps, max_iter, tol, debias=False):
         if not (np.isfinite(v).all() and np.isfinite(d).all()):
             status = NONFINITE
             break
+        moved = ((np.exp(d) - np.exp(log_d)) ** 2).sum()
         log_v, log_d, log_b, rounds = v, d, b, rounds + 1
         kv = smooth(C, log_v)
-        error = float(np.sqrt(((A - np.exp(log_u + kv)) ** 2).sum()))
+        error = float(np.sqrt(((A - np.exp(log_u + kv)) ** 2).sum() + moved))
         if error < tol:
             status = CONVERGED
             break

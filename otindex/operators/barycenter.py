@@ -177,15 +177,22 @@ class _Relational:
             "group_id", "j", ((F.col("d") + F.col("x") - F.col("kd")) / 2).alias("x")
         )
 
-    def gap(self, log_u, log_v) -> DataFrame:
+    def gap(self, log_u, log_v, log_d=None, before=None) -> DataFrame:
+        """Error per group: gap in the atoms' marginals and, with ``log_d``, the last move of d."""
         reached = smooth(log_v, self.kernel, "j", "i", MEMBER, self.domain).withColumnRenamed("x", "s")
         gap = F.exp("log_p") - F.exp(F.col("x") + F.col("s"))
-        return (
+        squares = (
             self.atoms.join(log_u, [*MEMBER, "i"])
             .join(reached, [*MEMBER, "i"])
-            .groupBy("group_id")
-            .agg(F.sqrt(F.sum(gap * gap)).alias("error"))
+            .select("group_id", (gap * gap).alias("square"))
         )
+        if log_d is not None:
+            old = F.lit(0.0).alias("old") if before is None else F.col("x").alias("old")
+            start = (log_d if before is None else before).select("group_id", "j", old)
+            move = F.exp("x") - F.exp("old")
+            moves = log_d.join(start, ["group_id", "j"])
+            squares = squares.unionByName(moves.select("group_id", (move * move).alias("square")))
+        return squares.groupBy("group_id").agg(F.sqrt(F.sum("square")).alias("error"))
 
     @staticmethod
     def _values(log_b: DataFrame) -> DataFrame:
@@ -196,8 +203,9 @@ class _Relational:
         self.eager = tol > 0 or max_iter > 3
         if tol <= 0:
             for _ in range(max_iter):
+                old_d = log_d
                 log_u, log_b, log_v, log_d = self.round(log_v, log_d)
-            status = self.gap(log_u, log_v).select(
+            status = self.gap(log_u, log_v, log_d, old_d).select(
                 "group_id", F.lit(sc.MAX_ITER).alias("status"),
                 F.lit(max_iter).alias("iterations"), "error",
             )
@@ -211,6 +219,7 @@ class _Relational:
         while True:
             before = log_b
             for _ in range(min(check_every, max_iter - rounds)):
+                old_d = log_d
                 log_u, log_b, log_v, log_d = self.round(log_v, log_d)
                 rounds += 1
             log_b, log_u, log_v = materialize(log_b), materialize(log_u), materialize(log_v)
@@ -222,7 +231,7 @@ class _Relational:
                 .when(F.lit(last), sc.MAX_ITER)
             )
             checked = materialize(
-                self.gap(log_u, log_v).select(
+                self.gap(log_u, log_v, log_d, old_d).select(
                     "group_id", status.alias("status"), F.lit(rounds).alias("iterations"), "error"
                 )
             )
