@@ -245,15 +245,19 @@ def batch_gradient(
     logits = collect_topics(topics, dense)
     docs = pack(distributions, "doc_id", "word_id").join(weights, "doc_id")
     rows = gradient_rows(docs.repartition(tasks(docs), "doc_id"), dense, logits, settings)
-    return topic_gradient(rows, dense), rows.where("topic is null").select(
+    return topic_gradient(rows).drop("loss"), rows.where("topic is null").select(
         "doc_id", "loss", F.col("grad")
     )
 
 
 def collect_topics(topics: DataFrame, dense: DenseCost) -> np.ndarray:
     """Topic logits as a words x topics array; bounded by the checked number of words."""
-    table = topics.select("topic", "word_id", "logit").toArrow()
-    topic, word, logit = (table.column(n).to_numpy() for n in ("topic", "word_id", "logit"))
+    return topic_matrix(topics.select("topic", "word_id", "logit").toArrow(), dense)
+
+
+def topic_matrix(table, dense: DenseCost, value: str = "logit") -> np.ndarray:
+    """The same from an Arrow table."""
+    topic, word, logit = (table.column(n).to_numpy() for n in ("topic", "word_id", value))
     out = np.zeros((len(dense.ids), int(topic.max()) + 1))
     out[dense.at(word), topic] = logit
     return out
@@ -261,9 +265,9 @@ def collect_topics(topics: DataFrame, dense: DenseCost) -> np.ndarray:
 
 def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, settings) -> DataFrame:
     """The packed documents ``(doc_id, idx, p, logits, ...)`` with their loss and weight gradient,
-    and per Arrow chunk and topic one row with the summed topic gradient.
+    and per Arrow chunk and topic one row with the summed loss and topic gradient.
 
-    ``topic`` is null in document rows; all document columns are null in topic rows.
+    ``topic`` is null in document rows; in topic rows ``idx`` and ``grad`` run over all words.
     """
     shared = dense.share(docs)
     model = docs.sparkSession.sparkContext.broadcast(topic_logits)
@@ -278,7 +282,9 @@ def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, s
             loss, by_weight, by_topic = document_gradients(ground, K, topics, logits, Y, settings)
             by_doc = rows.assign(topic=None, docs=1, loss=loss, grad=list(by_weight))
             yield by_doc
-            sums = {"topic": range(by_topic.shape[1]), "docs": len(rows), "grad": list(by_topic.T)}
+            topics_here = by_topic.shape[1]
+            sums = {"idx": [ground.ids] * topics_here, "topic": range(topics_here),
+                    "docs": len(rows), "loss": loss.sum(), "grad": list(by_topic.T)}
             nulls = dict.fromkeys(by_doc.columns)
             yield pd.DataFrame({**nulls, **sums})
 
@@ -288,13 +294,14 @@ def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, s
     )
 
 
-def topic_gradient(rows: DataFrame, dense: DenseCost) -> DataFrame:
-    """``(topic, word_id, grad)``: chunk sums added up and divided by the number of documents."""
-    ids = dense.ids.tolist()
+def topic_gradient(rows: DataFrame) -> DataFrame:
+    """``(topic, word_id, grad, loss)``: chunk sums added up and divided by the number of documents."""
     return (
         rows.where("topic is not null")
-        .select("topic", "docs", F.posexplode("grad").alias("at", "part"))
-        .groupBy("topic", "at")
-        .agg((F.sum("part") / F.sum("docs")).alias("grad"))
-        .select("topic", F.get(F.lit(ids), F.col("at")).cast("int").alias("word_id"), "grad")
+        .select("topic", "docs", "loss", F.inline(F.arrays_zip(F.col("idx").alias("word_id"), "grad")))
+        .groupBy("topic", "word_id")
+        .agg(
+            (F.sum("grad") / F.sum("docs")).alias("grad"),
+            (F.sum("loss") / F.sum("docs")).alias("loss"),
+        )
     )

@@ -51,6 +51,7 @@ class DenseCost:
 
     ids: np.ndarray
     matrix: np.ndarray
+    _shared: Broadcast | None = None
 
     @classmethod
     def collect(cls, cost: DataFrame, limit: int = DENSE_WORDS) -> DenseCost:
@@ -65,8 +66,10 @@ class DenseCost:
         return cls(ids, matrix)
 
     def share(self, df: DataFrame) -> Broadcast:
-        """Broadcast the arrays; rebuild with ``DenseCost(*shared.value)`` inside a task."""
-        return df.sparkSession.sparkContext.broadcast((self.ids, self.matrix))
+        """Broadcast the arrays, once; rebuild with ``DenseCost(*shared.value)`` inside a task."""
+        if self._shared is None:
+            self._shared = df.sparkSession.sparkContext.broadcast((self.ids, self.matrix))
+        return self._shared
 
     @cached_property
     def finite(self) -> np.ndarray:

@@ -3,6 +3,9 @@
 A document is one row, so everything about a single document (its words, its word counts, its
 length) is computed inside that row and needs no shuffle. Only statistics over the corpus, and
 the merge of out-of-vocabulary words, exchange data.
+
+Arrays are opened with the outer generators and a null filter: for the plain ones the optimizer
+adds a filter on the array's size, which would split and sort every text a second time.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ def remove_stopwords(
 
 def explode_tokens(tokenized: DataFrame) -> DataFrame:
     """One row ``(doc_id, pos, token)`` per word occurrence."""
-    return tokenized.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return tokenized.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).where(
+        "token is not null"
+    )
 
 
 def word_counts(tokenized: DataFrame) -> DataFrame:
@@ -40,13 +45,14 @@ def word_counts(tokenized: DataFrame) -> DataFrame:
     Each token array is sorted and cut into runs of equal words within its own row.
     """
     return (
-        tokenized.select("doc_id", F.array_sort("tokens").alias("_sorted"))
+        tokenized.select("doc_id", F.sort_array("tokens").alias("_sorted"))
         .withColumn("_starts", tx.run_starts(F.col("_sorted")))
         .select(
             "doc_id",
             F.size("_sorted").cast("long").alias("n_tokens"),
-            F.inline(tx.run_lengths(F.col("_sorted"), F.col("_starts"))),
+            F.inline_outer(tx.run_lengths(F.col("_sorted"), F.col("_starts"))),
         )
+        .where("word is not null")
     )
 
 
@@ -57,7 +63,8 @@ def build_vocabulary(tokenized: DataFrame, min_count: int = 5) -> DataFrame:
     one row per task. Ids are dense and come from a range partitioning.
     """
     frequent = (
-        tokenized.select(F.explode("tokens").alias("word"))
+        tokenized.select(F.explode_outer("tokens").alias("word"))
+        .where("word is not null")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("freq"))
         .where(F.col("freq") >= min_count)

@@ -32,7 +32,7 @@ from otindex.operators.ground import (
     tasks,
 )
 from otindex.operators.text import pack
-from otindex.session import SALTS, broadcast_if_small, materialize
+from otindex.session import BROADCAST_ROWS, SALTS, broadcast_if_small, materialize
 
 #: Doubles one task may hold for one stack of problems.
 STACK_VALUES = 4_000_000
@@ -40,10 +40,11 @@ STACK_VALUES = 4_000_000
 
 @dataclass(frozen=True)
 class Solution:
-    """Result rows and one status row per problem."""
+    """Result rows and one status row per problem; for transport also both costs per problem."""
 
     values: DataFrame
     status: DataFrame
+    costs: DataFrame | None = None
 
 
 def pair_problems(
@@ -59,9 +60,9 @@ def pair_problems(
     def side(name: str, dist: DataFrame) -> DataFrame:
         packed = materialize(pack(dist, "id", "idx"))
         link = pairs.select("problem_id", F.col(name).alias("id"))
-        small = broadcast_if_small(packed, 10_000)
-        if small is not packed:
-            joined = link.join(small, "id")
+        entries = packed.agg(F.sum(F.size("idx"))).first()[0] or 0
+        if entries <= BROADCAST_ROWS:
+            joined = link.join(F.broadcast(packed), "id")
         else:
             salted = link.withColumn("_salt", F.pmod(F.xxhash64("problem_id"), F.lit(SALTS)))
             copies = packed.withColumn(
@@ -128,23 +129,33 @@ def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
         U, V, status, rounds, error = sc.scale_pairs(
             K, stack(ground, rows, "a"), stack(ground, rows, "b"), max_iter, tol
         )
-        with np.errstate(divide="ignore"):
-            F_, G = eps * np.log(U), eps * np.log(V)
+        # off the support U and V are zero, and so is what they contribute to the costs
+        f = eps * np.log(U, where=U > 0, out=np.zeros_like(U))
+        g = eps * np.log(V, where=V > 0, out=np.zeros_like(V))
+        linear = (U * ((K * ground.finite) @ V)).sum(axis=0)
+        # cost + eps * mass * (log mass - 1) sums mass * (f + g - eps)
+        by_f = (U * (K @ V) * (f - eps)).sum(axis=0)
+        by_g = (V * (K.T @ U) * g).sum(axis=0)
         for s in range(len(rows)):
             ia, ib = ground.at(rows["idx_a"].iloc[s]), ground.at(rows["idx_b"].iloc[s])
-            yield F_[ia, s], G[ib, s], status[s], int(rounds[s]), float(error[s])
+            moved = float(linear[s]), float(by_f[s] + by_g[s])
+            yield f[ia, s], g[ib, s], status[s], int(rounds[s]), float(error[s]), *moved
 
     def solve_log(rows, ground):
         for ia, pa, ib, pb in zip(rows["idx_a"], rows["p_a"], rows["idx_b"], rows["p_b"]):
             C = ground.matrix[np.ix_(ground.at(ia), ground.at(ib))]
-            yield sc.scale_pair_log(C, np.asarray(pa), np.asarray(pb), eps, max_iter, tol)
+            solved = sc.scale_pair_log(C, np.asarray(pa), np.asarray(pb), eps, max_iter, tol)
+            level = solved[0][:, None] + solved[1][None, :]
+            mass = np.exp((level - C) / eps)
+            linear = (mass * np.where(mass > 0, C, 0.0)).sum()
+            yield *solved, float(linear), float((mass * (level - eps)).sum())
 
     def solve(batches):
         ground = DenseCost(*shared.value)
         K = ground.kernel(eps)
         for rows in chunks(batches, width):
             solved = solve_exp(rows, ground, K) if domain == "exp" else solve_log(rows, ground)
-            f, g, status, rounds, error = zip(*solved)
+            f, g, status, rounds, error, linear, regularized = zip(*solved)
             yield pd.DataFrame(
                 {
                     "problem_id": rows["problem_id"].to_numpy(),
@@ -155,6 +166,8 @@ def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
                     "status": status,
                     "iterations": rounds,
                     "error": error,
+                    "linear": linear,
+                    "regularized": regularized,
                 }
             )
 
@@ -162,7 +175,7 @@ def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
     solved = packed_pairs(a, b).mapInPandas(
         solve,
         f"problem_id {key}, idx_a array<int>, f array<double>, idx_b array<int>, g array<double>,"
-        " status string, iterations int, error double",
+        " status string, iterations int, error double, linear double, regularized double",
     )
 
     sides = F.array(
@@ -172,7 +185,11 @@ def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
     values = solved.select("problem_id", F.inline(sides)).select(
         "problem_id", "side", F.inline("entries")
     )
-    return Solution(values, solved.select("problem_id", "status", "iterations", "error"))
+    return Solution(
+        values,
+        solved.select("problem_id", "status", "iterations", "error"),
+        solved.select("problem_id", "linear", "regularized"),
+    )
 
 
 # --- relational ------------------------------------------------------------------------------
@@ -338,6 +355,21 @@ def transport_plan(potentials: DataFrame, cost: DataFrame, eps: float) -> DataFr
     )
 
 
+def solved_cost(
+    solution: Solution, cost: DataFrame, eps: float, kind: str = "linear"
+) -> DataFrame:
+    """``(problem_id, cost)`` of a solution.
+
+    Batched solutions carry their costs, so no coupling is ever laid out; for relational ones
+    the coupling is joined and summed.
+    """
+    if kind not in ("linear", "regularized"):
+        raise ValueError("kind must be 'linear' or 'regularized'")
+    if solution.costs is None:
+        return transport_cost(transport_plan(solution.values, cost, eps), kind, eps)
+    return solution.costs.select("problem_id", F.col(kind).alias("cost"))
+
+
 def transport_cost(plan: DataFrame, kind: str = "linear", eps: float | None = None) -> DataFrame:
     """``(problem_id, cost)``: mass times cost, or that plus ``eps * mass * (log mass - 1)``."""
     spent = F.col("mass") * F.col("cost")

@@ -2,8 +2,10 @@
 
 Documents and their weights stay distributed. One optimizer step is one pass over one batch:
 tasks fit their documents and add up topic gradients, Spark sums those, and the updates of topics
-and weights are projections. Each step reads and writes tables in the shared folder, so a lost
-executor costs one step at most and no lineage builds up.
+and weights are projections. Each step writes its documents to the shared folder and the next
+epoch reads them from there, so a lost executor costs one step at most and no lineage builds up.
+Only the topics, whose size is the checked number of words times the number of topics, pass
+through the driver, from which every step broadcasts them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from otindex.operators.gradients import (
     gradient_rows,
     softmax,
     topic_gradient,
+    topic_matrix,
 )
 from otindex.operators.ground import DenseCost, chunks, tasks
 from otindex.operators.linalg import softmax as softmax_table
@@ -88,7 +91,7 @@ def fit(
     start = spark.read.parquet(f"{folder}/start")
     batches = (start.agg(F.max("batch")).first()[0] or 0) + 1
     training = _Training(spark, folder, dense, spec, docs.columns)
-    training.topics = training.keep(initial_topics(cost, spec), "topics-0")
+    training.topics = initial_topics(cost, spec).toArrow()
     for epoch in range(spec.epochs):
         for batch in range(batches):
             source = (
@@ -106,23 +109,23 @@ class _Training:
     def __init__(self, spark, folder, dense, spec, columns):
         self.spark, self.folder, self.dense, self.spec = spark, folder, dense, spec
         self.columns = columns
-        self.topics = None
+        self.topics = self.schema = None
         self.steps = 0
         self.losses = []
         self.offset = self._no_offset()
 
     def keep(self, table: DataFrame, name: str) -> DataFrame:
         table.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(table.schema).parquet(f"{self.folder}/{name}")
 
     def documents(self, epoch: int, batch: int) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.folder}/step-{epoch}-{batch}")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/step-{epoch}-{batch}")
         return rows.where("topic is null").select(*self.columns)
 
     def step(self, docs: DataFrame, epoch: int, batch: int) -> float:
         spec = self.spec
         self.steps += 1
-        logits = collect_topics(self.topics.withColumnRenamed("value", "logit"), self.dense)
+        logits = topic_matrix(self.topics, self.dense, "value")
         if spec.weight_grad == "shared":
             docs = docs.withColumn("own", F.col("logits")).withColumn("logits", self._shifted("logits"))
         rows = gradient_rows(docs.repartition(tasks(docs)), self.dense, logits, spec)
@@ -131,13 +134,17 @@ class _Training:
         else:
             rows = self._moved(rows, epoch + 1)
         rows = self.keep(rows, f"step-{epoch}-{batch}")
-        grads = topic_gradient(rows, self.dense)
-        self.topics = self.keep(
-            self._update(self.topics, grads, ["topic", "word_id"]), f"topics-{self.steps}"
+        self.schema = rows.schema
+        grads = topic_gradient(rows)
+        state = self.spark.createDataFrame(self.topics)
+        moved = self._update(state, grads, ["topic", "word_id"]).join(
+            grads.select("topic", "word_id", "loss"), ["topic", "word_id"]
         )
+        fetched = moved.toArrow()
+        loss = fetched.column("loss")[0].as_py()
+        self.topics = fetched.drop_columns(["loss"])
         if spec.weight_grad == "shared":
             self._move_offset(rows)
-        loss = rows.where("topic is null").agg(F.avg("loss")).first()[0]
         self.losses.append((self.steps, epoch, batch, loss))
         return loss
 
@@ -199,9 +206,11 @@ class _Training:
 
     def model(self, epoch: int, batches: int) -> DictionaryModel:
         paths = [f"{self.folder}/step-{epoch}-{batch}" for batch in range(batches)]
-        final = self.spark.read.parquet(*paths).where("topic is null")
+        final = self.spark.read.schema(self.schema).parquet(*paths).where("topic is null")
         logits = self._shifted("logits") if self.spec.weight_grad == "shared" else F.col("logits")
-        topics = self.topics.select(F.col("word_id").alias("i"), F.col("topic").alias("j"), "value")
+        topics = self.spark.createDataFrame(self.topics).select(
+            F.col("word_id").alias("i"), F.col("topic").alias("j"), "value"
+        )
         return DictionaryModel(
             topics=softmax_table(topics).select(
                 F.col("j").alias("topic"), F.col("i").alias("word_id"), F.col("value").alias("p")

@@ -50,8 +50,8 @@ def working_folder(spark: SparkSession, label: str) -> str:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows; never counts further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """True if ``df`` has no more than ``rows`` rows (a distributed count)."""
+    return df.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 from otindex.operators import gradients as gr
 from otindex.operators.barycenter import barycenter
 from otindex.operators.ground import choose_domain, choose_strategy
-from otindex.operators.transport import pair_problems, sinkhorn, transport_cost, transport_plan
+from otindex.operators.transport import (
+    pair_problems,
+    sinkhorn,
+    solved_cost,
+    transport_cost,
+    transport_plan,
+)
 
 PAIR = ([[0.4, 0.6]], [[0.8, 0.2]], [[0.1, 0.5], [0.5, 0.1]])
 PLAN = {(0, 0): 0.3999329524, (0, 1): 0.0000670476, (1, 0): 0.4000670476, (1, 1): 0.1999329524}
@@ -32,6 +38,9 @@ def test_one_pair(make, strategy, domain):
     assert transport_cost(plan).first().cost == pytest.approx(0.2600536380, abs=1e-9)
     entropic = transport_cost(plan, "regularized", 0.1).first().cost
     assert entropic == pytest.approx(0.0545012762, abs=1e-9)
+    for kind, expected in (("linear", 0.2600536380), ("regularized", 0.0545012762)):
+        carried = solved_cost(solution, cost, 0.1, kind).first().cost
+        assert carried == pytest.approx(expected, abs=1e-9)
     status = solution.status.first()
     assert status.status == "converged" and status.error < 1e-12
 
@@ -87,7 +96,7 @@ def test_sparse_supports_and_marginals(make):
 @pytest.mark.parametrize("salted", [False, True])
 def test_many_pairs_share_one_histogram(spark, make, monkeypatch, salted):
     if salted:
-        monkeypatch.setattr("otindex.operators.transport.broadcast_if_small", lambda df, rows=0: df)
+        monkeypatch.setattr("otindex.operators.transport.BROADCAST_ROWS", 0)
     dist = make.histograms([[0.5, 0.5], [0.1, 0.9]], "id")
     pairs = spark.createDataFrame([(n, n % 2, 0) for n in range(40)], "problem_id bigint, a_id bigint, b_id bigint")
     a, b = pair_problems(pairs, dist, dist)

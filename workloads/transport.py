@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from otindex.operators import embeddings as emb
 from otindex.operators import gradients as gr
+from otindex.operators import text as tx
 from otindex.operators.barycenter import barycenter
-from otindex.operators.transport import pair_problems, sinkhorn, transport_cost, transport_plan
+from otindex.operators.distance import pairwise_distance
+from otindex.operators.transport import (
+    pair_problems,
+    sinkhorn,
+    solved_cost,
+    transport_cost,
+    transport_plan,
+)
+from otindex.session import materialize
 from workloads.tables import (
     EPS,
     KERNEL,
     PROFILES,
+    WORDS,
     nation_members,
     profiles,
     quantity_cost,
     rounded,
     supplier_pairs,
+    table,
+    tokenized,
+    vocabulary_sql,
 )
 
 EXACT = dict(max_iter=400, tol=1e-13)
 
+#: Smoothing for costs between unit word vectors, and the least frequency of their words.
+WORD_EPS, FREQUENT = 0.5, 500
+
 
 def _problems(spark, sf_dir):
     return pair_problems(
@@ -71,7 +88,12 @@ def cost_regularized_3(spark, sf_dir):
 
 def sinkhorn_converged(spark, sf_dir):
     solution, cost = _converged(spark, sf_dir)
-    return rounded(transport_cost(transport_plan(solution.values, cost, EPS)), "cost")
+    return rounded(solved_cost(solution, cost, EPS), "cost")
+
+
+def regularized_converged(spark, sf_dir):
+    solution, cost = _converged(spark, sf_dir)
+    return rounded(solved_cost(solution, cost, EPS, "regularized"), "cost")
 
 
 def sinkhorn_status(spark, sf_dir):
@@ -133,6 +155,28 @@ def _jacobian(wrt):
     return query
 
 
+def document_transport(spark, sf_dir):
+    """Each document against all documents of its source, over frequent words with a vector."""
+    documents = table(spark, sf_dir, "documents")
+    tok = tokenized(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("int").alias("word_id"), F.col("embedding").alias("vec")
+    )
+    ranked = tx.build_vocabulary(tok, FREQUENT).join(vectors, "word_id")
+    words = materialize(emb.attach_vectors(ranked.drop("vec"), ranked.select("word", "vec")))
+    cost = materialize(pairwise_distance(words))
+    counts = tx.lookup_words(tx.word_counts(tok), words).where("word_id is not null")
+    counts = materialize(counts.join(documents.select("doc_id", "source"), "doc_id"))
+    by_doc = tx.distribution(counts, "doc_id", "word_id", "count").withColumnRenamed("doc_id", "id")
+    by_source = tx.distribution(counts, "source", "word_id", "count").withColumnRenamed("source", "id")
+    pairs = documents.select(
+        F.col("doc_id").alias("problem_id"), F.col("doc_id").alias("a_id"), F.col("source").alias("b_id")
+    )
+    a, b = pair_problems(pairs, by_doc, by_source)
+    solution = sinkhorn(a, b, cost, WORD_EPS, **EXACT)
+    return rounded(solved_cost(solution, cost, WORD_EPS), "cost")
+
+
 QUERIES = {
     "sinkhorn_3": sinkhorn_3,
     "sinkhorn_log_2": sinkhorn_log_2,
@@ -140,6 +184,7 @@ QUERIES = {
     "cost_linear_3": cost_linear_3,
     "cost_regularized_3": cost_regularized_3,
     "sinkhorn_converged": sinkhorn_converged,
+    "regularized_converged": regularized_converged,
     "sinkhorn_status": sinkhorn_status,
     "sinkhorn_gradient": sinkhorn_gradient,
     "sinkhorn_gradient_linear": sinkhorn_gradient_linear,
@@ -153,18 +198,13 @@ QUERIES = {
     "barycenter_status": barycenter_status,
     "barycenter_jacobian_weights": _jacobian("weights"),
     "barycenter_jacobian_atoms": _jacobian("atoms"),
+    "document_transport": document_transport,
 }
 
 
-def _pairs_sql(rounds: int) -> str:
-    """``u`` and ``v`` after the given number of rounds, one table per half round."""
-    steps = [
-        """a AS MATERIALIZED (SELECT id AS problem_id, idx AS i, p FROM profile),
-b AS MATERIALIZED (
-  SELECT s_suppkey AS problem_id, idx AS j, p FROM supplier JOIN nation_profile ON id = s_nationkey
-),
-v0 AS (SELECT problem_id, j, 1.0 AS v FROM b)"""
-    ]
+def _rounds_sql(rounds: int) -> str:
+    """Scalings ``u`` and ``v`` of the problems in ``a`` and ``b``, one table per half round."""
+    steps = ["v0 AS (SELECT problem_id, j, 1.0 AS v FROM b)"]
     for r in range(1, rounds + 1):
         steps.append(f"""
 u{r} AS MATERIALIZED (
@@ -177,7 +217,17 @@ v{r} AS MATERIALIZED (
     SELECT problem_id, j, sum(k * u) AS s FROM u{r} JOIN kernel USING (i) GROUP BY 1, 2
   ) USING (problem_id, j)
 )""")
-    return f"WITH {PROFILES}, {KERNEL}, {', '.join(steps)}"
+    return ", ".join(steps)
+
+
+def _pairs_sql(rounds: int) -> str:
+    """Suppliers against their nations."""
+    return f"""WITH {PROFILES}, {KERNEL},
+a AS MATERIALIZED (SELECT id AS problem_id, idx AS i, p FROM profile),
+b AS MATERIALIZED (
+  SELECT s_suppkey AS problem_id, idx AS j, p FROM supplier JOIN nation_profile ON id = s_nationkey
+),
+{_rounds_sql(rounds)}"""
 
 
 def _potentials_sql(rounds: int) -> str:
@@ -199,6 +249,10 @@ plan AS (
 _LINEAR = "SELECT problem_id, round(sum(mass * cost), 6) AS cost FROM plan GROUP BY 1"
 
 
+_REGULARIZED = f"""
+SELECT problem_id, round(sum(mass * cost + {EPS} * mass * (ln(mass) - 1)), 6) AS cost FROM plan GROUP BY 1"""
+
+
 def _barycenter_sql(rounds: int, debias: bool, digits: int) -> str:
     steps = [
         """atom AS MATERIALIZED (SELECT group_id, member, weight, idx AS i, p FROM weight JOIN profile ON id = member),
@@ -233,17 +287,45 @@ d{r} AS MATERIALIZED (
 SELECT group_id, j AS idx, round(b, {digits}) AS p FROM b{rounds}"""
 
 
+_DOCUMENTS = f"""WITH {WORDS}, {vocabulary_sql(FREQUENT)},
+ranked AS (SELECT word_id, word, embedding FROM vocabulary JOIN embeddings ON vec_id = word_id),
+axis AS (
+  SELECT word_id, generate_subscripts(embedding, 1) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM ranked
+),
+kernel AS MATERIALIZED (
+  SELECT l.word_id AS i, r.word_id AS j, sum(pow(l.x - r.x, 2)) AS cost,
+    exp(-sum(pow(l.x - r.x, 2)) / {WORD_EPS}) AS k
+  FROM axis l JOIN axis r ON l.place = r.place GROUP BY 1, 2
+),
+counted AS MATERIALIZED (
+  SELECT w.doc_id, source, word_id, count(*) AS n
+  FROM words w JOIN ranked ON token = word JOIN documents d ON d.doc_id = w.doc_id GROUP BY 1, 2, 3
+),
+a AS MATERIALIZED (
+  SELECT doc_id AS problem_id, word_id AS i, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM counted
+),
+by_source AS (SELECT source, word_id, sum(n) AS n FROM counted GROUP BY 1, 2),
+shares AS (SELECT source, word_id, n / sum(n) OVER (PARTITION BY source) AS p FROM by_source),
+b AS MATERIALIZED (
+  SELECT doc_id AS problem_id, word_id AS j, p
+  FROM (SELECT DISTINCT doc_id, source FROM counted) JOIN shares USING (source)
+),
+{_rounds_sql(40)},
+plan AS (
+  SELECT problem_id, i, j, u * k * v AS mass, cost
+  FROM u40 JOIN kernel USING (i) JOIN v40 USING (problem_id, j)
+)
+{_LINEAR}"""
+
 ORACLES = {
+    "document_transport": _DOCUMENTS,
     "sinkhorn_3": _potentials_sql(3),
     "sinkhorn_log_2": _potentials_sql(2),
     "plan_3": _plan_sql(3, "SELECT problem_id, i, j, round(mass, 9) AS mass FROM plan"),
     "cost_linear_3": _plan_sql(3, _LINEAR),
-    "cost_regularized_3": _plan_sql(
-        3,
-        f"SELECT problem_id, round(sum(mass * cost + {EPS} * mass * (ln(mass) - 1)), 6) AS cost"
-        " FROM plan GROUP BY 1",
-    ),
+    "cost_regularized_3": _plan_sql(3, _REGULARIZED),
     "sinkhorn_converged": _plan_sql(80, _LINEAR),
+    "regularized_converged": _plan_sql(80, _REGULARIZED),
     "sinkhorn_gradient": f"""{_pairs_sql(80)}
 SELECT problem_id, i, round({EPS} * (ln(u) - avg(ln(u)) OVER (PARTITION BY problem_id)), 4) + 0.0 AS grad FROM u80""",
     "barycenter_3": _barycenter_sql(3, False, 8),
