@@ -79,8 +79,12 @@ class DenseCost:
         return np.exp(-self.matrix / eps)
 
     def at(self, idx) -> np.ndarray:
-        """Positions of index values."""
-        return np.searchsorted(self.ids, np.asarray(idx))
+        """Positions of index values, all of which must occur in the cost."""
+        idx = np.asarray(idx)
+        found = np.minimum(np.searchsorted(self.ids, idx), len(self.ids) - 1)
+        if not np.array_equal(self.ids[found], idx):
+            raise ValueError("a histogram uses an index that the cost does not have")
+        return found
 
     def column(self, idx, p) -> np.ndarray:
         """A dense histogram from its sparse arrays."""

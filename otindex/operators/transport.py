@@ -47,31 +47,64 @@ class Solution:
     costs: DataFrame | None = None
 
 
+def _attach(link: DataFrame, dist: DataFrame, side: str) -> DataFrame:
+    """Put the packed histogram of ``{side}_id`` on every row of ``link``.
+
+    Many rows may share one histogram. Histograms are packed to one row each and either broadcast
+    after a size check or joined on a salted key, so an id used by a third of all pairs is spread
+    over tasks.
+    """
+    packed = materialize(pack(dist.where(F.col("p") > 0), "id", "idx")).select(
+        F.col("id").alias(f"{side}_id"), F.col("idx").alias(f"idx_{side}"), F.col("p").alias(f"p_{side}")
+    )
+    entries = packed.agg(F.sum(F.size(f"idx_{side}"))).first()[0] or 0
+    if entries <= BROADCAST_ROWS:
+        return link.join(F.broadcast(packed), f"{side}_id")
+    salt = F.pmod(F.xxhash64("problem_id"), F.lit(SALTS)).cast("int")
+    copies = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return link.withColumn("_salt", salt).join(copies, [f"{side}_id", "_salt"]).drop("_salt")
+
+
 def pair_problems(
     pairs: DataFrame, dist_a: DataFrame, dist_b: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Histograms ``(problem_id, idx, p)`` of both sides of ``pairs(problem_id, a_id, b_id)``.
 
-    Distributions are ``(id, idx, p)``. Many pairs may share one histogram: histograms are packed
-    to one row each and either broadcast after a size check or joined on a salted key, so an id
-    used by a third of all pairs is spread over tasks.
+    Distributions are ``(id, idx, p)``.
     """
+    return tuple(
+        _attach(pairs.select("problem_id", f"{side}_id"), dist, side).select(
+            "problem_id",
+            F.inline(F.arrays_zip(F.col(f"idx_{side}").alias("idx"), F.col(f"p_{side}").alias("p"))),
+        )
+        for side, dist in (("a", dist_a), ("b", dist_b))
+    )
 
-    def side(name: str, dist: DataFrame) -> DataFrame:
-        packed = materialize(pack(dist, "id", "idx"))
-        link = pairs.select("problem_id", F.col(name).alias("id"))
-        entries = packed.agg(F.sum(F.size("idx"))).first()[0] or 0
-        if entries <= BROADCAST_ROWS:
-            joined = link.join(F.broadcast(packed), "id")
-        else:
-            salted = link.withColumn("_salt", F.pmod(F.xxhash64("problem_id"), F.lit(SALTS)))
-            copies = packed.withColumn(
-                "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-            )
-            joined = salted.join(copies, ["id", "_salt"])
-        return joined.select("problem_id", F.inline(F.arrays_zip("idx", "p")))
 
-    return side("a_id", dist_a), side("b_id", dist_b)
+def sinkhorn_pairs(
+    pairs: DataFrame,
+    dist_a: DataFrame,
+    dist_b: DataFrame,
+    cost: DataFrame,
+    eps: float,
+    max_iter: int = 1000,
+    tol: float = 1e-8,
+    domain: str = "auto",
+    strategy: str = "auto",
+    check_every: int = 10,
+) -> Solution:
+    """Solve ``pairs(problem_id, a_id, b_id)`` of histograms ``(id, idx, p)``; see :func:`sinkhorn`.
+
+    In the batched strategy a pair is one small row when it is spread over the tasks; a shared
+    histogram that can be broadcast joins it there and is never shuffled once per pair.
+    """
+    domain = choose_domain(domain, cost, eps)
+    if choose_strategy(strategy, cost) == "batched":
+        spread = pairs.repartition(tasks(pairs), "problem_id")
+        packed = _attach(_attach(spread, dist_a, "a"), dist_b, "b")
+        return _batched(packed, cost, eps, max_iter, tol, domain)
+    a, b = pair_problems(pairs, dist_a, dist_b)
+    return sinkhorn(a, b, cost, eps, max_iter, tol, domain, "relational", check_every)
 
 
 def sinkhorn(
@@ -94,7 +127,7 @@ def sinkhorn(
     """
     domain = choose_domain(domain, cost, eps)
     if choose_strategy(strategy, cost) == "batched":
-        return _batched(a, b, cost, eps, max_iter, tol, domain)
+        return _batched(packed_pairs(a, b), cost, eps, max_iter, tol, domain)
     if tol > 0:
         return _relational(a, b, cost, eps, max_iter, tol, domain, check_every)
     return _fixed_rounds(a, b, cost, eps, max_iter, domain)
@@ -120,9 +153,9 @@ def stack(dense: DenseCost, rows: pd.DataFrame, side: str) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
+def _batched(packed, cost, eps, max_iter, tol, domain) -> Solution:
     dense = DenseCost.collect(cost)
-    shared = dense.share(a)
+    shared = dense.share(packed)
     width = max(1, STACK_VALUES // (8 * len(dense.ids)))
 
     def solve_exp(rows, ground, K):
@@ -171,8 +204,8 @@ def _batched(a, b, cost, eps, max_iter, tol, domain) -> Solution:
                 }
             )
 
-    key = a.schema["problem_id"].dataType.simpleString()
-    solved = packed_pairs(a, b).mapInPandas(
+    key = packed.schema["problem_id"].dataType.simpleString()
+    solved = packed.select("problem_id", "idx_a", "p_a", "idx_b", "p_b").mapInPandas(
         solve,
         f"problem_id {key}, idx_a array<int>, f array<double>, idx_b array<int>, g array<double>,"
         " status string, iterations int, error double, linear double, regularized double",

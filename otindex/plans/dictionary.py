@@ -78,7 +78,7 @@ def fit(
     """Learn topics and weights from ``(doc_id, word_id, p)`` and ``(i, j, cost)``."""
     spark = distributions.sparkSession
     folder = working_folder(spark, "dictionary")
-    dense = DenseCost.collect(cost)
+    dense = DenseCost.collect(cost, spec.max_words)
     no_moments = F.array_repeat(F.lit(0.0), spec.num_topics)
     docs = pack(distributions, "doc_id", "word_id").select(
         "doc_id", "idx", "p", initial_logits(spec).alias("logits"),
@@ -237,7 +237,8 @@ def topic_array(topics: DataFrame, dense: DenseCost) -> np.ndarray:
 
 def reconstruct(model: DictionaryModel, cost: DataFrame) -> DataFrame:
     """``(doc_id, word_id, p)``: each document's barycenter of the topics under its weights."""
-    spec, dense = model.spec, DenseCost.collect(cost)
+    spec = model.spec
+    dense = DenseCost.collect(cost, spec.max_words)
     shared = dense.share(cost)
     topics = model.weights.sparkSession.sparkContext.broadcast(topic_array(model.topics, dense))
     width = _width(len(dense.ids), 1, 8 * spec.num_topics)
@@ -267,7 +268,8 @@ def predict(
 
     Documents do not depend on each other, so each task fits its own in one pass.
     """
-    spec, dense = model.spec, DenseCost.collect(cost)
+    spec = model.spec
+    dense = DenseCost.collect(cost, spec.max_words)
     shared = dense.share(cost)
     with np.errstate(divide="ignore"):
         frozen = np.log(topic_array(model.topics, dense))

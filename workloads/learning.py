@@ -45,6 +45,31 @@ def _gradient(spark, sf_dir):
     )
 
 
+def _given_model(spark, sf_dir):
+    """Region profiles as topics and fixed weights per supplier."""
+    topics = profiles(spark, sf_dir, "n_regionkey").select(
+        F.col("id").alias("topic"), F.col("idx").alias("word_id"), "p"
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    logits = F.array(*(0.3 * F.pmod(F.col("doc_id") + k, F.lit(5)) for k in range(5)))
+    weights = suppliers.select("doc_id", dl.softmax_array(logits).alias("weights"))
+    spec = DictionarySpec(num_topics=5, reg=EPS, max_iter=2, tol=0.0)
+    history = spark.createDataFrame([], "step int, epoch int, batch int, loss double")
+    return dl.DictionaryModel(topics, weights, history, spec), quantity_cost(spark, sf_dir)
+
+
+def reconstruct_given(spark, sf_dir):
+    return rounded(dl.reconstruct(*_given_model(spark, sf_dir)), "p", digits=8)
+
+
+def scores_topics_given(spark, sf_dir):
+    return rounded(dl.document_scores(_given_model(spark, sf_dir)[0]), "score")
+
+
+def scores_docs_given(spark, sf_dir):
+    return rounded(dl.document_scores(*_given_model(spark, sf_dir), "docs"), "score")
+
+
 def batch_gradient_topics(spark, sf_dir):
     return rounded(_gradient(spark, sf_dir)[0], "grad", digits=9)
 
@@ -118,6 +143,9 @@ QUERIES = {
     "predict": predict,
     "scores_topics": scores_topics,
     "scores_docs": scores_docs,
+    "reconstruct_given": reconstruct_given,
+    "scores_topics_given": scores_topics_given,
+    "scores_docs_given": scores_docs_given,
     "wasserstein_index": wasserstein_index,
 }
 
@@ -141,7 +169,46 @@ slope AS MATERIALIZED (
   FROM fitted LEFT JOIN profile ON id = doc_id AND idx = j
 )"""
 
+
+
+def _applied(name: str, vector: str, value: str, inner: str, outer: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT doc_id, topic, {outer}, sum(k * {value}) AS x FROM {vector} JOIN kernel USING ({inner}) GROUP BY 1, 2, 3
+)"""
+
+
+#: Two debiased rounds from the topics and weights of ``_GRADIENT``.
+_RECONSTRUCTED = f"""{_GRADIENT},
+d1 AS MATERIALIZED (SELECT doc_id, j, sqrt(b / kv) AS d FROM fitted JOIN ones ON i = j),
+v1 AS (SELECT doc_id, topic, j, b / t AS v FROM fitted JOIN t USING (j)),
+{_applied("kv1", "v1", "v", "j", "i")},
+u2 AS (SELECT doc_id, topic, i, a / x AS u FROM kv1 JOIN topic USING (topic, i)),
+{_applied("t2", "u2", "u", "i", "j")},
+b2 AS MATERIALIZED (
+  SELECT doc_id, j, min(d) * exp(sum(w * ln(x))) AS b
+  FROM t2 JOIN w USING (doc_id, topic) JOIN d1 USING (doc_id, j) GROUP BY 1, 2
+)"""
+
+
+def _leading_sql(matrix: str, row: str, col: str, value: str, rounds: int) -> str:
+    """Power iteration for the first left singular vector times its value; all entries positive."""
+    steps = [f"x0 AS (SELECT DISTINCT {col}, 1.0 AS x FROM {matrix})"]
+    for r in range(1, rounds + 1):
+        steps.append(f"""
+y{r} AS MATERIALIZED (SELECT {row}, sum({value} * x) AS y FROM {matrix} JOIN x{r - 1} USING ({col}) GROUP BY 1),
+z{r} AS (SELECT {col}, sum({value} * y) AS z FROM {matrix} JOIN y{r} USING ({row}) GROUP BY 1),
+x{r} AS MATERIALIZED (SELECT {col}, z / sqrt(sum(z * z) OVER ()) AS x FROM z{r})""")
+    steps.append(f"""
+led AS MATERIALIZED (SELECT {row}, sum({value} * x) AS score FROM {matrix} JOIN x{rounds} USING ({col}) GROUP BY 1)""")
+    return ", ".join(steps)
+
+
 ORACLES = {
+    "reconstruct_given": f"{_RECONSTRUCTED} SELECT doc_id, j AS word_id, round(b, 8) AS p FROM b2",
+    "scores_topics_given": f"""{_GRADIENT}, {_leading_sql("topic", "topic", "i", "a", 16)}
+SELECT doc_id, round(sum(w * score), 6) AS score FROM w JOIN led USING (topic) GROUP BY 1""",
+    "scores_docs_given": f"""{_RECONSTRUCTED}, {_leading_sql("b2", "doc_id", "j", "b", 16)}
+SELECT doc_id, round(score, 6) AS score FROM led""",
     "squared_loss": f"""
 WITH {PROFILES},
 predicted AS (SELECT s_suppkey AS id, idx, p FROM supplier JOIN nation_profile ON id = s_nationkey)

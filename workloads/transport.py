@@ -12,6 +12,7 @@ from otindex.operators.distance import pairwise_distance
 from otindex.operators.transport import (
     pair_problems,
     sinkhorn,
+    sinkhorn_pairs,
     solved_cost,
     transport_cost,
     transport_plan,
@@ -56,9 +57,10 @@ def _rounds(spark, sf_dir, rounds, domain):
 
 
 def _converged(spark, sf_dir):
-    a, b = _problems(spark, sf_dir)
     cost = quantity_cost(spark, sf_dir)
-    return sinkhorn(a, b, cost, EPS, **EXACT), cost
+    suppliers, nations = profiles(spark, sf_dir), profiles(spark, sf_dir, "s_nationkey")
+    pairs = supplier_pairs(spark, sf_dir)
+    return sinkhorn_pairs(pairs, suppliers, nations, cost, EPS, **EXACT), cost
 
 
 def sinkhorn_3(spark, sf_dir):
@@ -113,6 +115,20 @@ def sinkhorn_gradient_linear(spark, sf_dir):
     return gr.sinkhorn_gradient(a, b, quantity_cost(spark, sf_dir), EPS, "linear")
 
 
+def sinkhorn_gradient_2(spark, sf_dir):
+    """The derivative through exactly two rounds."""
+    a, b = _problems(spark, sf_dir)
+    cost = quantity_cost(spark, sf_dir)
+    return rounded(gr.sinkhorn_gradient(a, b, cost, EPS, "linear", 2, 0.0), "grad")
+
+
+def sinkhorn_jacobian_1(spark, sf_dir):
+    """The derivatives through one round."""
+    a, b = _problems(spark, sf_dir)
+    jacobian = gr.sinkhorn_jacobian(a, b, quantity_cost(spark, sf_dir), EPS, 1, 0.0)
+    return rounded(jacobian, "value")
+
+
 def sinkhorn_jacobian(spark, sf_dir):
     a, b = _problems(spark, sf_dir)
     return gr.sinkhorn_jacobian(a, b, quantity_cost(spark, sf_dir), EPS)
@@ -172,11 +188,20 @@ def document_transport(spark, sf_dir):
     pairs = documents.select(
         F.col("doc_id").alias("problem_id"), F.col("doc_id").alias("a_id"), F.col("source").alias("b_id")
     )
-    a, b = pair_problems(pairs, by_doc, by_source)
-    solution = sinkhorn(a, b, cost, WORD_EPS, **EXACT)
+    solution = sinkhorn_pairs(pairs, by_doc, by_source, cost, WORD_EPS, **EXACT)
     return rounded(solved_cost(solution, cost, WORD_EPS), "cost")
 
 
+def _jacobian_1(wrt):
+    def query(spark, sf_dir):
+        atoms, weights = nation_members(spark, sf_dir)
+        cost = quantity_cost(spark, sf_dir)
+        jacobian = gr.barycenter_jacobian(atoms, weights, cost, EPS, wrt, max_iter=1, tol=0.0)
+        return rounded(jacobian, "value", digits=7)
+
+    return query
+
+
 QUERIES = {
     "sinkhorn_3": sinkhorn_3,
     "sinkhorn_log_2": sinkhorn_log_2,
@@ -198,6 +223,10 @@ QUERIES = {
     "barycenter_status": barycenter_status,
     "barycenter_jacobian_weights": _jacobian("weights"),
     "barycenter_jacobian_atoms": _jacobian("atoms"),
+    "sinkhorn_gradient_2": sinkhorn_gradient_2,
+    "sinkhorn_jacobian_1": sinkhorn_jacobian_1,
+    "barycenter_jacobian_weights_1": _jacobian_1("weights"),
+    "barycenter_jacobian_atoms_1": _jacobian_1("atoms"),
     "document_transport": document_transport,
 }
 
@@ -317,7 +346,50 @@ plan AS (
 )
 {_LINEAR}"""
 
+def _applied(name: str, vector: str, value: str, inner: str, outer: str, weight: str = "k") -> str:
+    """``name``: the kernel (or kernel times cost) applied to a vector table."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT problem_id, {outer}, sum({weight} * {value}) AS x FROM {vector} JOIN kernel USING ({inner}) GROUP BY 1, 2
+)"""
+
+
+_GRADIENT_2 = f"""{_pairs_sql(2)},
+{_applied("kv0", "v0", "v", "j", "i")}, {_applied("kv1", "v1", "v", "j", "i")},
+{_applied("t1", "u1", "u", "i", "j")}, {_applied("t2", "u2", "u", "i", "j")},
+{_applied("ubar", "v2", "v", "j", "i", "k * cost")}, {_applied("vbar2", "u2", "u", "i", "j", "k * cost")},
+tbar2 AS (SELECT problem_id, j, -vbar2.x * v / t2.x AS y FROM vbar2 JOIN v2 USING (problem_id, j) JOIN t2 USING (problem_id, j)),
+{_applied("back2", "tbar2", "y", "j", "i")},
+ubar2 AS MATERIALIZED (SELECT problem_id, i, ubar.x + back2.x AS y FROM ubar JOIN back2 USING (problem_id, i)),
+kvbar AS (SELECT problem_id, i, -y * u / kv1.x AS y FROM ubar2 JOIN u2 USING (problem_id, i) JOIN kv1 USING (problem_id, i)),
+{_applied("vbar1", "kvbar", "y", "i", "j")},
+tbar1 AS (SELECT problem_id, j, -vbar1.x * v / t1.x AS y FROM vbar1 JOIN v1 USING (problem_id, j) JOIN t1 USING (problem_id, j)),
+{_applied("ubar1", "tbar1", "y", "j", "i")},
+total AS (
+  SELECT problem_id, i, y / kv1.x + ubar1.x / kv0.x AS g FROM ubar2 JOIN kv1 USING (problem_id, i)
+  JOIN ubar1 USING (problem_id, i) JOIN kv0 USING (problem_id, i)
+)
+SELECT problem_id, i, round(g - avg(g) OVER (PARTITION BY problem_id), 6) + 0.0 AS grad FROM total"""
+
+_JACOBIAN_1 = f"""{_pairs_sql(1)},
+{_applied("kv0", "v0", "v", "j", "i")}, {_applied("t1", "u1", "u", "i", "j")}
+SELECT problem_id, 'a' AS side, l.i AS out, r.i AS in,
+  round(CASE WHEN l.i = r.i THEN 1 / x ELSE 0 END, 6) + 0.0 AS value
+FROM a l JOIN a r USING (problem_id) JOIN kv0 ON kv0.problem_id = l.problem_id AND kv0.i = l.i
+UNION ALL
+SELECT problem_id, 'b', j, i, round(-p / pow(t1.x, 2) * k / kv0.x, 6) + 0.0
+FROM b JOIN t1 USING (problem_id, j) JOIN kv0 USING (problem_id) JOIN kernel USING (i, j)"""
+
+_BARYCENTER_1 = _barycenter_sql(1, False, 8).rsplit("SELECT", 1)[0]
+
 ORACLES = {
+    "sinkhorn_gradient_2": _GRADIENT_2,
+    "sinkhorn_jacobian_1": _JACOBIAN_1,
+    "barycenter_jacobian_weights_1": f"""{_BARYCENTER_1}
+SELECT group_id, j AS out, member, round(b * ln(t), 7) + 0.0 AS value FROM t1 JOIN b1 USING (group_id, j)""",
+    "barycenter_jacobian_atoms_1": f"""{_BARYCENTER_1},
+ones AS (SELECT i, sum(k) AS kv FROM kernel GROUP BY 1)
+SELECT group_id, j AS out, member, i AS in, round(weight * b / t * k / kv, 7) + 0.0 AS value
+FROM t1 JOIN b1 USING (group_id, j) JOIN kernel USING (j) JOIN ones USING (i)""",
     "document_transport": _DOCUMENTS,
     "sinkhorn_3": _potentials_sql(3),
     "sinkhorn_log_2": _potentials_sql(2),
