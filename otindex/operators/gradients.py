@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from otindex.functions import scaling as sc
-from otindex.operators.ground import DenseCost, chunks, tasks
+from otindex.operators.ground import DenseCost, choose_strategy, chunks, tasks
 from otindex.operators.text import pack
-from otindex.operators.transport import packed_pairs, stack
+from otindex.operators.transport import packed_pairs, sinkhorn, stack
 
 #: Doubles a reverse sweep may keep for one stack of problems.
 TRAIL_VALUES = 32_000_000
@@ -59,8 +59,16 @@ def sinkhorn_gradient(
     """``(problem_id, i, grad)``: derivative of the transport cost by the first histogram.
 
     One row per support point. The derivative is centered within each problem, because mass can
-    only move along directions that keep the total.
+    only move along directions that keep the total. A cost too large for the tasks leaves the
+    regularized loss, whose derivative at convergence is the potential itself.
     """
+    if loss == "regularized" and choose_strategy("auto", cost) == "relational":
+        potentials = sinkhorn(a, b, cost, eps, max_iter, tol, strategy="relational").values
+        # a problem has at most one potential per word
+        center = F.avg("potential").over(Window.partitionBy("problem_id"))
+        return potentials.where("side = 'a'").select(
+            "problem_id", F.col("idx").alias("i"), (F.col("potential") - center).alias("grad")
+        )
     dense = DenseCost.collect(cost)
     shared = dense.share(a)
     width = _width(len(dense.ids), max_iter)

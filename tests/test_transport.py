@@ -216,6 +216,14 @@ def test_sinkhorn_gradient_by_finite_differences(make, kind):
     assert got == pytest.approx(numeric - numeric.mean(), abs=1e-6)
 
 
+def test_gradient_for_a_cost_beyond_the_tasks(make, monkeypatch):
+    args = make.histograms(PAIR[0]), make.histograms(PAIR[1]), make.cost(PAIR[2]), 0.1, "regularized"
+    dense = {r.i: r.grad for r in gr.sinkhorn_gradient(*args, tol=1e-12).collect()}
+    monkeypatch.setattr("otindex.operators.ground.DENSE_WORDS", 1)
+    joined = {r.i: r.grad for r in gr.sinkhorn_gradient(*args, tol=1e-12).collect()}
+    assert joined == pytest.approx(dense, abs=1e-8)
+
+
 def test_sinkhorn_jacobian_by_finite_differences(make):
     c, eps, rounds, h = np.array([[0.1, 0.3, 0.2], [0.5, 0.1, 0.5], [0.4, 0.2, 0.1]]), 0.1, 4, 1e-6
     a, b = np.array([0.2, 0.2, 0.6]), [0.3, 0.3, 0.4]

@@ -8,7 +8,8 @@ from otindex.operators import text as tx
 from otindex.operators.embeddings import train_embeddings
 from otindex.operators.index import index_by_period, standardize, topic_top_words
 from otindex.operators.optim import assign_batches
-from otindex.sources.corpus import read_corpus
+from otindex.session import working_folder
+from otindex.sources.corpus import read_corpus, write_corpus
 from workloads.tables import (
     STOP,
     WORDS,
@@ -35,6 +36,14 @@ def event_corpus(spark, sf_dir):
     return read.select("doc_id", "ts", "text")
 
 
+def corpus_round_trip(spark, sf_dir):
+    """The corpus after writing it as delimited text and reading it back."""
+    path = working_folder(spark, "corpus")
+    write_corpus(corpus(spark, sf_dir), path, "tsv")
+    back = read_corpus(spark, path, "tsv")
+    return back.select("doc_id", "ts", F.md5("text").alias("digest"))
+
+
 def tokens(spark, sf_dir):
     return tx.explode_tokens(tokenized(spark, sf_dir))
 
@@ -135,6 +144,7 @@ def standardized_index(spark, sf_dir):
 
 QUERIES = {
     "corpus": corpus_rows,
+    "corpus_round_trip": corpus_round_trip,
     "event_corpus": event_corpus,
     "tokens": tokens,
     "tokens_no_stop": tokens_no_stop,
@@ -166,10 +176,12 @@ SELECT CAST(min({ts}) AS DATE) AS period_start, round(sum({value}), {digits}) +
 FROM {source} GROUP BY date_trunc('{period}', {ts})"""
 
 
+_CORPUS = """
+SELECT doc_id, o_orderdate AS ts, md5(text) AS digest FROM documents JOIN orders ON doc_id = o_orderkey"""
+
 ORACLES = {
-    "corpus": """
-SELECT doc_id, o_orderdate AS ts, md5(text) AS digest
-FROM documents JOIN orders ON doc_id = o_orderkey""",
+    "corpus": _CORPUS,
+    "corpus_round_trip": _CORPUS,
     "event_corpus": "SELECT event_id AS doc_id, ts, event_type AS text FROM events",
     "tokens": f"WITH {WORDS} SELECT doc_id, {_POSITIONS}, token FROM words",
     "tokens_no_stop": f"""
