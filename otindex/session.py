@@ -63,6 +63,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores, such as one small file.
+
+    Only such small inputs are shuffled, by key; a large table has splits enough and stays as
+    it is. Meant for plain scans: asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_positions(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """Number the rows 0, 1, 2, ... in a total order without a one-task window.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from otindex.functions.stopwords import ENGLISH
 from otindex.operators.distance import pairwise_distance
 from otindex.operators.text import distribution, tokenize
-from otindex.session import materialize
+from otindex.session import materialize, spread
 from otindex.sources.corpus import attach_dates
 
 EPS = 0.1
@@ -23,14 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_dates(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate"
-    )
+    orders = table(spark, sf_dir, "orders")
+    return attach_dates(documents(spark, sf_dir), orders, "o_orderkey", "o_orderdate")
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenize(documents(spark, sf_dir))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
