@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from otindex.llm.byte_bpe import encode_documents
+from otindex.llm.decontaminate import decontaminate
 from otindex.session import working_folder
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     import public_tokenizers
@@ -19,7 +25,10 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = [("byte_bpe", byte_bpe)]
+STAGES: list[tuple[str, Stage]] = [
+    ("benchmark_decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.chat_format import ESCAPE, Template, format_chats, read_chats
+from otindex.llm.decontaminate import find_leaks
 from otindex.llm.url_reputation import SUFFIXES, Rule, filter_urls
 
 
@@ -14,6 +15,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside benchmark passages of ten words."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(documents, table(spark, sf_dir, "benchmark"), 10, keep_text=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS words
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(p) WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, p, size, array_to_string(w[p:p + size - 1], ' ') AS words
+  FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS u(p)
+),
+hits AS (SELECT r, p, item, size FROM places JOIN windows USING (size, words)),
+n_hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM hits, unnest(range(p, p + size)) AS u(k) GROUP BY r),
+n_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN n_items USING (r)
+"""
+
+
 #: A conversation that says what marks turns in other templates.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -138,9 +179,10 @@ FROM judged
 """
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_url_reputation": op8_url_reputation,
 }
 
-ORACLES = {"op2_chat_format": OP2_SQL, "op8_url_reputation": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_url_reputation": OP8_SQL}
