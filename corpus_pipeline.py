@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.decontaminate import decontaminate
+from otindex.llm.simhash import deduplicate
 from otindex.session import working_folder
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each group of near copies."""
+    return deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -26,6 +32,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
     ("byte_bpe", byte_bpe),
 ]
