@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.chat_format import ESCAPE, Template, format_chats, read_chats
 from otindex.llm.decontaminate import find_leaks
+from otindex.llm.quality_rules import judge
 from otindex.llm.simhash import near_duplicates
 from otindex.llm.url_reputation import SUFFIXES, Rule, filter_urls
 
@@ -109,6 +110,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rules, and the verdict of the trees."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return judge(table(spark, sf_dir, "documents"), labels).drop("score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 2, 42)
@@ -188,6 +195,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_url_reputation": op8_url_reputation,
 }
