@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.decontaminate import decontaminate
+from otindex.llm.line_crf import classify, fit, learnable
 from otindex.llm.simhash import deduplicate
 from otindex.session import working_folder
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose lines the classifier holds for bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    names = docs.columns
+    return classify(docs, fit(docs, learnable(labels))).where("predicted = 1").select(*names)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near copies."""
     return deduplicate(docs)
@@ -32,6 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
     ("byte_bpe", byte_bpe),

@@ -256,14 +256,14 @@ def judge(
     0.5. Other columns are ignored.
     """
     found = materialize(document_statistics(documents))
-    forest = found.sparkSession.sparkContext.broadcast(train(found, labels, how or Training()))
+    forest = train(found, labels, how or Training())  # a few hundred nodes: travels with the task function
 
     def run(batches):
         for batch in batches:
             lists = batch.column("features")
             x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             names = [c for c in batch.schema.names if c != "features"]
-            score = pa.array(forest.value.score(x))
+            score = pa.array(forest.score(x))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score], [*names, "score"])
 
     scored = found.mapInArrow(run, f"doc_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, score double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.chat_format import ESCAPE, Template, format_chats, read_chats
 from otindex.llm.decontaminate import find_leaks
+from otindex.llm.line_crf import classify, fit, held_out, learnable
 from otindex.llm.quality_rules import judge
 from otindex.llm.simhash import near_duplicates
 from otindex.llm.url_reputation import SUFFIXES, Rule, filter_urls
@@ -191,6 +192,14 @@ SELECT page_id, host, path, CASE {_rule_cases("rule")} END AS rule,
 FROM judged
 """
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole document; a fifth of the documents is never learnt from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = fit(documents, learnable(table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    scored = classify(documents, weights, 0.3, keep_text=False)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -198,6 +207,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_url_reputation": op8_url_reputation,
+    "op10_line_crf": op10_line_crf,
 }
 
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_url_reputation": OP8_SQL}
