@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.decontaminate import decontaminate
-from otindex.llm.line_crf import classify, fit, learnable
+from otindex.llm.line_crf import accepted, fit, learnable
+from otindex.llm.pii import pseudonymize
+from otindex.llm.queries import PII_KEY
 from otindex.llm.simhash import deduplicate
 from otindex.session import working_folder
 
@@ -16,8 +18,7 @@ from otindex.session import working_folder
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose lines the classifier holds for bad."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    names = docs.columns
-    return classify(docs, fit(docs, learnable(labels))).where("predicted = 1").select(*names)
+    return accepted(docs, fit(docs, learnable(labels)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put stand-ins in place of personal data and secrets."""
+    return pseudonymize(docs, PII_KEY)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     import public_tokenizers
@@ -43,6 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("pii_surrogates", pii),
     ("byte_bpe", byte_bpe),
 ]
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from otindex.llm.bytes_ import as_bytes, pieces, spans, window_hashes, word_hashes
+from otindex.llm.columns import fresh, set_aside
 from otindex.session import materialize
 
 #: Bytes of windows and item ids in one broadcast block.
@@ -153,14 +154,15 @@ def find_leaks(
 
     if blocks == 1:
         return _scan(documents, block(0), carried, False)
-    keyed = documents.drop("_key").withColumn("_key", F.sha2("text", 256))
-    base = _scan(keyed, [], [*carried, "_key"], False).drop("n_hit", "spans", "items")
-    found = materialize(reduce(DataFrame.unionByName, [
-        materialize(_scan(keyed, block(k), ["_key"], True).dropDuplicates(["_key"]).drop("n_hit", "n_words"))
+    key = fresh(documents, "digest")
+    keyed = documents.withColumn(key, F.sha2("text", 256))
+    base = _scan(keyed, [], [*carried, key], False).drop("n_hit", "spans", "items")
+    found = reduce(DataFrame.unionByName, [
+        materialize(_scan(keyed, block(k), [key], True).dropDuplicates([key]).drop("n_hit", "n_words"))
         for k in range(blocks)
-    ]))
-    merged = _merge(found, keyed)
-    return base.join(merged, "_key", "left").select(
+    ])
+    merged = _merge(found, keyed, key)
+    return base.join(merged, key, "left").select(
         *carried,
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -169,12 +171,12 @@ def find_leaks(
     )
 
 
-def _merge(found: DataFrame, keyed: DataFrame) -> DataFrame:
+def _merge(found: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     """Joins the spans that several blocks found in a text, and counts its hit words anew."""
-    grouped = found.groupBy("_key").agg(
+    grouped = found.groupBy(key).agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
-    texts = keyed.join(grouped.select("_key"), "_key", "left_semi").select("_key", "text").dropDuplicates(["_key"])
+    texts = keyed.join(grouped.select(key), key, "left_semi").select(key, "text").dropDuplicates([key])
 
     def run(batches):
         for batch in batches:
@@ -189,12 +191,12 @@ def _merge(found: DataFrame, keyed: DataFrame) -> DataFrame:
                 spans_out.append([{"start": words[a][0], "stop": words[b - 1][1]} for a, b in zip(*spans(hit))])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), pa.array(n_hit, pa.int64()), pa.array(spans_out, kind), batch.column("items")],
-                ["_key", "n_hit", "spans", "items"],
+                [batch.column(key), pa.array(n_hit, pa.int64()), pa.array(spans_out, kind), batch.column("items")],
+                [key, "n_hit", "spans", "items"],
             )
 
-    return texts.join(grouped, "_key").select("_key", "text", "spans", "items").mapInArrow(
-        run, f"_key string, n_hit bigint, spans {_SPANS}, items array<string>"
+    return texts.join(grouped, key).select(key, "text", "spans", "items").mapInArrow(
+        run, f"`{key}` string, n_hit bigint, spans {_SPANS}, items array<string>"
     )
 
 
@@ -204,26 +206,25 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, actio
     ``action`` 'documents' drops every document with a hit; 'spans' cuts the runs of hit words out of
     the text (what separates two runs stays). Clean documents come back unchanged.
     """
-    names = [F.col(c) for c in documents.columns]
-    if action == "documents":
-        kept = documents.withColumn("_row", F.struct(*names)).select("_row", "text")
-        return find_leaks(kept, benchmark, n, keep_text=False).where("n_hit = 0").select("_row.*")
-    if action != "spans":
+    if action not in ("documents", "spans"):
         raise ValueError(f"unknown action {action!r}")
-    kept = documents.withColumn("_row", F.struct(*names)).select("_row", "text")
-    flagged = find_leaks(kept, benchmark, n)
+    names = documents.columns
+    kept, back = set_aside(documents, ADDED)
+    found = find_leaks(kept, benchmark, n)
+    if action == "documents":
+        return found.where("n_hit = 0").select(*kept.columns).withColumnsRenamed(back).select(*names)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def cut(batches):
         for batch in batches:
             out = []
-            for raw, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for raw, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 for r in reversed(runs):
                     raw = raw[: r["start"]] + raw[r["stop"] :]
                 out.append(raw)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(out, pa.binary()).cast(pa.string())], ["_row", "text"]
-            )
+            text = pa.array(out, pa.binary()).cast(pa.string())
+            columns = [text if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"]
+            yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != "spans"])
 
-    row = flagged.schema["_row"].dataType.simpleString()
-    clean = flagged.select("_row", "text", "spans").mapInArrow(cut, f"_row {row}, text string")
-    return clean.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in documents.columns))
+    clean = found.select(*kept.columns, "spans").mapInArrow(cut, fields)
+    return clean.withColumnsRenamed(back).select(*names)

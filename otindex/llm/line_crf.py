@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otindex.llm.bytes_ import as_bytes, mixed, pieces, spans, window_hashes, word_hashes
+from otindex.llm.columns import set_aside
 
 _WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&<>"))
@@ -313,6 +314,13 @@ def classify(
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
+def accepted(documents: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame:
+    """The documents that the classifier does not reject, in their own columns."""
+    kept, back = set_aside(documents, ADDED)
+    good = classify(kept, weights, least).where("predicted = 1").select(*kept.columns)
+    return good.withColumnsRenamed(back).select(*documents.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -9,6 +9,7 @@ from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.chat_format import ESCAPE, Template, format_chats, read_chats
 from otindex.llm.decontaminate import find_leaks
 from otindex.llm.line_crf import classify, fit, held_out, learnable
+from otindex.llm.pii import pseudonymize
 from otindex.llm.quality_rules import judge
 from otindex.llm.simhash import near_duplicates
 from otindex.llm.url_reputation import SUFFIXES, Rule, filter_urls
@@ -103,6 +104,15 @@ FROM turns GROUP BY conv_id
 """
 
 
+#: The key of the stand-ins; a deployment takes its own from a secret store.
+PII_KEY = "otindex demonstration key"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with stand-ins for the personal data and secrets in its text."""
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole document, decode the ids, and digest both."""
     import public_tokenizers
@@ -203,6 +213,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
