@@ -12,7 +12,10 @@ from otindex.llm.line_crf import classify, fit, held_out, learnable
 from otindex.llm.pii import pseudonymize
 from otindex.llm.quality_rules import judge
 from otindex.llm.simhash import near_duplicates
+from otindex.llm.token_files import read_tokens, write_tokens
 from otindex.llm.url_reputation import SUFFIXES, Rule, filter_urls
+from otindex.llm.warc import read_warc, write_warc
+from otindex.session import working_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +116,37 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives in the shared folder and read those back."""
+    folder = working_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, 0)
+    return read_warc(spark, folder, payloads=False).drop("url")
+
+
+def _base32_sql(hexadecimal: str) -> str:
+    """Base32 of 40 hexadecimal digits: five of them are four letters."""
+    digits = "'0123456789abcdef'"
+    letters = []
+    for at in range(1, 41, 5):
+        value = " + ".join(f"(strpos({digits}, substr({hexadecimal}, {at + k}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5))
+        letters += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({value}) >> {s}) & 31)::INT + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM p),
+r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last,
+    row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS place FROM d
+)
+SELECT page_id, payload_bytes, {_base32_sql("h")} AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN last END AS refers_to
+FROM r
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole document, decode the ids, and digest both."""
     import public_tokenizers
@@ -202,6 +236,20 @@ SELECT page_id, host, path, CASE {_rule_cases("rule")} END AS rule,
 FROM judged
 """
 
+#: The id that ends each document in the token files.
+END_ID = 2
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of all documents to files in the shared folder and read those back."""
+    import public_tokenizers
+
+    folder = working_folder(spark, "tokens")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(table(spark, sf_dir, "documents"), folder, path, END_ID)
+    return read_tokens(spark, folder, ids=False)
+
+
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole document; a fifth of the documents is never learnt from."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -214,11 +262,13 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_warc": op4_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_url_reputation": op8_url_reputation,
+    "op9_token_files": op9_token_files,
     "op10_line_crf": op10_line_crf,
 }
 
-ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_url_reputation": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op8_url_reputation": OP8_SQL}
