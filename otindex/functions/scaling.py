@@ -11,6 +11,9 @@ import numpy as np
 
 CONVERGED, MAX_ITER, NONFINITE = "converged", "max_iter", "nonfinite"
 
+#: Rounds between two looks at the error, the same however a problem is laid out.
+CHECK_EVERY = 10
+
 
 def _ratio(top, bottom):
     """``top / bottom`` where ``top`` is positive, else zero."""
@@ -29,50 +32,59 @@ def lse(x, axis):
 # --- transport between pairs: columns of A and B are problems -------------------------------
 
 
-def scale_pairs(K, A, B, max_iter, tol, trail=None):
+def scale_pairs(K, A, B, max_iter, tol, trail=None, check_every=CHECK_EVERY):
     """Scalings ``U, V`` per column with the status of each problem.
 
+    Errors are looked at every ``check_every`` rounds and after the last one. A problem that is not
+    finite then keeps the state and the number of rounds of the check before.
     ``trail`` collects ``(problems, V at the start, U, V)`` per round for the reverse sweep.
     """
     count = A.shape[1]
     U, V = (A > 0).astype(float), (B > 0).astype(float)
     status = np.full(count, MAX_ITER, dtype=object)
     rounds, error = np.zeros(count, int), np.full(count, np.inf)
-    live = np.arange(count)
-    for _ in range(max_iter):
-        if not live.size:
-            break
-        a, b, v0 = A[:, live], B[:, live], V[:, live]
-        u = _ratio(a, K @ v0)
-        v = _ratio(b, K.T @ u)
+    live, done = np.arange(count), 0
+    while live.size and done < max_iter:
+        steps = min(check_every, max_iter - done)
+        done += steps
+        a, b, v = A[:, live], B[:, live], V[:, live]
+        walked = []
+        for _ in range(steps):
+            v0 = v
+            u = _ratio(a, K @ v0)
+            v = _ratio(b, K.T @ u)
+            walked.append((v0, u, v))
         with np.errstate(all="ignore"):
             gap = np.sqrt(((a - u * (K @ v)) ** 2).sum(axis=0))
         good = np.isfinite(u).all(axis=0) & np.isfinite(v).all(axis=0) & np.isfinite(gap)
-        status[live[~good]] = NONFINITE  # the previous round stays in U and V
+        status[live[~good]], error[live[~good]] = NONFINITE, np.inf
         kept = live[good]
         U[:, kept], V[:, kept], error[kept] = u[:, good], v[:, good], gap[good]
-        rounds[kept] += 1
+        rounds[kept] = done
         if trail is not None:
-            trail.append((kept, v0[:, good], u[:, good], v[:, good]))
-        done = gap[good] < tol
-        status[kept[done]] = CONVERGED
-        live = kept[~done]
+            trail.extend((kept, *(x[:, good] for x in step)) for step in walked)
+        closed = gap[good] < tol
+        status[kept[closed]] = CONVERGED
+        live = kept[~closed]
     return U, V, status, rounds, error
 
 
-def scale_pair_log(C, a, b, eps, max_iter, tol):
-    """Potentials ``f, g`` of one problem on its support, in the log domain."""
+def scale_pair_log(C, a, b, eps, max_iter, tol, check_every=CHECK_EVERY):
+    """Potentials ``f, g`` of one problem on its support, in the log domain; checked as above."""
     f, g = np.zeros(len(a)), np.zeros(len(b))
     status, rounds, error = MAX_ITER, 0, np.inf
-    for _ in range(max_iter):
-        f_new = eps * (np.log(a) - lse((g[None, :] - C) / eps, 1))
-        g_new = eps * (np.log(b) - lse((f_new[:, None] - C) / eps, 0))
-        if not (np.isfinite(f_new).all() and np.isfinite(g_new).all()):
-            status = NONFINITE
-            break
-        f, g, rounds = f_new, g_new, rounds + 1
-        mass = np.exp((f[:, None] + g[None, :] - C) / eps).sum(axis=1)
-        error = float(np.sqrt(((mass - a) ** 2).sum()))
+    while rounds < max_iter:
+        g_new = g
+        steps = min(check_every, max_iter - rounds)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                f_new = eps * (np.log(a) - lse((g_new[None, :] - C) / eps, 1))
+                g_new = eps * (np.log(b) - lse((f_new[:, None] - C) / eps, 0))
+            mass = np.exp((f_new[:, None] + g_new[None, :] - C) / eps).sum(axis=1)
+            gap = float(np.sqrt(((mass - a) ** 2).sum()))
+        if not (np.isfinite(f_new).all() and np.isfinite(g_new).all() and np.isfinite(gap)):
+            return f, g, NONFINITE, rounds, np.inf
+        f, g, rounds, error = f_new, g_new, rounds + steps, gap
         if error < tol:
             status = CONVERGED
             break
@@ -113,70 +125,77 @@ def _half_rounds(K, A, W, V, d):
         return KV, U, T, b, b[:, :, None] / T
 
 
-def barycenters(K, A, W, max_iter, tol, debias=False, trail=None):
+def barycenters(K, A, W, max_iter, tol, debias=False, trail=None, check_every=CHECK_EVERY):
     """Barycenter of the atoms ``A[:, p, :]`` (or shared ``A[:, 0, :]``) per weight row ``W[p]``.
 
-    ``trail`` collects ``(problems, V, d)`` at the start of each round for the reverse sweep.
+    Checked as :func:`scale_pairs`. ``trail`` collects ``(problems, V, d)`` at the start of each
+    round for the reverse sweep.
     """
     size, count, atoms = K.shape[0], *W.shape
     V, d, out = np.ones((size, count, atoms)), np.ones((size, count)), np.zeros((size, count))
     status = np.full(count, MAX_ITER, dtype=object)
     rounds, error = np.zeros(count, int), np.full(count, np.inf)
-    live = np.arange(count)
-    for _ in range(max_iter):
-        if not live.size:
-            break
+    live, done = np.arange(count), 0
+    while live.size and done < max_iter:
+        steps = min(check_every, max_iter - done)
+        done += steps
         a = A if A.shape[1] == 1 else A[:, live]
-        v0, d0 = V[:, live], d[:, live]
-        _, u, _, b, v = _half_rounds(K, a, W[live], v0, d0)
+        v, d1 = V[:, live], d[:, live]
+        walked = []
+        for _ in range(steps):
+            v0, d0 = v, d1
+            _, u, _, b, v = _half_rounds(K, a, W[live], v0, d0)
+            with np.errstate(all="ignore"):
+                d1 = np.sqrt(d0 * b / (K @ d0)) if debias else d0
+            walked.append((v0, d0))
         with np.errstate(all="ignore"):
-            d1 = np.sqrt(d0 * b / (K @ d0)) if debias else d0
             gap = ((a - u * _product(K, v)) ** 2).sum(axis=(0, 2))
             # the marginals may fit while the correction still moves
             gap = np.sqrt(gap + ((d1 - d0) ** 2).sum(axis=0))
         good = np.isfinite(v).all(axis=(0, 2)) & np.isfinite(d1).all(axis=0) & np.isfinite(gap)
-        status[live[~good]] = NONFINITE  # the previous round stays
+        status[live[~good]], error[live[~good]] = NONFINITE, np.inf
         kept = live[good]
         V[:, kept], d[:, kept], out[:, kept] = v[:, good], d1[:, good], b[:, good]
-        rounds[kept] += 1
-        error[kept] = gap[good]
+        rounds[kept], error[kept] = done, gap[good]
         if trail is not None:
-            trail.append((kept, v0[:, good], d0[:, good]))
-        done = gap[good] < tol
-        status[kept[done]] = CONVERGED
-        live = kept[~done]
+            trail.extend((kept, *(x[:, good] for x in step)) for step in walked)
+        closed = gap[good] < tol
+        status[kept[closed]] = CONVERGED
+        live = kept[~closed]
     return out, status, rounds, error
 
 
-def barycenter_log(C, A, w, eps, max_iter, tol, debias=False):
-    """One barycenter in the log domain; ``A`` has one atom per column."""
+def barycenter_log(C, A, w, eps, max_iter, tol, debias=False, check_every=CHECK_EVERY):
+    """One barycenter in the log domain; ``A`` has one atom per column. Checked as above."""
     size, atoms = A.shape
     with np.errstate(divide="ignore"):
         log_a = np.log(A)
-    log_v, log_d, log_b = np.zeros((size, atoms)), np.zeros(size), np.full(size, -np.inf)
-    status, rounds, error = MAX_ITER, 0, np.inf
+    kept_b, status, rounds, error = np.full(size, -np.inf), MAX_ITER, 0, np.inf
 
     def smooth(cost, x):
         return np.stack([lse(x[None, :, s] - cost / eps, 1) for s in range(x.shape[1])], axis=1)
 
-    kv = smooth(C, log_v)
-    for _ in range(max_iter):
-        log_u = log_a - kv
-        log_t = smooth(C.T, log_u)
-        b = log_d + log_t @ w
-        v = b[:, None] - log_t
-        d = (log_d + b - smooth(C, log_d[:, None])[:, 0]) / 2 if debias else log_d
-        if not (np.isfinite(v).all() and np.isfinite(d).all()):
-            status = NONFINITE
-            break
-        moved = ((np.exp(d) - np.exp(log_d)) ** 2).sum()
-        log_v, log_d, log_b, rounds = v, d, b, rounds + 1
-        kv = smooth(C, log_v)
-        error = float(np.sqrt(((A - np.exp(log_u + kv)) ** 2).sum() + moved))
+    d, kv = np.zeros(size), smooth(C, np.zeros((size, atoms)))
+    while rounds < max_iter:
+        steps = min(check_every, max_iter - rounds)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                before = d
+                log_u = log_a - kv
+                log_t = smooth(C.T, log_u)
+                b = before + log_t @ w
+                v = b[:, None] - log_t
+                d = (before + b - smooth(C, before[:, None])[:, 0]) / 2 if debias else before
+                kv = smooth(C, v)
+            moved = ((np.exp(d) - np.exp(before)) ** 2).sum()
+            gap = float(np.sqrt(((A - np.exp(log_u + kv)) ** 2).sum() + moved))
+        if not (np.isfinite(v).all() and np.isfinite(d).all() and np.isfinite(gap)):
+            return np.exp(kept_b), NONFINITE, rounds, np.inf
+        kept_b, rounds, error = b, rounds + steps, gap
         if error < tol:
             status = CONVERGED
             break
-    return np.exp(log_b), status, rounds, error
+    return np.exp(kept_b), status, rounds, error
 
 
 def barycenters_reverse(K, A, W, trail, bbar, debias=False):

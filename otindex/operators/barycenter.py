@@ -8,6 +8,8 @@ broadcast of checked size or by a salted join.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from otindex.operators.ground import (
     kernel_table,
     tasks,
 )
-from otindex.operators.transport import Solution, _union, smooth
+from otindex.operators.transport import Solution, _union, check_indices, checked_status, smooth
 from otindex.session import BROADCAST_ROWS, SALTS, at_most, materialize
 
 #: Members up to which one task may hold a whole group.
@@ -44,25 +46,34 @@ def barycenter(
 ) -> Solution:
     """``values`` is ``(group_id, idx, p)``; status as for transport problems.
 
-    Weights of a group should sum to one. ``debias`` adds the correction that returns a histogram
+    A group that is ``nonfinite`` at the first check has no values. Weights of a group should sum to one. ``debias`` adds the correction that returns a histogram
     unchanged as the barycenter of copies of itself.
     """
     domain = choose_domain(domain, cost, eps)
     members = atoms.where(F.col("p") > 0).join(weights, ["group_id", "member"])
+    check_indices(cost, atoms, atoms)
     chosen = choose_strategy(strategy, cost)
-    if chosen == "batched":
-        large = weights.groupBy("group_id").count().where(F.col("count") > GROUP_MEMBERS)
-        if large.isEmpty():
-            return _batched(members, cost, eps, debias, max_iter, tol, domain)
-        if strategy == "batched":
-            raise ValueError(f"a group exceeds {GROUP_MEMBERS} members; use 'relational'")
-    return _Relational(members, weights, cost, eps, debias, domain).solve(max_iter, tol, check_every)
+    if chosen == "relational":
+        return _Relational(members, weights, cost, eps, debias, domain).solve(max_iter, tol, check_every)
+    sizes = weights.groupBy("group_id").count()
+    large = materialize(sizes.where(F.col("count") > GROUP_MEMBERS).select("group_id"))
+    if large.isEmpty():
+        return _batched(members, cost, eps, debias, max_iter, tol, domain, check_every)
+    if strategy == "batched":
+        raise ValueError(f"a group exceeds {GROUP_MEMBERS} members; use 'relational'")
+    # large groups go the relational way, and only they
+    small = _batched(
+        members.join(large, "group_id", "left_anti"), cost, eps, debias, max_iter, tol, domain, check_every
+    )
+    of_large = [t.join(large, "group_id", "left_semi") for t in (members, weights)]
+    rest = _Relational(*of_large, cost, eps, debias, domain).solve(max_iter, tol, check_every)
+    return Solution(small.values.unionByName(rest.values), small.status.unionByName(rest.status))
 
 
 # --- batched ---------------------------------------------------------------------------------
 
 
-def _batched(members, cost, eps, debias, max_iter, tol, domain) -> Solution:
+def _batched(members, cost, eps, debias, max_iter, tol, domain, check_every=sc.CHECK_EVERY) -> Solution:
     shared = DenseCost.collect(cost).share(members)
     atom = F.struct("idx", "p")
     per_member = members.groupBy(*MEMBER).agg(F.array_sort(F.collect_list(atom)).alias("entries"))
@@ -88,12 +99,13 @@ def _batched(members, cost, eps, debias, max_iter, tol, domain) -> Solution:
                 w = np.asarray(w)
                 if domain == "exp":
                     b, status, rounds, error = sc.barycenters(
-                        K, A[:, None, :], w[None], max_iter, tol, debias
+                        K, A[:, None, :], w[None], max_iter, tol, debias, None, check_every
                     )
                     solved = b[:, 0], status[0], int(rounds[0]), float(error[0])
                 else:
-                    solved = sc.barycenter_log(ground.matrix, A, w, eps, max_iter, tol, debias)
-                out.append((group, ground.ids, *solved))
+                    solved = sc.barycenter_log(ground.matrix, A, w, eps, max_iter, tol, debias, check_every)
+                some = slice(None) if solved[2] else slice(0)  # no round was finite: no values
+                out.append((group, ground.ids[some], solved[0][some], *solved[1:]))
             yield pd.DataFrame(out, columns=["group_id", "idx", "p", "status", "iterations", "error"])
 
     key = members.schema["group_id"].dataType.simpleString()
@@ -142,11 +154,12 @@ class _Relational:
     def round(self, log_v: DataFrame | None, log_d: DataFrame | None):
         """One round from ``log_v, log_d`` (None stands for all zeros)."""
         if log_v is None:
-            scaled = self.atoms.join(self.start, "i")
+            scaled = self.atoms.join(self.start, "i", "left")
         else:
             smoothed = smooth(log_v, self.kernel, "j", "i", MEMBER, self.domain)
-            scaled = self.atoms.join(smoothed, [*MEMBER, "i"])
-        log_u = scaled.select(*MEMBER, "i", (F.col("log_p") - F.col("x")).alias("x"))
+            scaled = self.atoms.join(smoothed, [*MEMBER, "i"], "left")
+        reached = F.coalesce("x", F.lit(-math.inf))
+        log_u = scaled.select(*MEMBER, "i", (F.col("log_p") - reached).alias("x"))
         log_t = smooth(log_u, self.kernel, "i", "j", MEMBER, self.domain)
         if self.eager:  # used by both the mean and the members: computed once per round
             log_t = materialize(log_t)
@@ -180,10 +193,10 @@ class _Relational:
     def gap(self, log_u, log_v, log_d=None, before=None) -> DataFrame:
         """Error per group: gap in the atoms' marginals and, with ``log_d``, the last move of d."""
         reached = smooth(log_v, self.kernel, "j", "i", MEMBER, self.domain).withColumnRenamed("x", "s")
-        gap = F.exp("log_p") - F.exp(F.col("x") + F.col("s"))
+        gap = F.exp("log_p") - F.exp(F.col("x") + F.coalesce("s", F.lit(-math.inf)))
         squares = (
             self.atoms.join(log_u, [*MEMBER, "i"])
-            .join(reached, [*MEMBER, "i"])
+            .join(reached, [*MEMBER, "i"], "left")
             .select("group_id", (gap * gap).alias("square"))
         )
         if log_d is not None:
@@ -217,37 +230,31 @@ class _Relational:
         log_v = log_d = log_b = None
         values, statuses, rounds = [], [], 0
         while True:
-            before = log_b
+            before, start = log_b, rounds
             for _ in range(min(check_every, max_iter - rounds)):
                 old_d = log_d
                 log_u, log_b, log_v, log_d = self.round(log_v, log_d)
                 rounds += 1
             log_b, log_u, log_v = materialize(log_b), materialize(log_u), materialize(log_v)
-            last = rounds >= max_iter
-            fine = F.col("error").isNotNull() & ~F.isnan("error") & (F.col("error") < float("inf"))
-            status = (
-                F.when(~fine, sc.NONFINITE)
-                .when(F.col("error") < tol, sc.CONVERGED)
-                .when(F.lit(last), sc.MAX_ITER)
-            )
-            checked = materialize(
-                self.gap(log_u, log_v, log_d, old_d).select(
-                    "group_id", status.alias("status"), F.lit(rounds).alias("iterations"), "error"
-                )
-            )
+            gaps = self.gap(log_u, log_v, log_d, old_d)
+            checked = materialize(checked_status(gaps, "group_id", tol, start, rounds, max_iter))
             closed = checked.where("status is not null")
-            statuses.append(closed)
-            sound = closed.where(F.col("status") != sc.NONFINITE).select("group_id")
-            values.append(log_b.join(sound, "group_id", "left_semi"))
-            if before is not None:
-                broken = closed.where(F.col("status") == sc.NONFINITE).select("group_id")
-                values.append(before.join(broken, "group_id", "left_semi"))
+            if not closed.isEmpty():
+                statuses.append(closed)
+                sound = closed.where(F.col("status") != sc.NONFINITE).select("group_id")
+                ended = log_b.join(sound, "group_id", "left_semi")
+                if before is not None:
+                    broken = closed.where(F.col("status") == sc.NONFINITE).select("group_id")
+                    ended = ended.unionByName(before.join(broken, "group_id", "left_semi"))
+                values.append(materialize(ended))
             pending = checked.where("status is null").select("group_id")
-            if last or pending.isEmpty():
+            if rounds >= max_iter or pending.isEmpty():
                 break
             if not closed.isEmpty():
-                self.atoms = self.atoms.join(pending, "group_id", "left_semi")
-                log_v = log_v.join(pending, "group_id", "left_semi")
-                log_b = log_b.join(pending, "group_id", "left_semi")
-                log_d = None if log_d is None else log_d.join(pending, "group_id", "left_semi")
+                self.atoms, log_v, log_b, log_d = (
+                    None if t is None else materialize(t.join(pending, "group_id", "left_semi"))
+                    for t in (self.atoms, log_v, log_b, log_d)
+                )
+        if not statuses:  # no groups at all
+            values, statuses = [log_b], [checked]
         return Solution(self._values(_union(values)), _union(statuses))

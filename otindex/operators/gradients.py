@@ -26,7 +26,7 @@ LOSSES = ("squared", "linear", "regularized")
 
 
 def loss_and_slope(ground: DenseCost, K, P, Y, loss: str, eps: float, max_iter: int, tol: float):
-    """Loss of each column of ``P`` against ``Y`` and its gradient with respect to ``P``.
+    """Loss of each column of ``P`` against ``Y``, its gradient with respect to ``P``, and status.
 
     ``squared`` is the sum of squared gaps, ``linear`` the cost moved by the entropic plan and
     ``regularized`` that cost with its entropy term.
@@ -34,9 +34,9 @@ def loss_and_slope(ground: DenseCost, K, P, Y, loss: str, eps: float, max_iter:
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     if loss == "squared":
-        return ((P - Y) ** 2).sum(axis=0), 2 * (P - Y)
+        return ((P - Y) ** 2).sum(axis=0), 2 * (P - Y), np.full(P.shape[1], sc.CONVERGED, dtype=object)
     trail = []
-    U, V, *_ = sc.scale_pairs(K, P, Y, max_iter, tol, trail)
+    U, V, status, *_ = sc.scale_pairs(K, P, Y, max_iter, tol, trail)
     KC = K * ground.finite
     Ubar, Vbar = KC @ V, KC.T @ U
     value = (U * Ubar).sum(axis=0)
@@ -49,7 +49,7 @@ def loss_and_slope(ground: DenseCost, K, P, Y, loss: str, eps: float, max_iter:
         Ubar = f * KV + K @ (g * V)
         Vbar = K.T @ (f * U) + g * KU
         value = (U * Ubar).sum(axis=0) - eps * (U * KV).sum(axis=0)
-    return value, sc.pairs_reverse(K, P, Y, trail, Ubar, Vbar)
+    return value, sc.pairs_reverse(K, P, Y, trail, Ubar, Vbar), status
 
 
 def sinkhorn_gradient(
@@ -58,7 +58,7 @@ def sinkhorn_gradient(
 ) -> DataFrame:
     """``(problem_id, i, grad)``: derivative of the transport cost by the first histogram.
 
-    One row per support point. The derivative is centered within each problem, because mass can
+    One row per support point; the derivative of a problem that is not finite is NaN. The derivative is centered within each problem, because mass can
     only move along directions that keep the total. A cost too large for the tasks leaves the
     regularized loss, whose derivative at convergence is the potential itself.
     """
@@ -78,7 +78,8 @@ def sinkhorn_gradient(
         K = ground.kernel(eps)
         for rows in chunks(batches, width):
             A, B = stack(ground, rows, "a"), stack(ground, rows, "b")
-            _, slope = loss_and_slope(ground, K, A, B, loss, eps, max_iter, tol)
+            _, slope, status = loss_and_slope(ground, K, A, B, loss, eps, max_iter, tol)
+            slope[:, status == sc.NONFINITE] = np.nan
             grads = [slope[ground.at(ia), s] for s, ia in enumerate(rows["idx_a"])]
             yield pd.DataFrame(
                 {
@@ -223,21 +224,25 @@ def through_softmax(y, bar, axis):
 
 
 def document_gradients(ground: DenseCost, K, topic_logits, logits, Y, settings):
-    """Loss and gradients of a few documents: by their own weights and, summed, by the topics.
+    """Loss and gradients of a few documents: by their own weights and, summed, by the topics; status.
 
-    ``settings`` has ``loss``, ``reg``, ``max_iter``, ``tol`` and ``debias``; parameters are
+    A document whose barycenter or loss is not finite says so in its status; its loss is NaN, its
+    weights get no gradient and the topics none from it. ``settings`` has ``loss``, ``reg``, ``max_iter``, ``tol`` and ``debias``; parameters are
     logits, the softmax of which are topics and weights.
     """
     A, W = softmax(topic_logits, 0), softmax(logits, 1)
     trail = []
-    fitted, *_ = sc.barycenters(
+    fitted, status, *_ = sc.barycenters(
         K, A[:, None, :], W, settings.max_iter, settings.tol, settings.debias, trail
     )
-    value, slope = loss_and_slope(
+    value, slope, moved = loss_and_slope(
         ground, K, fitted, Y, settings.loss, settings.reg, settings.max_iter, settings.tol
     )
+    status = np.where(status == sc.CONVERGED, moved, status)
+    broken = (status == sc.NONFINITE) | (moved == sc.NONFINITE) | ~np.isfinite(value)
+    status[broken], value[broken], slope[:, broken] = sc.NONFINITE, np.nan, 0.0
     Abar, Wbar = sc.barycenters_reverse(K, A[:, None, :], W, trail, slope, settings.debias)
-    return value, through_softmax(W, Wbar, 1), through_softmax(A, Abar.sum(axis=1), 0)
+    return value, through_softmax(W, Wbar, 1), through_softmax(A, Abar.sum(axis=1), 0), status
 
 
 def batch_gradient(
@@ -247,14 +252,15 @@ def batch_gradient(
 
     ``distributions`` is ``(doc_id, word_id, p)``; ``topics`` is ``(topic, word_id, logit)`` and
     ``weights`` is ``(doc_id, logits)``. Returns ``(topic, word_id, grad)``, averaged over the
-    batch, and ``(doc_id, loss, grad)``. Each task adds up its documents before the shuffle.
+    finite documents of the batch, and ``(doc_id, loss, grad, status)``. Each task adds up its documents
+    before the shuffle.
     """
     dense = DenseCost.collect(cost)
     logits = collect_topics(topics, dense)
     docs = pack(distributions, "doc_id", "word_id").join(weights, "doc_id")
     rows = gradient_rows(docs.repartition(tasks(docs), "doc_id"), dense, logits, settings)
     return topic_gradient(rows).drop("loss"), rows.where("topic is null").select(
-        "doc_id", "loss", F.col("grad")
+        "doc_id", "loss", "grad", "status"
     )
 
 
@@ -275,7 +281,8 @@ def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, s
     """The packed documents ``(doc_id, idx, p, logits, ...)`` with their loss and weight gradient,
     and per Arrow chunk and topic one row with the summed loss and topic gradient.
 
-    ``topic`` is null in document rows; in topic rows ``idx`` and ``grad`` run over all words.
+    ``topic`` is null in document rows; in topic rows ``idx`` and ``grad`` run over all words, and
+    ``docs`` counts the documents that were finite.
     """
     shared = dense.share(docs)
     model = docs.sparkSession.sparkContext.broadcast(topic_logits)
@@ -287,29 +294,29 @@ def gradient_rows(docs: DataFrame, dense: DenseCost, topic_logits: np.ndarray, s
         for rows in chunks(batches, width):
             Y = np.stack([ground.column(i, p) for i, p in zip(rows["idx"], rows["p"])], axis=1)
             logits = np.stack(rows["logits"].to_list())
-            loss, by_weight, by_topic = document_gradients(ground, K, topics, logits, Y, settings)
-            by_doc = rows.assign(topic=None, docs=1, loss=loss, grad=list(by_weight))
+            loss, by_weight, by_topic, status = document_gradients(ground, K, topics, logits, Y, settings)
+            by_doc = rows.assign(topic=None, docs=1, loss=loss, grad=list(by_weight), status=status)
             yield by_doc
             topics_here = by_topic.shape[1]
             sums = {"idx": [ground.ids] * topics_here, "topic": range(topics_here),
-                    "docs": len(rows), "loss": loss.sum(), "grad": list(by_topic.T)}
+                    "docs": int(np.isfinite(loss).sum()), "loss": np.nansum(loss), "grad": list(by_topic.T)}
             nulls = dict.fromkeys(by_doc.columns)
             yield pd.DataFrame({**nulls, **sums})
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInPandas(
-        solve, f"{fields}, topic int, docs bigint, loss double, grad array<double>"
+        solve, f"{fields}, topic int, docs bigint, loss double, grad array<double>, status string"
     )
 
 
 def topic_gradient(rows: DataFrame) -> DataFrame:
-    """``(topic, word_id, grad, loss)``: chunk sums added up and divided by the number of documents."""
+    """``(topic, word_id, grad, loss)``: chunk sums over the number of finite documents (null for none)."""
     return (
         rows.where("topic is not null")
         .select("topic", "docs", "loss", F.inline(F.arrays_zip(F.col("idx").alias("word_id"), "grad")))
         .groupBy("topic", "word_id")
         .agg(
-            (F.sum("grad") / F.sum("docs")).alias("grad"),
-            (F.sum("loss") / F.sum("docs")).alias("loss"),
+            F.try_divide(F.sum("grad"), F.sum("docs")).alias("grad"),
+            F.try_divide(F.sum("loss"), F.sum("docs")).alias("loss"),
         )
     )

@@ -9,9 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from otindex.session import BROADCAST_ROWS, SALTS, at_most, broadcast_if_small, materialize
+
 OPERATIONS = ("mul", "div", "pow")
 
 
+def _match(large: DataFrame, small: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join on one matrix index, which takes few values and so holds many rows each.
+
+    The small side is broadcast if its size allows; beyond that the rows of an index are dealt by
+    column ``by`` to several tasks, each with a copy of the other side's rows.
+    """
+    small = materialize(small)
+    if at_most(small, BROADCAST_ROWS):
+        return large.join(F.broadcast(small), on)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [on, "_salt"]).drop("_salt")
+
+
 def gibbs_kernel(cost: DataFrame, eps: float) -> DataFrame:
     """``(i, j, cost, k)`` with ``k = exp(-cost / eps)``."""
     return cost.withColumn("k", F.exp(-F.col("cost") / eps))
@@ -25,7 +41,7 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """``sum over k of a[i, k] * b[k, j]``."""
     left = a.select("i", F.col("j").alias("k"), F.col("value").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("value").alias("y"))
-    product = left.join(right, "k")
+    product = _match(left, right, "k", "i")
     return product.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
@@ -47,7 +63,7 @@ def scale(m: DataFrame, vector: DataFrame, axis: str = "i", op: str = "mul") ->
     """Combine every row (``axis='i'``) or column (``axis='j'``) with one entry of a vector
     ``(axis, value)``."""
     other = vector.select(axis, F.col("value").alias("y"))
-    return m.join(other, axis).select(
+    return _match(m, other, axis, "j" if axis == "i" else "i").select(
         "i", "j", _combine(F.col("value"), F.col("y"), op).alias("value")
     )
 
@@ -63,7 +79,7 @@ def col_sums(m: DataFrame) -> DataFrame:
 def row_geomean(m: DataFrame, weights: DataFrame) -> DataFrame:
     """``prod over j of m[i, j] ** weight[j]`` for positive entries; weights ``(j, weight)``."""
     return (
-        m.join(weights, "j")
+        _match(m, weights, "j", "i")
         .groupBy("i")
         .agg(F.exp(F.sum(F.col("weight") * F.ln("value"))).alias("value"))
     )
@@ -74,8 +90,9 @@ def softmin(m: DataFrame, eps: float, axis: str = "i") -> DataFrame:
 
     Two aggregations, both combined on the map side, so a long row is never held in one task.
     """
-    least = m.groupBy(axis).agg(F.min("value").alias("least"))
-    shifted = m.join(least, axis)
+    m = materialize(m.select("i", "j", "value"))
+    least = materialize(m.groupBy(axis).agg(F.min("value").alias("least")))
+    shifted = _match(m, least, axis, "j" if axis == "i" else "i")
     return shifted.groupBy(axis).agg(
         (
             F.min("least")
@@ -92,18 +109,26 @@ def cost_minus_potentials(cost: DataFrame, f: DataFrame, g: DataFrame) -> DataFr
     left = f.select("topic", "i", F.col("value").alias("f"))
     right = g.select("topic", "j", F.col("value").alias("g"))
     return (
-        cost.join(left, "i")
+        _match(cost, left, "i", "j")
         .join(right, ["topic", "j"])
         .select("topic", "i", "j", (F.col("cost") - F.col("f") - F.col("g")).alias("value"))
     )
 
 
+def _normalized(m: DataFrame, axis: str, lifted) -> DataFrame:
+    """``lifted(value, least, top)`` over its sum along ``axis``; the input is computed once."""
+    m = materialize(m.select("i", "j", "value"))
+    ends = broadcast_if_small(
+        materialize(m.groupBy(axis).agg(F.min("value").alias("least"), F.max("value").alias("top")))
+    )
+    raised = m.join(ends, axis).select("i", "j", lifted(F.col("value"), F.col("least"), F.col("top")).alias("value"))
+    total = broadcast_if_small(materialize(raised.groupBy(axis).agg(F.sum("value").alias("total"))))
+    return raised.join(total, axis).select("i", "j", (F.col("value") / F.col("total")).alias("value"))
+
+
 def softmax(m: DataFrame) -> DataFrame:
     """Softmax of each column ``j``, shifted by the column's largest entry."""
-    top = m.groupBy("j").agg(F.max("value").alias("top"))
-    lifted = m.join(top, "j").select("i", "j", F.exp(F.col("value") - F.col("top")).alias("value"))
-    total = lifted.groupBy("j").agg(F.sum("value").alias("total"))
-    return lifted.join(total, "j").select("i", "j", (F.col("value") / F.col("total")).alias("value"))
+    return _normalized(m, "j", lambda value, least, top: F.exp(value - top))
 
 
 def softmax_jacobian(y: DataFrame) -> DataFrame:
@@ -121,12 +146,7 @@ def softmax_jacobian(y: DataFrame) -> DataFrame:
 
 def softmin_jacobian(m: DataFrame, eps: float) -> DataFrame:
     """Derivative of the row softmin: ``exp(-m / eps)`` normalized within each row."""
-    least = m.groupBy("i").agg(F.min("value").alias("least"))
-    lifted = m.join(least, "i").select(
-        "i", "j", F.exp((F.col("least") - F.col("value")) / eps).alias("value")
-    )
-    total = lifted.groupBy("i").agg(F.sum("value").alias("total"))
-    return lifted.join(total, "i").select("i", "j", (F.col("value") / F.col("total")).alias("value"))
+    return _normalized(m, "i", lambda value, least, top: F.exp((least - value) / eps))
 
 
 def weighted_contract(weights: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
@@ -134,7 +154,7 @@ def weighted_contract(weights: DataFrame, x: DataFrame, y: DataFrame) -> DataFra
 
     ``weights`` is ``(k, weight)``, ``x`` is ``(i, j, k, value)`` and ``y`` is ``(i, k, value)``.
     """
-    ratio = y.join(weights, "k").select("i", "k", (F.col("weight") / F.col("value")).alias("r"))
+    ratio = _match(y, weights, "k", "i").select("i", "k", (F.col("weight") / F.col("value")).alias("r"))
     return (
         x.join(ratio, ["i", "k"])
         .groupBy("i", "j")
@@ -147,7 +167,7 @@ def tensor_product(m: DataFrame, x: DataFrame) -> DataFrame:
     left = m.select("i", F.col("j").alias("t"), F.col("value").alias("a"))
     right = x.select(F.col("i").alias("t"), "j", "k", F.col("value").alias("b"))
     return (
-        left.join(right, "t")
+        _match(right, left, "t", "j")
         .groupBy("i", "j", "k")
         .agg(F.sum(F.col("a") * F.col("b")).alias("value"))
     )

@@ -111,6 +111,7 @@ def doc_distributions(
     if oov not in ("bucket", "drop"):
         raise ValueError("oov must be 'bucket' or 'drop'")
     matched = lookup_words(word_counts(tokenized), vocabulary, broadcast_rows)
+    known = F.col("word_id").isNotNull()
     if oov == "drop":
         # words are unique per document here, and a document is bounded by its one input row
         total = F.sum("count").over(Window.partitionBy("doc_id"))
@@ -118,11 +119,12 @@ def doc_distributions(
             "doc_id", "word_id", (F.col("count") / total).alias("p")
         )
     bucket = vocabulary.count()
-    return (
-        matched.withColumn("word_id", F.coalesce("word_id", F.lit(bucket).cast("int")))
-        .groupBy("doc_id", "word_id")
-        .agg((F.sum("count") / F.max("n_tokens")).alias("p"))
+    # a word stands once per document: only unknown words need a shuffle, combined before it
+    share = (F.col("count") / F.col("n_tokens")).alias("p")
+    unknown = matched.where(~known).groupBy("doc_id").agg(
+        F.lit(bucket).cast("int").alias("word_id"), (F.sum("count") / F.max("n_tokens")).alias("p")
     )
+    return matched.where(known).select("doc_id", "word_id", share).unionByName(unknown)
 
 
 def count_vectors(tokenized: DataFrame, vocabulary: DataFrame, max_words: int = 65_536) -> DataFrame:

@@ -1,25 +1,26 @@
 """Entropic optimal transport for tables of problems.
 
 A problem is a pair of histograms ``(problem_id, idx, p)``. Two strategies give the same
-potentials:
+potentials, rounds and status, as both look at errors after the same rounds:
 
 * ``batched``: each problem is one row with arrays; tasks stack the problems of an Arrow chunk
   and iterate with dense matrix products. Needs a cost table small enough for every task.
 * ``relational``: each round is a join with the kernel table, a grouped sum and a join with the
-  marginals. Vectors are partitioned by problem before the kernel join, so the large joined
-  rows are summed where they arise; only vectors are exchanged.
+  marginals. Vectors are partitioned by problem before the kernel join. While the kernel table can
+  be broadcast the joined rows are summed where they arise and only vectors are exchanged; a
+  larger kernel is joined by a shuffle of the joined rows, and is quadratic in the vocabulary.
 
 Potentials are ``f = eps * log u`` and ``g = eps * log v`` in both the exp and the log domain.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from otindex.functions import scaling as sc
@@ -34,6 +35,9 @@ from otindex.operators.ground import (
 from otindex.operators.text import pack
 from otindex.session import BROADCAST_ROWS, SALTS, broadcast_if_small, materialize
 
+#: Status of a problem with a histogram without mass.
+EMPTY = "empty"
+
 #: Doubles one task may hold for one stack of problems.
 STACK_VALUES = 4_000_000
 
@@ -81,6 +85,14 @@ def pair_problems(
     )
 
 
+def check_indices(cost: DataFrame, a: DataFrame, b: DataFrame) -> None:
+    """Every index that carries mass must occur in the cost: ``a`` as i, ``b`` as j."""
+    for side, name in ((a, "i"), (b, "j")):
+        used = side.where(F.col("p") > 0).select(F.col("idx").alias(name)).distinct()
+        if not used.join(cost.select(name), name, "left_anti").isEmpty():
+            raise ValueError("a histogram uses an index that the cost does not have")
+
+
 def sinkhorn_pairs(
     pairs: DataFrame,
     dist_a: DataFrame,
@@ -95,16 +107,23 @@ def sinkhorn_pairs(
 ) -> Solution:
     """Solve ``pairs(problem_id, a_id, b_id)`` of histograms ``(id, idx, p)``; see :func:`sinkhorn`.
 
+    A pair with a histogram that is missing or has no mass has no potentials and the status ``empty``.
     In the batched strategy a pair is one small row when it is spread over the tasks; a shared
     histogram that can be broadcast joins it there and is never shuffled once per pair.
     """
     domain = choose_domain(domain, cost, eps)
     if choose_strategy(strategy, cost) == "batched":
+        check_indices(cost, dist_a, dist_b)
         spread = pairs.repartition(tasks(pairs), "problem_id")
         packed = _attach(_attach(spread, dist_a, "a"), dist_b, "b")
-        return _batched(packed, cost, eps, max_iter, tol, domain)
-    a, b = pair_problems(pairs, dist_a, dist_b)
-    return sinkhorn(a, b, cost, eps, max_iter, tol, domain, "relational", check_every)
+        solution = _batched(packed, cost, eps, max_iter, tol, domain, check_every)
+    else:
+        a, b = pair_problems(pairs, dist_a, dist_b)
+        solution = sinkhorn(a, b, cost, eps, max_iter, tol, domain, "relational", check_every)
+    empty = F.coalesce("status", F.lit(EMPTY)).alias("status")
+    rounds = F.coalesce("iterations", F.lit(0)).alias("iterations")
+    status = pairs.select("problem_id").join(solution.status, "problem_id", "left")
+    return Solution(solution.values, status.select("problem_id", empty, rounds, "error"), solution.costs)
 
 
 def sinkhorn(
@@ -121,13 +140,18 @@ def sinkhorn(
     """Solve every problem; ``values`` is ``(problem_id, side, idx, potential)``.
 
     ``max_iter`` is the exact number of rounds where nothing converges; the error is the norm of
-    the gap in the first marginal. Status is ``converged``, ``max_iter`` or ``nonfinite``; the
-    last finite potentials are kept. The relational strategy looks at the error every
-    ``check_every`` rounds, and not at all with ``tol=0``.
+    the gap in the first marginal, looked at every ``check_every`` rounds in either strategy. Status
+    is ``converged``, ``max_iter`` or ``nonfinite``: that one keeps the potentials and the number of
+    rounds of the check before (zeros and 0 at first), with an infinite error. An index that the
+    cost lacks is an error, and a problem without mass on one side has no rows.
     """
     domain = choose_domain(domain, cost, eps)
+    check_indices(cost, a, b)
     if choose_strategy(strategy, cost) == "batched":
-        return _batched(packed_pairs(a, b), cost, eps, max_iter, tol, domain)
+        return _batched(packed_pairs(a, b), cost, eps, max_iter, tol, domain, check_every)
+    a, b = (t.where(F.col("p") > 0) for t in (a, b))
+    ids = a.select("problem_id").distinct().join(b.select("problem_id").distinct(), "problem_id")
+    a, b = (t.join(ids, "problem_id", "left_semi") for t in (a, b))
     if tol > 0:
         return _relational(a, b, cost, eps, max_iter, tol, domain, check_every)
     return _fixed_rounds(a, b, cost, eps, max_iter, domain)
@@ -153,14 +177,14 @@ def stack(dense: DenseCost, rows: pd.DataFrame, side: str) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _batched(packed, cost, eps, max_iter, tol, domain) -> Solution:
+def _batched(packed, cost, eps, max_iter, tol, domain, check_every=sc.CHECK_EVERY) -> Solution:
     dense = DenseCost.collect(cost)
     shared = dense.share(packed)
     width = max(1, STACK_VALUES // (8 * len(dense.ids)))
 
     def solve_exp(rows, ground, K):
         U, V, status, rounds, error = sc.scale_pairs(
-            K, stack(ground, rows, "a"), stack(ground, rows, "b"), max_iter, tol
+            K, stack(ground, rows, "a"), stack(ground, rows, "b"), max_iter, tol, None, check_every
         )
         # off the support U and V are zero, and so is what they contribute to the costs
         f = eps * np.log(U, where=U > 0, out=np.zeros_like(U))
@@ -177,7 +201,7 @@ def _batched(packed, cost, eps, max_iter, tol, domain) -> Solution:
     def solve_log(rows, ground):
         for ia, pa, ib, pb in zip(rows["idx_a"], rows["p_a"], rows["idx_b"], rows["p_b"]):
             C = ground.matrix[np.ix_(ground.at(ia), ground.at(ib))]
-            solved = sc.scale_pair_log(C, np.asarray(pa), np.asarray(pb), eps, max_iter, tol)
+            solved = sc.scale_pair_log(C, np.asarray(pa), np.asarray(pb), eps, max_iter, tol, check_every)
             level = solved[0][:, None] + solved[1][None, :]
             mass = np.exp((level - C) / eps)
             linear = (mass * np.where(mass > 0, C, 0.0)).sum()
@@ -228,6 +252,11 @@ def _batched(packed, cost, eps, max_iter, tol, domain) -> Solution:
 # --- relational ------------------------------------------------------------------------------
 
 
+def log_of(total: Column) -> Column:
+    """The logarithm, which for zero is minus infinity and not null."""
+    return F.when(total > 0, F.ln(total)).otherwise(F.lit(-math.inf))
+
+
 def smooth(x: DataFrame, kernel: DataFrame, src: str, dst: str, keys: list[str], domain: str) -> DataFrame:
     """``log(sum over src of exp(x - cost / eps))`` per key and ``dst``, as ``(*keys, dst, x)``.
 
@@ -236,12 +265,12 @@ def smooth(x: DataFrame, kernel: DataFrame, src: str, dst: str, keys: list[str],
     """
     joined = x.repartition(*keys).join(kernel, src)
     if domain == "exp":
-        total = F.ln(F.sum(F.exp("x") * F.col("k")))
-        return joined.groupBy(*keys, dst).agg(total.alias("x"))
+        return joined.groupBy(*keys, dst).agg(log_of(F.sum(F.exp("x") * F.col("k"))).alias("x"))
     shifted = joined.select(*keys, dst, (F.col("x") - F.col("c")).alias("z")).withColumn(
         "top", F.max("z").over(Window.partitionBy(*keys, dst))
     )
-    total = F.max("top") + F.ln(F.sum(F.exp(F.col("z") - F.col("top"))))
+    lowest = F.max("top") == F.lit(-math.inf)
+    total = F.when(lowest, -math.inf).otherwise(F.max("top") + log_of(F.sum(F.exp(F.col("z") - F.col("top")))))
     return shifted.groupBy(*keys, dst).agg(total.alias("x"))
 
 
@@ -255,8 +284,9 @@ def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _scale(marginal: DataFrame, smoothed: DataFrame, idx: str) -> DataFrame:
-    return marginal.join(smoothed, ["problem_id", idx]).select(
-        "problem_id", idx, (F.col("log_p") - F.col("x")).alias("x")
+    reached = F.coalesce("x", F.lit(-math.inf))
+    return marginal.join(smoothed, ["problem_id", idx], "left").select(
+        "problem_id", idx, (F.col("log_p") - reached).alias("x")
     )
 
 
@@ -281,10 +311,10 @@ def _unstacked(state: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _gap(left, log_u, log_v, kernel, domain) -> DataFrame:
     """Norm of the gap in the first marginal per problem."""
     reached = smooth(log_v, kernel, "j", "i", ["problem_id"], domain).withColumnRenamed("x", "s")
-    gap = F.exp("log_p") - F.exp(F.col("x") + F.col("s"))
+    gap = F.exp("log_p") - F.exp(F.col("x") + F.coalesce("s", F.lit(-math.inf)))
     return (
         left.join(log_u, ["problem_id", "i"])
-        .join(reached, ["problem_id", "i"])
+        .join(reached, ["problem_id", "i"], "left")
         .groupBy("problem_id")
         .agg(F.sqrt(F.sum(gap * gap)).alias("error"))
     )
@@ -319,7 +349,7 @@ def _relational(a, b, cost, eps, max_iter, tol, domain, check_every) -> Solution
     )
     values, statuses, rounds = [], [], 0
     while True:
-        before = state
+        before, start = state, rounds
         log_u, log_v = _unstacked(state)
         steps = min(check_every, max_iter - rounds)
         for step in range(1, steps + 1):
@@ -329,36 +359,45 @@ def _relational(a, b, cost, eps, max_iter, tol, domain, check_every) -> Solution
         rounds += steps
         state = materialize(_stacked(log_u, log_v))
         log_u, log_v = _unstacked(state)
-        last = rounds >= max_iter
-        fine = F.col("error").isNotNull() & ~F.isnan("error") & (F.col("error") < float("inf"))
-        status = (
-            F.when(~fine, sc.NONFINITE)
-            .when(F.col("error") < tol, sc.CONVERGED)
-            .when(F.lit(last), sc.MAX_ITER)
-        )
-        checked = materialize(
-            _gap(left, log_u, log_v, kernel, domain).select(
-                "problem_id", status.alias("status"), F.lit(rounds).alias("iterations"), "error"
-            )
-        )
+        gaps = _gap(left, log_u, log_v, kernel, domain)
+        checked = materialize(checked_status(gaps, "problem_id", tol, start, rounds, max_iter))
         closed = checked.where("status is not null")
-        statuses.append(closed)
-        sound = closed.where(F.col("status") != sc.NONFINITE).select("problem_id")
-        broken = closed.where(F.col("status") == sc.NONFINITE).select("problem_id")
-        values += [
-            state.join(sound, "problem_id", "left_semi"),
-            before.join(broken, "problem_id", "left_semi"),
-        ]
+        if not closed.isEmpty():
+            statuses.append(closed)
+            sound = closed.where(F.col("status") != sc.NONFINITE).select("problem_id")
+            broken = closed.where(F.col("status") == sc.NONFINITE).select("problem_id")
+            ended = state.join(sound, "problem_id", "left_semi").unionByName(
+                before.join(broken, "problem_id", "left_semi")
+            )
+            values.append(materialize(ended))
         pending = checked.where("status is null").select("problem_id")
-        if last or pending.isEmpty():
+        if rounds >= max_iter or pending.isEmpty():
             break
         if not closed.isEmpty():
             state, left, right = (
-                t.join(pending, "problem_id", "left_semi") for t in (state, left, right)
+                materialize(t.join(pending, "problem_id", "left_semi")) for t in (state, left, right)
             )
+    if not statuses:  # no problems at all
+        values, statuses = [state], [checked]
     return Solution(_potentials(_union(values), eps), _union(statuses))
 
 
+def checked_status(gaps: DataFrame, key: str, tol: float, start: int, rounds: int, max_iter: int) -> DataFrame:
+    """``(key, status, iterations, error)`` after a look at the errors; null status: go on."""
+    fine = F.col("error").isNotNull() & ~F.isnan("error") & (F.col("error") < math.inf)
+    status = (
+        F.when(~fine, sc.NONFINITE)
+        .when(F.col("error") < tol, sc.CONVERGED)
+        .when(F.lit(rounds >= max_iter), sc.MAX_ITER)
+    )
+    return gaps.select(
+        key,
+        status.alias("status"),
+        F.when(fine, rounds).otherwise(start).cast("int").alias("iterations"),
+        F.when(fine, F.col("error")).otherwise(math.inf).alias("error"),
+    )
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:

@@ -32,14 +32,18 @@ from otindex.operators.ground import DenseCost, chunks, tasks
 from otindex.operators.linalg import softmax as softmax_table
 from otindex.operators.svd import truncated_svd
 from otindex.operators.text import pack
+from otindex.operators.transport import Solution
 from otindex.session import working_folder
 from otindex.spec import DictionarySpec
 
+#: Columns of a training history; the last three count the documents of a batch by solver status.
+HISTORY = "step int, epoch int, batch int, loss double, converged bigint, max_iter bigint, nonfinite bigint"
+
 
 @dataclass(frozen=True)
 class DictionaryModel:
     """``topics (topic, word_id, p)``, ``weights (doc_id, weights)`` and ``history``, the mean
-    loss per step."""
+    loss of the finite documents per step and how many documents had which solver status."""
 
     topics: DataFrame
     weights: DataFrame
@@ -142,10 +146,16 @@ class _Training:
         )
         fetched = moved.toArrow()
         loss = fetched.column("loss")[0].as_py()
+        states = dict(rows.where("topic is null").groupBy("status").count().collect())
+        if loss is None:
+            raise RuntimeError(
+                f"no document of batch {batch} has a finite loss: the kernel underflows; raise reg or scale the cost"
+            )
         self.topics = fetched.drop_columns(["loss"])
         if spec.weight_grad == "shared":
             self._move_offset(rows)
-        self.losses.append((self.steps, epoch, batch, loss))
+        counts = (states.get(s, 0) for s in (sc.CONVERGED, sc.MAX_ITER, sc.NONFINITE))
+        self.losses.append((self.steps, epoch, batch, loss, *counts))
         return loss
 
     def _update(self, state: DataFrame, grads: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,7 +227,7 @@ class _Training:
             ),
             weights=final.select("doc_id", softmax_array(logits).alias("weights")),
             history=self.spark.createDataFrame(
-                self.losses, "step int, epoch int, batch int, loss double"
+                self.losses, HISTORY
             ),
             spec=self.spec,
         )
@@ -236,7 +246,15 @@ def topic_array(topics: DataFrame, dense: DenseCost) -> np.ndarray:
 
 
 def reconstruct(model: DictionaryModel, cost: DataFrame) -> DataFrame:
-    """``(doc_id, word_id, p)``: each document's barycenter of the topics under its weights."""
+    """``(doc_id, word_id, p)``: each document's barycenter of the topics under its weights.
+
+    Documents whose barycenter is not finite have no rows; see :func:`reconstruction`.
+    """
+    return reconstruction(model, cost).values
+
+
+def reconstruction(model: DictionaryModel, cost: DataFrame) -> Solution:
+    """The reconstructed documents and ``(doc_id, status, iterations, error)`` for every one."""
     spec = model.spec
     dense = DenseCost.collect(cost, spec.max_words)
     shared = dense.share(cost)
@@ -248,17 +266,24 @@ def reconstruct(model: DictionaryModel, cost: DataFrame) -> DataFrame:
         K = ground.kernel(spec.reg)
         for rows in chunks(batches, width):
             W = np.stack(rows["weights"].to_list())
-            fitted, *_ = sc.barycenters(K, A, W, spec.max_iter, spec.tol, spec.debias)
+            fitted, status, rounds, error = sc.barycenters(K, A, W, spec.max_iter, spec.tol, spec.debias)
+            none = np.empty(0)
             yield pd.DataFrame(
-                {"doc_id": rows["doc_id"].to_numpy(), "word_id": [ground.ids] * len(rows),
-                 "p": list(fitted.T)}
+                {"doc_id": rows["doc_id"].to_numpy(),
+                 "word_id": [ground.ids if r else none.astype(int) for r in rounds],
+                 "p": [p if r else none for p, r in zip(fitted.T, rounds)],
+                 "status": status, "iterations": rounds, "error": error}
             )
 
     key = model.weights.schema["doc_id"].dataType.simpleString()
     solved = model.weights.repartition(tasks(model.weights)).mapInPandas(
-        solve, f"doc_id {key}, word_id array<int>, p array<double>"
+        solve,
+        f"doc_id {key}, word_id array<int>, p array<double>, status string, iterations int, error double",
+    )
+    return Solution(
+        solved.select("doc_id", F.inline(F.arrays_zip("word_id", "p"))),
+        solved.select("doc_id", "status", "iterations", "error"),
     )
-    return solved.select("doc_id", F.inline(F.arrays_zip("word_id", "p")))
 
 
 def predict(
@@ -285,7 +310,7 @@ def predict(
             logits = np.stack(rows["logits"].to_list())
             m, v = np.zeros_like(logits), np.zeros_like(logits)
             for t in range(1, steps + 1):
-                _, grad, _ = document_gradients(ground, K, topics.value, logits, Y, spec)
+                _, grad, *_ = document_gradients(ground, K, topics.value, logits, Y, spec)
                 m = spec.beta1 * m + (1 - spec.beta1) * grad
                 v = spec.beta2 * v + (1 - spec.beta2) * grad**2
                 ahead, spread = m / (1 - spec.beta1**t), v / (1 - spec.beta2**t)

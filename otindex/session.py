@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +17,9 @@ SALTS = 16
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and working tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A throwaway folder is made only
-    for a local master without that setting; a real cluster must configure one, because
-    a machine-local folder would not survive the loss of an executor.
+    The cluster names it in ``spark.checkpoint.dir``. Without that setting a local master uses
+    a folder in the warehouse; any other master must configure one, because a machine-local folder
+    would not survive the loss of an executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="otindex-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/otindex-checkpoints"
     context.setCheckpointDir(folder)
     return folder
 

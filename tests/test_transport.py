@@ -8,11 +8,13 @@ from otindex.operators.ground import choose_domain, choose_strategy
 from otindex.operators.transport import (
     pair_problems,
     sinkhorn,
+    sinkhorn_pairs,
     solved_cost,
     transport_cost,
     transport_plan,
 )
 
+# Fixed fixture values: small problems and the plans and barycenters that belong to them.
 PAIR = ([[0.4, 0.6]], [[0.8, 0.2]], [[0.1, 0.5], [0.5, 0.1]])
 PLAN = {(0, 0): 0.3999329524, (0, 1): 0.0000670476, (1, 0): 0.4000670476, (1, 1): 0.1999329524}
 
@@ -56,13 +58,76 @@ def test_steep_cost_needs_the_log_domain(make):
     assert broken.status == "nonfinite"
 
 
-def test_relational_reports_nonfinite_and_restores(make):
-    a, b = make.histograms([[0.5, 0.5], [0.5, 0.5]]), make.histograms([[0.5, 0.5], [0.2, 0.8]])
-    cost = make.cost([[0.0, 500.0], [500.0, 0.0]])
-    solution = sinkhorn(a, b, cost, 0.1, domain="exp", strategy="relational", max_iter=4, check_every=2)
-    assert {r.status for r in solution.status.collect()} <= {"converged", "nonfinite", "max_iter"}
-    values = [r.potential for r in solution.values.collect()]
-    assert len(values) == 8 and np.isfinite(values).all()
+def rounded(table):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in table.collect())
+
+
+@pytest.mark.parametrize("check_every", [1, 4, 10])
+def test_partial_underflow_is_nonfinite_in_both_strategies(make, check_every):
+    # problem 0 stays within reach of the kernel; in problem 1 a word reaches no mass
+    a = make.histograms([[0.5, 0.5, 0.0], [0.3, 0.3, 0.4]])
+    b = make.histograms([[0.5, 0.5, 0.0], [0.6, 0.4, 0.0]])
+    cost = make.cost([[0.0, 0.1, 500.0], [0.1, 0.0, 500.0], [500.0, 500.0, 0.0]])
+    runs = [
+        sinkhorn(a, b, cost, 0.1, domain="exp", strategy=s, max_iter=30, check_every=check_every) for s in BOTH
+    ]
+    for run in runs:
+        status = {r.problem_id: (r.status, r.iterations) for r in run.status.collect()}
+        assert status[0][0] == "converged" and status[1] == ("nonfinite", 0)
+        assert all(r.potential == 0 for r in run.values.where("problem_id = 1").collect())
+    assert rounded(runs[0].values) == rounded(runs[1].values)
+    assert rounded(runs[0].status) == rounded(runs[1].status)
+
+
+@pytest.mark.parametrize("domain", ["exp", "log"])
+def test_strategies_agree_on_rounds_potentials_and_status(make, domain):
+    rng = np.random.default_rng(3)
+    a, b = (make.histograms(rng.dirichlet(np.ones(5), 6).tolist()) for _ in range(2))
+    cost = make.cost(rng.random((5, 5)))
+    runs = [sinkhorn(a, b, cost, 0.05, tol=1e-6, domain=domain, strategy=s, max_iter=200) for s in BOTH]
+    assert rounded(runs[0].status.select("problem_id", "status", "iterations")) == rounded(
+        runs[1].status.select("problem_id", "status", "iterations")
+    )
+    for x, y in zip(rounded(runs[0].values), rounded(runs[1].values)):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-8)
+
+
+@pytest.mark.parametrize("strategy", BOTH)
+def test_an_index_without_cost_is_an_error(make, strategy):
+    a, b, cost = make.histograms([[0.5, 0.0, 0.5]]), make.histograms([[1.0]]), make.cost([[0.0, 1.0], [1.0, 0.0]])
+    with pytest.raises(ValueError, match="index that the cost does not have"):
+        sinkhorn(a, b, cost, 0.1, strategy=strategy)
+    with pytest.raises(ValueError, match="index that the cost does not have"):
+        barycenter(*make.group([[0.5, 0.0, 0.5]], [1.0]), cost, 0.1, strategy=strategy)
+
+
+@pytest.mark.parametrize("strategy", BOTH)
+def test_every_pair_has_a_status(spark, make, strategy):
+    dist = make.histograms([[0.5, 0.5], [0.1, 0.9]], "id")
+    pairs = spark.createDataFrame([(1, 0, 1), (2, 0, 7), (3, 9, 9)], "problem_id bigint, a_id bigint, b_id bigint")
+    cost = make.cost([[0.0, 1.0], [1.0, 0.0]])
+    solution = sinkhorn_pairs(pairs, dist, dist, cost, 0.5, strategy=strategy)
+    status = {r.problem_id: (r.status, r.iterations > 0) for r in solution.status.collect()}
+    assert status == {1: ("converged", True), 2: ("empty", False), 3: ("empty", False)}
+
+
+def test_barycenters_agree_on_partial_underflow_and_large_groups(make, monkeypatch):
+    fine, fine_weights = make.group([[0.5, 0.5, 0.0], [0.2, 0.8, 0.0]], [0.5, 0.5], 0)
+    torn, torn_weights = make.group([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [0.5, 0.5], 1)
+    large, large_weights = make.group([[0.5, 0.5, 0.0], [0.2, 0.8, 0.0], [0.9, 0.1, 0.0]], [0.2, 0.3, 0.5], 2)
+    cost = make.cost([[0.0, 0.1, 500.0], [0.1, 0.0, 500.0], [500.0, 500.0, 0.0]])
+    atoms, weights = fine.union(torn).union(large), fine_weights.union(torn_weights).union(large_weights)
+    runs = [barycenter(atoms, weights, cost, 0.1, domain="exp", strategy=s, max_iter=50) for s in BOTH]
+    monkeypatch.setattr("otindex.operators.barycenter.GROUP_MEMBERS", 2)
+    runs.append(barycenter(atoms, weights, cost, 0.1, domain="exp", max_iter=50))
+    first = rounded(runs[0].status.select("group_id", "status", "iterations"))
+    assert (1, "nonfinite", 0) in first
+    for run in runs:
+        assert rounded(run.status.select("group_id", "status", "iterations")) == first
+        assert run.values.where("group_id = 1").isEmpty()
+        got, expected = rounded(run.values.where("p > 0")), rounded(runs[0].values.where("p > 0"))
+        assert [r[:2] for r in got] == [r[:2] for r in expected]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in expected], abs=1e-8)
 
 
 def test_max_iter_is_exact_and_strategies_agree(make):

@@ -172,7 +172,10 @@ def _jacobian(wrt):
 
 
 def document_transport(spark, sf_dir):
-    """Each document against all documents of its source, over frequent words with a vector."""
+    """Each document against all documents of its source, over frequent words with a vector.
+
+    A document without such a word has no cost and says that it is empty.
+    """
     documents = table(spark, sf_dir, "documents")
     tok = tokenized(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -189,7 +192,10 @@ def document_transport(spark, sf_dir):
         F.col("doc_id").alias("problem_id"), F.col("doc_id").alias("a_id"), F.col("source").alias("b_id")
     )
     solution = sinkhorn_pairs(pairs, by_doc, by_source, cost, WORD_EPS, **EXACT)
-    return rounded(solved_cost(solution, cost, WORD_EPS), "cost")
+    costs = solution.status.select("problem_id", "status").join(
+        solved_cost(solution, cost, WORD_EPS), "problem_id", "left"
+    )
+    return rounded(costs.select("problem_id", (F.col("status") == "empty").alias("empty"), "cost"), "cost")
 
 
 def _jacobian_1(wrt):
@@ -343,8 +349,11 @@ b AS MATERIALIZED (
 plan AS (
   SELECT problem_id, i, j, u * k * v AS mass, cost
   FROM u40 JOIN kernel USING (i) JOIN v40 USING (problem_id, j)
-)
-{_LINEAR}"""
+),
+solved AS ({_LINEAR})
+SELECT doc_id AS problem_id, solved.problem_id IS NULL AS empty, cost
+FROM documents LEFT JOIN solved ON doc_id = problem_id"""
+
 
 def _applied(name: str, vector: str, value: str, inner: str, outer: str, weight: str = "k") -> str:
     """``name``: the kernel (or kernel times cost) applied to a vector table."""
