@@ -75,13 +75,14 @@ def adamw_step(
 def standard_normal(seed: int, *keys: Column) -> Column:
     """A standard normal draw fixed by seed and key columns, whatever the partitioning.
 
-    Two hashes of the key give two uniforms for the Box-Muller transform.
+    Two MD5 digests of seed, stream and keys, joined by ``|``, give two uniforms for the Box-Muller
+    transform: the first 13 hexadecimal digits, plus a half, over 2**52. Any engine can repeat that.
     """
-    scale = float(1 << 53)
 
     def uniform(stream: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), *keys), 11)
-        return (bits.cast("double") + 0.5) / scale
+        parts = [F.lit(str(seed)), F.lit(str(stream)), *(k.cast("string") for k in keys)]
+        digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
+        return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
     return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
 

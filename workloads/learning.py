@@ -8,6 +8,8 @@ from otindex.operators.gradients import batch_gradient
 from otindex.operators.text import build_vocabulary
 from otindex.plans import dictionary as dl
 from otindex.plans import index as ix
+from otindex.session import working_folder
+from otindex.sources.model_store import load_model, save_model
 from otindex.spec import DictionarySpec, EmbeddingSpec, IndexSpec
 from workloads.tables import EPS, KERNEL, PROFILES, corpus, profiles, quantity_cost, rounded, table
 
@@ -58,6 +60,20 @@ def _given_model(spark, sf_dir):
     return dl.DictionaryModel(topics, weights, history, spec), quantity_cost(spark, sf_dir)
 
 
+def model_round_trip(spark, sf_dir):
+    """Weights and topics of a model after saving and loading it."""
+    path = working_folder(spark, "model")
+    model, _ = _given_model(spark, sf_dir)
+    save_model(model, path)
+    loaded = load_model(spark, path)
+    assert loaded.spec == model.spec
+    weights = loaded.weights.select("doc_id", F.posexplode("weights").alias("topic", "value"))
+    topics = loaded.topics.select(F.lit(-1).alias("doc_id"), (1000 * (F.col("topic") + 1) + F.col("word_id")).alias("topic"), F.col("p").alias("value"))
+    return rounded(weights.select(F.col("doc_id").cast("long"), F.col("topic").cast("long"), "value").unionByName(
+        topics.select(F.col("doc_id").cast("long"), F.col("topic").cast("long"), "value")
+    ), "value", digits=9)
+
+
 def reconstruct_given(spark, sf_dir):
     return rounded(dl.reconstruct(*_given_model(spark, sf_dir)), "p", digits=8)
 
@@ -143,6 +159,7 @@ QUERIES = {
     "predict": predict,
     "scores_topics": scores_topics,
     "scores_docs": scores_docs,
+    "model_round_trip": model_round_trip,
     "reconstruct_given": reconstruct_given,
     "scores_topics_given": scores_topics_given,
     "scores_docs_given": scores_docs_given,
@@ -204,6 +221,9 @@ led AS MATERIALIZED (SELECT {row}, sum({value} * x) AS score FROM {matrix} JOIN
 
 
 ORACLES = {
+    "model_round_trip": f"""{_GRADIENT}
+SELECT doc_id::BIGINT AS doc_id, topic::BIGINT AS topic, round(w, 9) AS value FROM w
+UNION ALL SELECT -1, 1000 * (topic + 1) + i, round(a, 9) FROM topic""",
     "reconstruct_given": f"{_RECONSTRUCTED} SELECT doc_id, j AS word_id, round(b, 8) AS p FROM b2",
     "scores_topics_given": f"""{_GRADIENT}, {_leading_sql("topic", "topic", "i", "a", 16)}
 SELECT doc_id, round(sum(w * score), 6) AS score FROM w JOIN led USING (topic) GROUP BY 1""",

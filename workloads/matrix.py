@@ -191,7 +191,7 @@ def batch_mean(spark, sf_dir):
 
 
 def random_init(spark, sf_dir):
-    return optim.random_init(_suppliers(spark, sf_dir), ["i", "j"], seed=7)
+    return rounded(optim.random_init(_suppliers(spark, sf_dir), ["i", "j"], seed=7), "value", digits=9)
 
 
 # --- singular values -------------------------------------------------------------------------
@@ -291,6 +291,15 @@ SELECT id, idx,
   round(m, 9) + 0.0 AS m, round(v, 9) + 0.0 AS v FROM moments"""
 
 
+def _uniform_sql(stream: int) -> str:
+    return f"(('0x' || substr(md5('7|{stream}|' || i || '|' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
+_RANDOM = f"""
+WITH {PROFILES}, keys AS (SELECT idx AS i, id AS j FROM profile)
+SELECT i, j, round(sqrt(-2 * ln({_uniform_sql(1)})) * cos(2 * pi() * {_uniform_sql(2)}), 9) + 0.0 AS value FROM keys"""
+
+
 def _power_sql(rounds: int, digits: int) -> str:
     """Leading left singular vector times its value, by power iteration; entries are positive."""
     steps = ["v0 AS (SELECT idx, 1.0 / sqrt(count(*) OVER ()) AS x FROM bins)"]
@@ -306,6 +315,7 @@ FROM profile JOIN v{rounds} USING (idx) GROUP BY 1"""
 
 
 ORACLES = {
+    "random_init": _RANDOM,
     "pairwise_sq": _pairs_sql("SELECT i, j, round(d, 6) + 0.0 AS cost FROM squares"),
     "pairwise_euclid": _pairs_sql("SELECT i, j, round(sqrt(d), 6) + 0.0 AS cost FROM squares"),
     "symmetric_check": _pairs_sql("""SELECT count(*) AS entries,
