@@ -7,27 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otindex.session import materialize
+from otindex.session import SALTS, materialize
 
 
 def _least(*columns: Column) -> Column:
     return reduce(lambda a, b: F.when(b < a, b).otherwise(a), columns)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right`` and may hold very many rows of ``left``.
+
+    The rows of a key are dealt by hash of column ``by`` to several tasks, each with a copy of the
+    right-hand row. Meant for a right side much smaller than the left one.
+    """
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for every node of the links (a, b).
 
     Nodes of any orderable type, also structs. Each round takes the least label among neighbours (a
     grouped minimum, combined before the shuffle, so a node with very many links is no burden), then
-    replaces each label by that label's own label, which halves the remaining distances. Every round
-    is a checkpoint; rounds end when no label moves. Links to oneself and repeated links do no harm.
+    replaces each label by that label's own label, which halves the remaining distances. Nodes with very
+    many links and labels of very many nodes are dealt to several tasks. Every round is a checkpoint;
+    rounds end when no label moves. Links to oneself and repeated links do no harm.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     links = materialize(both.toDF("a", "b"))
-    labels = materialize(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), _least(F.col("a"), F.col("b")).alias("label")))
+    least = links.groupBy("a").agg(F.min("b").alias("b"))
+    labels = materialize(least.select(F.col("a").alias("node"), _least(F.col("a"), F.col("b")).alias("label")))
     while True:
         near = (
-            links.join(labels.select(F.col("node").alias("b"), "label"), "b")
+            spread_join(links, labels.select(F.col("node").alias("b"), "label"), "b", "a")
             .groupBy("a")
             .agg(F.min("label").alias("near"))
         )
@@ -35,9 +48,12 @@ def components(links: DataFrame) -> DataFrame:
             "node", _least(F.col("label"), F.col("near")).alias("label"), F.col("label").alias("old")
         )
         closer = materialize(closer)
-        ahead = closer.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
+        used = closer.select("label").distinct()
+        ahead = used.join(closer.select(F.col("node").alias("label"), F.col("label").alias("ahead")), "label")
         moved = materialize(
-            closer.join(ahead, "label").select("node", _least(F.col("label"), F.col("ahead")).alias("label"), "old")
+            spread_join(closer, ahead, "label", "node").select(
+                "node", _least(F.col("label"), F.col("ahead")).alias("label"), "old"
+            )
         )
         labels = moved.select("node", "label")
         if not moved.where(F.col("label") != F.col("old")).limit(1).count():

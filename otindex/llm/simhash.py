@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from otindex.llm.bytes_ import as_bytes, pieces
-from otindex.llm.components import components
+from otindex.llm.components import components, spread_join
 from otindex.session import broadcast_if_small, materialize
 
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,7 +99,7 @@ def _grouped(documents: DataFrame, size: int, radius: int, seed: int) -> tuple[D
     labels = components(near_links(distinct, radius)).withColumnRenamed("node", "bits")
     merged = distinct.join(labels, "bits")
     named = merged.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = merged.join(named, "label").select("bits", "label", "component_id")
+    linked = spread_join(merged, named, "label", "bits").select("bits", "label", "component_id")
     groups = distinct.join(linked, "bits", "left").select(
         "bits",
         F.coalesce("label", "bits").alias("component"),
