@@ -10,18 +10,18 @@ from otindex.llm.simhash import deduplicate, fingerprint, near_duplicates, near_
 SCHEMA = "doc_id bigint, text string, fingerprint string, label long"
 
 
-def brute_print(text, size=3):
+def brute_print(text, size=3, seed=42):
     folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", folded)
     if not words:
         return 0
     shingles = [words[k : k + size] for k in range(max(1, len(words) - size + 1))]
-    hashes = [xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    hashes = [xxh64_intdigest(" ".join(s).encode(), seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(rows):
-    prints = [brute_print(t) for _, t, *_ in rows]
+def brute_components(rows, seed=42):
+    prints = [brute_print(t, 3, seed) for _, t, *_ in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
