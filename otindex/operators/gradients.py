@@ -58,7 +58,7 @@ def sinkhorn_gradient(
 ) -> DataFrame:
     """``(problem_id, i, grad)``: derivative of the transport cost by the first histogram.
 
-    One row per support point; the derivative of a problem that is not finite is NaN. The derivative is centered within each problem, because mass can
+    One row per support point; that of a problem that is not finite is not a number or null. The derivative is centered within each problem, because mass can
     only move along directions that keep the total. A cost too large for the tasks leaves the
     regularized loss, whose derivative at convergence is the potential itself.
     """
@@ -226,7 +226,7 @@ def through_softmax(y, bar, axis):
 def document_gradients(ground: DenseCost, K, topic_logits, logits, Y, settings):
     """Loss and gradients of a few documents: by their own weights and, summed, by the topics; status.
 
-    A document whose barycenter or loss is not finite says so in its status; its loss is NaN, its
+    A document whose barycenter or loss is not finite says so in its status; its loss is null, its
     weights get no gradient and the topics none from it. ``settings`` has ``loss``, ``reg``, ``max_iter``, ``tol`` and ``debias``; parameters are
     logits, the softmax of which are topics and weights.
     """

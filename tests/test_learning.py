@@ -176,3 +176,30 @@ def test_bad_settings_are_refused():
             DictionarySpec(**wrong)
     with pytest.raises(ValueError):
         IndexSpec(svd_method="other")
+
+
+def test_training_says_what_is_not_finite(spark, make):
+    # words 0 and 1 are far from word 2: a topic on one side never reaches a document on the other
+    cost = make.cost([[0.0, 1.0, 900.0], [1.0, 0.0, 900.0], [900.0, 900.0, 0.0]])
+    docs = make.histograms([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]], "doc_id", "word_id")
+    topics = spark.createDataFrame(
+        [(0, 0, 0.0), (0, 1, 0.0), (0, 2, -800.0)], "topic int, word_id int, logit double"
+    )
+    weights = spark.createDataFrame([(0, [0.0]), (1, [0.0])], "doc_id bigint, logits array<double>")
+    spec = DictionarySpec(num_topics=1, reg=0.5, max_iter=50, debias=False)
+    by_topic, by_doc = batch_gradient(docs, topics, weights, cost, spec)
+    rows = {r.doc_id: r for r in by_doc.collect()}
+    assert rows[1].status == "nonfinite" and rows[1].loss is None and rows[1].grad == [0.0]
+    assert all(np.isfinite(r.grad) for r in by_topic.collect())
+
+
+def test_a_batch_without_a_finite_document_is_an_error(spark, make):
+    cost = make.cost([[0.0, 9e4], [9e4, 0.0]])
+    docs = make.histograms([[0.5, 0.5], [0.2, 0.8]], "doc_id", "word_id")
+    spec = DictionarySpec(num_topics=1, batch_size=2, epochs=1, reg=0.1, max_iter=20)
+    try:
+        model = dl.fit(docs, cost, spec)
+    except RuntimeError as error:
+        assert "finite" in str(error)
+    else:  # whatever was solved is counted
+        assert {(r.converged or 0) + r.max_iter + r.nonfinite for r in model.history.collect()} == {2}

@@ -140,3 +140,17 @@ def test_svd_rejects_bad_shapes(make):
         svd.truncated_svd(make.matrix([[1, 2], [3, 4]], "row_id", "col"), 2)
     with pytest.raises(ValueError):
         svd.truncated_svd(make.matrix([[1, 2], [3, 4]], "row_id", "col"), 1, "other")
+
+
+def test_joins_on_an_index_beyond_the_broadcast_limit(make, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.random((4, 5)), rng.random((5, 3))
+
+    def product():
+        out = la.matmul(make.matrix(a), make.matrix(b)).collect()
+        return {(r.i, r.j): r.value for r in out}
+
+    expected = {(i, j): v for i, line in enumerate(a @ b) for j, v in enumerate(line)}
+    assert product() == pytest.approx(expected)
+    monkeypatch.setattr("otindex.operators.linalg.BROADCAST_ROWS", 0)
+    assert product() == pytest.approx(expected)
