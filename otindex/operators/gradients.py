@@ -58,7 +58,8 @@ def sinkhorn_gradient(
 ) -> DataFrame:
     """``(problem_id, i, grad)``: derivative of the transport cost by the first histogram.
 
-    One row per support point; that of a problem that is not finite is not a number or null. The derivative is centered within each problem, because mass can
+    One row per support point; that of a problem that is not finite is not a number or null. The
+    derivative is centered within each problem, because mass can
     only move along directions that keep the total. A cost too large for the tasks leaves the
     regularized loss, whose derivative at convergence is the potential itself.
     """

@@ -179,7 +179,7 @@ def test_bad_settings_are_refused():
 
 
 def test_training_says_what_is_not_finite(spark, make):
-    # words 0 and 1 are far from word 2: a topic on one side never reaches a document on the other
+    # word 2 is out of reach of the topic: its barycenter underflows, and nothing may look like a fit
     cost = make.cost([[0.0, 1.0, 900.0], [1.0, 0.0, 900.0], [900.0, 900.0, 0.0]])
     docs = make.histograms([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]], "doc_id", "word_id")
     topics = spark.createDataFrame(
@@ -189,8 +189,9 @@ def test_training_says_what_is_not_finite(spark, make):
     spec = DictionarySpec(num_topics=1, reg=0.5, max_iter=50, debias=False)
     by_topic, by_doc = batch_gradient(docs, topics, weights, cost, spec)
     rows = {r.doc_id: r for r in by_doc.collect()}
-    assert rows[1].status == "nonfinite" and rows[1].loss is None and rows[1].grad == [0.0]
-    assert all(np.isfinite(r.grad) for r in by_topic.collect())
+    assert {r.status for r in rows.values()} == {"nonfinite"}
+    assert all(r.loss is None and r.grad == [0.0] for r in rows.values())
+    assert all(r.grad is None for r in by_topic.collect())
 
 
 def test_a_batch_without_a_finite_document_is_an_error(spark, make):
