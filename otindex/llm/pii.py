@@ -74,7 +74,8 @@ KINDS = {
     r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\.?[ ]{_WORD}(?:[ ]{_WORD})?|{_GIVEN}[ ]{_WORD})(?![\p{{L}}\p{{N}}])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Nothing begins after an ASCII letter or digit: one look settles most places of a text.
+PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
