@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,31 +129,40 @@ def doc_distributions(
     return matched.where(known).select("doc_id", "word_id", share).unionByName(unknown)
 
 
-def count_vectors(tokenized: DataFrame, vocabulary: DataFrame, max_words: int = 65_536) -> DataFrame:
-    """``(doc_id, counts)``: one dense count array per document, zeros included.
+def count_vectors(tokenized: DataFrame, vocabulary: DataFrame, block_words: int = 65_536) -> DataFrame:
+    """``(doc_id, block, counts)``: dense counts of each document, zeros included.
 
-    The array is as long as the vocabulary, so its length is checked first.
+    A block holds the words from ``block * block_words`` on, at most ``block_words`` of them, so no
+    array grows with the vocabulary.
     """
-    if not at_most(vocabulary, max_words):
-        raise ValueError(f"vocabulary exceeds {max_words} words; use the sparse word_counts")
     size = vocabulary.count()
+    last = max(0, -(-size // block_words) - 1)
+    block = F.floor(F.col("word_id") / F.lit(block_words)).cast("int")
     matched = lookup_words(word_counts(tokenized), vocabulary).where("word_id is not null")
-    packed = matched.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word_id", "count"))).alias("_found")
-    )
-    zeros = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
-    return (
-        tokenized.select("doc_id")
-        .join(packed, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(size - 1)),
-                lambda at: F.coalesce(F.try_element_at(F.coalesce("_found", zeros), at), F.lit(0)),
-            ).alias("counts"),
-        )
+    entry = F.struct("word_id", "count")
+    packed = matched.groupBy("doc_id", block.alias("block")).agg(F.collect_list(entry).alias("_found"))
+    wanted = tokenized.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
+    rows = wanted.join(packed, ["doc_id", "block"], "left").select(
+        "doc_id", "block", F.col("_found.word_id").alias("words"), F.col("_found.count").alias("found")
     )
 
+    def fill(batches):
+        for batch in batches:
+            dense = []
+            for at, words, found in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "found"))):
+                counts = np.zeros(max(0, min(block_words, size - at * block_words)), np.int64)
+                if words:
+                    counts[np.array(words) - at * block_words] = found
+                dense.append(counts)
+            offsets = np.cumsum([0, *map(len, dense)], dtype=np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*dense, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("block"), counts], ["doc_id", "block", "counts"]
+            )
+
+    key = tokenized.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(fill, f"doc_id {key}, block int, counts array<bigint>")
+
 
 def empty_documents(corpus: DataFrame, distributions: DataFrame) -> DataFrame:
     """Documents that have no distribution because no word of theirs counts."""

@@ -71,6 +71,8 @@ def test_count_vectors_include_zeros(tokens):
     words = tx.build_vocabulary(tokens, 2)
     rows = {r.doc_id: r.counts for r in tx.count_vectors(tokens, words).collect()}
     assert rows[0] == [1, 1, 1] and rows[2] == [0, 0, 0] and rows[3] == [1, 1, 0]
+    blocks = {(r.doc_id, r.block): r.counts for r in tx.count_vectors(tokens, words, 2).collect()}
+    assert {k: blocks[d, 0] + blocks[d, 1] for k, d in enumerate(rows)} == dict(enumerate(rows.values()))
 
 
 def test_hot_word_and_many_rare_ones(make):

@@ -21,7 +21,7 @@ from workloads.tables import (
 )
 
 MIN_COUNT = 5
-FREQUENT = 500
+BLOCK_WORDS = 1000
 TOP_WORDS = 50
 
 
@@ -61,9 +61,12 @@ def word_counts(spark, sf_dir):
 
 
 def word_count_vectors(spark, sf_dir):
+    """The entries other than zero of the dense vectors, with the size of the block they lie in."""
     tok = tokenized(spark, sf_dir)
-    dense = tx.count_vectors(tok, tx.build_vocabulary(tok, FREQUENT))
-    return dense.select("doc_id", F.posexplode("counts").alias("word_id", "count"))
+    blocks = tx.count_vectors(tok, tx.build_vocabulary(tok, MIN_COUNT), BLOCK_WORDS)
+    entries = blocks.select("doc_id", "block", F.size("counts").alias("size"), F.posexplode("counts").alias("at", "count"))
+    word = (F.col("block") * BLOCK_WORDS + F.col("at")).alias("word_id")
+    return entries.where("count > 0").select("doc_id", word, "size", "count")
 
 
 def doc_distributions(spark, sf_dir):
@@ -78,7 +81,7 @@ def doc_distributions_drop(spark, sf_dir):
 
 def empty_documents(spark, sf_dir):
     tok = tokenized(spark, sf_dir)
-    shares = tx.doc_distributions(tok, tx.build_vocabulary(tok, FREQUENT), "drop")
+    shares = tx.doc_distributions(tok, tx.build_vocabulary(tok, MIN_COUNT), "drop")
     return tx.empty_documents(tok, shares).select("doc_id")
 
 
@@ -192,10 +195,10 @@ SELECT doc_id, {_POSITIONS}, token FROM words WHERE token NOT IN (SELECT word FR
 WITH {WORDS}, {_COUNTS}
 SELECT doc_id, CAST(sum(count) OVER (PARTITION BY doc_id) AS BIGINT) AS n_tokens, word, count FROM counted""",
     "word_count_vectors": f"""
-WITH {WORDS}, {vocabulary_sql(FREQUENT)}, {_COUNTS}
-SELECT d.doc_id, v.word_id, coalesce(c.count, 0) AS count
-FROM documents d CROSS JOIN vocabulary v
-LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.word = v.word""",
+WITH {WORDS}, {vocabulary_sql(MIN_COUNT)}, {_COUNTS}
+SELECT doc_id, word_id, count,
+  CAST(least({BLOCK_WORDS}, (SELECT count(*) FROM vocabulary) - word_id // {BLOCK_WORDS} * {BLOCK_WORDS}) AS INTEGER) AS size
+FROM counted JOIN vocabulary USING (word)""",
     "doc_distributions": f"""
 WITH {WORDS}, {vocabulary_sql(MIN_COUNT)},
 known AS (
@@ -209,7 +212,7 @@ WITH {WORDS}, {vocabulary_sql(MIN_COUNT)},
 counted AS (SELECT doc_id, word_id, count(*) AS n FROM words JOIN vocabulary ON token = word GROUP BY 1, 2)
 SELECT doc_id, word_id, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS p FROM counted""",
     "empty_documents": f"""
-WITH {WORDS}, {vocabulary_sql(FREQUENT)}
+WITH {WORDS}, {vocabulary_sql(MIN_COUNT)}
 SELECT doc_id FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM words JOIN vocabulary ON token = word)""",
     "batches": """
