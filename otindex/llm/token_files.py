@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.specials = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -77,19 +78,23 @@ class WordEncoder(dict):
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        split = _PLAIN.fullmatch(word) if self.plain else None
-        if split is None:
-            ids = self.encoded(word)
-        elif tail := split[2]:
-            ids = self[split[1]] + self[tail]
-        else:
-            text = word.decode()
-            if (folded := text.lower()) != text:
-                ids = self[folded.encode()]
+        if self.plain and word.isalpha():  # ASCII letters
+            folded = word.lower()
+            if folded == word:
+                ids = array(self.kind.char, [t.id for t in self.tokenize(word.decode())]).tobytes()
+            else:
+                ids = self[folded]
+        elif self.plain and (split := _PLAIN.fullmatch(word)):
+            core, tail = split.groups()
+            if tail:
+                ids = self[core] + self[tail]
+            elif (folded := core.decode().lower().encode()) != word:
+                ids = self[folded]
             else:
-                if not text.isascii():
-                    text = word.decode("latin-1").translate(self.letters)
-                ids = array(self.kind.char, [t.id for t in self.model.tokenize(text)]).tobytes()
+                shown = word.decode("latin-1").translate(self.letters)
+                ids = array(self.kind.char, [t.id for t in self.tokenize(shown)]).tobytes()
+        else:
+            ids = self.encoded(word)
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -121,17 +126,29 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of some symbols."""
-        ids = symbols.astype(np.int64)
-        while True:
-            rule = ids >= self.base
-            if not rule.any():
-                return ids
+        flat, starts = self._expansions
+        sizes = self.sizes(symbols)
+        out = np.repeat(symbols.astype(np.int64), sizes)
+        if not len(starts):
+            return out
+        first = starts[np.maximum(symbols.astype(np.int64) - self.base, 0)]
+        of_rule = out >= self.base
+        at = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+        out[of_rule] = flat[at[of_rule]]
+        return out
+
+    @cached_property
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules one after the other, and where each rule's begin."""
+        ids = np.arange(self.base, self.base + len(self.left))
+        while (rule := ids >= self.base).any():
             out = np.empty(len(ids) + int(rule.sum()), np.int64)
             at = np.arange(len(ids)) + np.cumsum(rule) - rule
-            out[at] = np.where(rule, 0, ids)
+            out[at] = ids
             out[at[rule]] = self.left[ids[rule] - self.base]
             out[at[rule] + 1] = self.right[ids[rule] - self.base]
             ids = out
+        return ids, np.cumsum(self.lengths) - self.lengths
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, least: int = 6, limit: int = 1 << 16) -> tuple[Grammar, np.ndarray, np.ndarray]:
