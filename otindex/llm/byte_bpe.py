@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: and one character of lookahead.
 EDGE = 4
 
-#: Distinct pre-tokens remembered by a task.
-REMEMBERED = 300_000
+#: Distinct pre-tokens remembered by a task, and characters of the longest one.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,8 +41,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Encoder:
-    """Encodes pre-tokens by ranks, remembering the ids of a bounded number of them."""
+class Encoder(dict):
+    """Encodes pre-tokens by ranks; as a dictionary it holds the ids of a bounded number of them.
+
+    Ids are kept as little-endian 32-bit numbers, ready to be joined into an Arrow buffer.
+    """
 
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         import regex
@@ -50,21 +55,18 @@ class Encoder:
         self.encoding = ranks and tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
-        self.known: dict[str, list[int]] = {}
 
-    def ids(self, pre_tokens: list[str]) -> list[int]:
+    def __missing__(self, token: str) -> bytes:
+        ids = array("i", self.encoding._encode_single_piece(token)).tobytes()
+        if len(token) <= LONGEST and len(self) < REMEMBERED:
+            self[token] = ids
+        return ids
+
+    def ids(self, pre_tokens: list[str]) -> bytes:
         """The ids of consecutive pre-tokens."""
-        known, out = self.known, []
-        for token in pre_tokens:
-            found = known.get(token)
-            if found is None:
-                found = self.encoding._encode_single_piece(token)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(token) <= 64:
-                    known[token] = found
-            out += found
-        return out
+        if len(self) >= REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, pre_tokens))
 
     def boundaries(self, text: str, low: int, high: int, first: int, last: bool) -> list[int]:
         """Boundaries in [low, high) of a scan from the start of ``text``, shifted by ``first``.
@@ -86,6 +88,12 @@ def _rows(names, types, columns):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _id_lists(rows: list[bytes]) -> pa.Array:
+    """Rows of joined ids as an Arrow list column."""
+    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 def encode(
     documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,8 +112,8 @@ def encode(
         for batch in batches:
             code = code or Encoder(pattern, load_ranks(ranks_path))
             for piece in pieces(batch, "text"):
-                ids = [code.ids(code.scan.findall(t)) if t else [] for t in piece.column("text").to_pylist()]
-                yield _rows(["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())], [piece.column("doc_id"), ids])
+                ids = [code.ids(code.scan.findall(t)) if t else b"" for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _id_lists(ids)], ["doc_id", "ids"])
 
     short_ids = rows.where(short).mapInArrow(encode_short, "doc_id bigint, ids array<int>")
 
@@ -185,11 +193,8 @@ def encode(
                         break
                     tokens.append(match[0])
                 ids.append(code.ids(tokens))
-            yield _rows(
-                ["key", "piece", "ids"],
-                [pa.string(), pa.int32(), pa.list_(pa.int32())],
-                [batch.column("key"), batch.column("piece"), ids],
-            )
+            columns = [batch.column("key"), batch.column("piece"), _id_lists(ids)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "ids"])
 
     long_ids = parts.unionByName(entire).mapInArrow(encode_pieces, "key string, piece int, ids array<int>")
     return short_ids, holders, long_ids
@@ -227,9 +232,9 @@ def digest(ids: DataFrame, ranks_path: str, keys: list[str], order: str | None =
                 names = [str(i) for i in range(len(table))]
             arrow_schema, found = batch.schema, []
             key_rows = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            ids_column = batch.column("ids")
+            values, offsets = batch.column("ids").values.to_numpy(), batch.column("ids").offsets.to_pylist()
             for at, key in enumerate(key_rows):
-                piece = ids_column[at].values.to_pylist()
+                piece = values[offsets[at] : offsets[at + 1]].tolist()
                 if state is None or order is None or key != now:
                     if state is not None:
                         found.append(row(now, state))
