@@ -3,7 +3,7 @@
 The windows (``n`` consecutive normalised words, or all words of a shorter item) of the benchmark
 form a hash set that every task holds. Its size is measured first: beyond ``BLOCK_BYTES`` the windows
 are dealt into blocks by hash and the documents are scanned once per block, so no task ever holds
-more than one block. A scan works on a few megabytes of text at a time in numpy: word spans, a hash
+more than one block. A scan works on about a megabyte of text at a time in numpy: word spans, a hash
 per word, a hash per window, a bitmap test, and for the few windows left an exact comparison of words.
 Documents are not shuffled, except by digest to merge several blocks, so copies and hot sources
 are no burden. A single long document takes about three times its bytes.

@@ -4,7 +4,7 @@ Every line is good or bad. Its score comes from features of the line and of the
 neighbouring labels are tied by transition weights. The forward-backward recursion gives each line's
 marginal probability; their mean, weighted by line length, is the quality of the document. With two
 states both recursions need one number per line (a log-odds), so a task advances all documents of a
-few megabytes of text together, line by line.
+megabyte of text together, line by line.
 
 The weights are fitted by maximum likelihood on a bounded sample of labelled documents
 (``Fit.documents``, in hash order; documents of more than ``Fit.lines`` lines are not used to fit),

@@ -1,6 +1,6 @@
 """Quality rules: fixed limits on document statistics, then gradient-boosted trees over them.
 
-Statistics are taken from whole texts, a few megabytes at a time in numpy, and written once: they are
+Statistics are taken from whole texts, about a megabyte at a time in numpy, and written once: they are
 a few numbers per document, and both training and scoring start from them. The trees are grown on a
 bounded sample of labelled documents (``Training.rows``, in hash order, so it is the same at every
 run) by histogram splits with the second-order gain; a feature marked as falling may never raise the
