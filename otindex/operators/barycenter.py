@@ -24,7 +24,7 @@ from otindex.operators.ground import (
     tasks,
 )
 from otindex.operators.transport import Solution, _union, check_indices, checked_status, smooth
-from otindex.session import BROADCAST_ROWS, SALTS, at_most, materialize
+from otindex.session import BROADCAST_ROWS, SALTS, materialize
 
 #: Members up to which one task may hold a whole group.
 GROUP_MEMBERS = 256
