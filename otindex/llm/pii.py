@@ -8,14 +8,16 @@ gender and script of names. Mail domains end in ``.example``, addresses lie in t
 
 Collision checks: the distinct entities of the corpus are grouped by stand-in (a grouped minimum). Any
 but the first of those that share one, and any stand-in that is itself an entity of the corpus, are
-drawn again until all are distinct. Redrawn entities are few; the texts that hold one get the number
-of draws by a join on the digest of the text. All other texts are rewritten in place, without a shuffle.
+drawn again until all are distinct; where eight draws find none free, stand-ins grow with each further
+draw. Redrawn entities are few; the texts that hold one get the number of draws by a join on the digest
+of the text. All other texts are rewritten in place, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from otindex.session import broadcast_if_small, materialize
 #: Texts with redrawn entities up to which they are broadcast.
 BROADCAST_TEXTS = 100_000
 
-#: Draws after which an entity without a free stand-in is an error.
-MOST_DRAWS = 40
+#: Draws in the format of the entity; each further one adds a character or a name, so no space stays full.
+SAME_FORMAT = 8
 
 # Titles and common given names by gender, in two scripts.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "г-н", "господин")
@@ -165,7 +167,11 @@ class Surrogates:
 
     @staticmethod
     def placed(entity: Column, characters: Column) -> Column:
-        """``entity`` with its letters and digits replaced, one after the other, by ``characters``."""
+        """``entity`` with its letters and digits replaced, one after the other, by ``characters``.
+
+        Characters beyond those of the entity follow at its end.
+        """
+        places = F.length(F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
 
         def step(new: Column, out: Column, k: Column) -> Column:
             before = F.length(F.regexp_replace(out, "[^0-9A-Za-z]", ""))
@@ -174,7 +180,16 @@ class Surrogates:
                 lambda c: F.concat(out, F.when(c.rlike("[0-9A-Za-z]"), _at(new, before + 1)).otherwise(c)),
             )
 
-        return let(characters, lambda new: _fold(entity, F.lit(""), lambda out, k: step(new, out, k)))
+        def all_of(new: Column) -> Column:
+            rest = F.substring(new, places + 1, F.length(new))
+            return F.concat(_fold(entity, F.lit(""), lambda out, k: step(new, out, k)), rest)
+
+        return let(characters, all_of)
+
+    def more(self, kind: str, norm: Column, draw: Column, like: str = "0") -> Column:
+        """What a stand-in gets beyond the format: characters such as ``like``, one more with each draw."""
+        new = let(F.repeat(F.lit(like), draw - (SAME_FORMAT - 1)), lambda x: self.scrambled(x, self.stream(f"{kind}+", norm, draw)))
+        return F.when(draw < SAME_FORMAT, "").otherwise(new)
 
     # --- normalised stand-ins, one per kind: what collision checks compare ---
 
@@ -182,26 +197,30 @@ class Surrogates:
         local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
         labels = F.regexp_replace(domain, r"\.[^.]*$", "")
         own, shared = self.stream("email", norm, draw), self.stream("domain", domain, F.lit(0))
-        return F.concat(self.scrambled(local, own), F.lit("@"), self.scrambled(labels, shared), F.lit(".example"))
+        local = F.concat(self.scrambled(local, own), self.more("email", norm, draw, "a"))
+        return F.concat(local, F.lit("@"), self.scrambled(labels, shared), F.lit(".example"))
 
     def ip(self, norm: Column, draw: Column) -> Column:
         def octets(s: Column) -> Column:
             parts = [self.number(s, 0, 15) + 240, *(self.number(s, k, 256) for k in (1, 2, 3))]
-            return F.concat_ws(".", *(p.cast("string") for p in parts))
+            further = F.transform(F.sequence(F.lit(4), draw - (SAME_FORMAT - 4)), lambda k: self.number(s, k, 256).cast("string"))
+            further = F.when(draw >= SAME_FORMAT, F.array_join(further, "."))
+            return F.concat_ws(".", *(p.cast("string") for p in parts), further)
 
         return let(self.stream("ip", norm, draw), octets)
 
     def card(self, norm: Column, draw: Column) -> Column:
-        body = F.concat(_at(norm, F.lit(1)), self.scrambled(F.substring(norm, F.lit(2), F.length(norm) - 2), self.stream("card", norm, draw)))
+        body = F.concat(_at(norm, F.lit(1)), self.scrambled(F.substring(norm, F.lit(2), F.length(norm) - 2), self.stream("card", norm, draw)), self.more("card", norm, draw))
         return let(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
 
     def ssn(self, norm: Column, draw: Column) -> Column:
-        return F.concat(F.lit("9"), self.scrambled(F.substring(norm, F.lit(2), F.lit(8)), self.stream("ssn", norm, draw)))
+        rest = self.scrambled(F.substring(norm, F.lit(2), F.lit(8)), self.stream("ssn", norm, draw))
+        return F.concat(F.lit("9"), rest, self.more("ssn", norm, draw))
 
     def phone(self, norm: Column, draw: Column) -> Column:
         def drawn(s: Column) -> Column:
             rest = self.scrambled(F.substring(norm, F.lit(2), F.length(norm)), s)
-            return F.concat((self.number(s, 0, 8) + 2).cast("string"), rest)
+            return F.concat((self.number(s, 0, 8) + 2).cast("string"), rest, self.more("phone", norm, draw))
 
         return let(self.stream("phone", norm, draw), drawn)
 
@@ -212,35 +231,39 @@ class Surrogates:
             check = 98 - mod97(F.concat(new, country, F.lit("00")))
             return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
 
-        return let(self.scrambled(account, self.stream("iban", norm, draw)), checked)
+        new = F.concat(self.scrambled(account, self.stream("iban", norm, draw)), self.more("iban", norm, draw))
+        return let(new, checked)
 
     def secret(self, norm: Column, draw: Column) -> Column:
-        return self.scrambled(norm, self.stream("secret", norm, draw))
+        return F.concat(self.scrambled(norm, self.stream("secret", norm, draw)), self.more("secret", norm, draw, "a"))
 
     def api_key(self, norm: Column, draw: Column) -> Column:
         prefix = F.regexp_extract(norm, "^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)", 0)
-        return F.concat(prefix, self.scrambled(F.substring(norm, F.length(prefix) + 1, F.length(norm)), self.stream("key", norm, draw)))
+        rest = self.scrambled(F.substring(norm, F.length(prefix) + 1, F.length(norm)), self.stream("key", norm, draw))
+        return F.concat(prefix, rest, self.more("key", norm, draw, "a"))
 
     def name(self, kind: str, names: tuple[str, ...]) -> Callable[[Column, Column], Column]:
-        """A given name from a list; from the second draw on, two joined by a hyphen."""
+        """A given name from a list; from the second draw on two joined by a hyphen, from the ninth three and one more each."""
         values = F.array(*map(F.lit, names))
 
         def chosen(s: Column, draw: Column) -> Column:
-            one, two, three = (F.element_at(values, self.number(s, k, len(names)) + 1) for k in range(3))
-            return F.when(draw == 0, one).when(draw < 8, F.concat_ws("-", one, two)).otherwise(F.concat_ws("-", one, two, three))
+            size = F.when(draw == 0, 1).when(draw < SAME_FORMAT, 2).otherwise(draw - (SAME_FORMAT - 3))
+            joined = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.element_at(values, self.number(s, k, len(names)) + 1))
+            return F.array_join(joined, "-")
 
         return lambda norm, draw: let(self.stream(kind, norm, draw), lambda s: chosen(s, draw))
 
     def surname(self, kind: str, heads: tuple, middles: tuple, tails: tuple) -> Callable[[Column, Column], Column]:
-        """A made-up surname; from the ninth draw on, two joined by a hyphen."""
+        """A made-up surname; from the ninth draw on two joined by a hyphen, and one more each."""
 
         lists = [F.array(*map(F.lit, x)) for x in (heads, middles, tails)]
 
-        def one(s: Column, k: int) -> Column:
+        def one(s: Column, k: Column) -> Column:
             return F.concat(*(F.element_at(x, self.number(s, k + i, F.size(x)) + 1) for i, x in enumerate(lists)))
 
         def chosen(s: Column, draw: Column) -> Column:
-            return F.when(draw < 8, one(s, 0)).otherwise(F.concat_ws("-", one(s, 0), one(s, 3)))
+            last = F.when(draw < SAME_FORMAT, 0).otherwise(draw - (SAME_FORMAT - 1))
+            return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: one(s, k * 3)), "-")
 
         return lambda norm, draw: let(self.stream(kind, norm, draw), lambda s: chosen(s, draw))
 
@@ -409,13 +432,14 @@ def _made(makers: dict, draw: Column) -> Column:
 def redrawn(entities: DataFrame, makers: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """(kind, norm, draw) of the entities whose first stand-in is taken, with the draw that is free.
 
-    A stand-in is taken if it equals an entity of its kind, or that of an entity earlier in order.
+    A stand-in is taken if it equals an entity of its kind, or that of an entity earlier in order. Spaces
+    of stand-ins grow with the draw, so the rounds come to an end however many entities there are.
     ``entities`` is (kind, norm), distinct.
     """
     entities = materialize(entities)
     settled = materialize(entities.withColumn("draw", F.lit(0)).withColumn("new", _made(makers, F.lit(0))))
     held = entities.select("kind", F.lower("norm").alias("new"))
-    for draw in range(1, MOST_DRAWS):
+    for draw in count(1):
         lowered = settled.withColumn("new", F.lower("new"))
         first = lowered.groupBy("kind", "new").agg(F.min(F.struct("draw", "norm")).alias("first"))
         later = lowered.join(first, ["kind", "new"]).where(F.col("norm") != F.col("first.norm")).select("kind", "norm")
@@ -424,7 +448,6 @@ def redrawn(entities: DataFrame, makers: dict[str, Callable[[Column, Column], Co
             return settled.where("draw > 0").select("kind", "norm", "draw")
         moved = again.withColumn("draw", F.lit(draw)).withColumn("new", _made(makers, F.lit(draw)))
         settled = materialize(settled.join(again, ["kind", "norm"], "left_anti").unionByName(moved))
-    raise RuntimeError("no free stand-ins left for some entities")
 
 
 def pseudonymize(documents: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from otindex.llm.pii import Surrogates, find_entities, luhn, mod97, pseudonymize, redrawn
+from otindex.llm.pii import Surrogates, _made, find_entities, luhn, mod97, pseudonymize, redrawn
 
 SCHEMA = "doc_id bigint, text string, _draws string, kind int"
 
@@ -114,3 +114,33 @@ def test_native_plan_and_empty_table(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_full_spaces_grow(spark):
+    """More entities than stand-ins of their format: all three-digit phones, 20,000 given names, secrets without a letter."""
+    norms = [("phone", f"{k:03}") for k in range(1000)] + [("male", f"name{k}") for k in range(20000)]
+    norms += [("secret", "*" * 8), ("secret", "-" * 6), ("email", "a@b.example"), *(("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789")]
+    makers = Surrogates("key").makers()
+    entities = spark.createDataFrame(norms, "kind string, norm string")
+    draws = entities.join(redrawn(entities, makers), ["kind", "norm"], "left").fillna(0, ["draw"])
+    new = [(r["kind"], r["new"].lower()) for r in draws.withColumn("new", _made(makers, F.col("draw"))).collect()]
+    assert len(new) == len(set(new)) == len(norms) and not set(new) & set(norms)
+
+
+def test_grown_stand_ins_reach_the_texts(spark):
+    rows = [(k, f"a +25{k // 100}.{k % 100:02} b", None, 1) for k in range(1000)] + [(1000, "password: ******** c", None, 1)]
+    out = {r["doc_id"]: r["text"] for r in pseudonymize(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    assert re.fullmatch(r"password: \*{8}[a-z]+ c", out.pop(1000))
+    assert all(re.fullmatch(r"a \+25\d\.\d{3,} b", t) for t in out.values()) and len(set(out.values())) == 1000
+
+
+def test_further_draws_keep_the_check_digits(spark):
+    maker, draw = Surrogates("k"), F.lit(11)
+    row = spark.range(1).select(
+        maker.card(F.lit("4297648922181334"), draw).alias("card"), luhn(maker.card(F.lit("4297648922181334"), draw)).alias("luhn"),
+        maker.iban(F.lit("GB82WEST12345698765432"), draw).alias("iban"), maker.ip(F.lit("1.2.3.4"), draw).alias("ip"),
+        maker.ssn(F.lit("123456789"), draw).alias("ssn"),
+    ).first()
+    assert (len(row["card"]), row["luhn"], len(row["iban"]), row["ip"].count("."), len(row["ssn"])) == (20, 0, 26, 7, 13)
+    moved = row["iban"][4:] + row["iban"][:4]
+    assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
