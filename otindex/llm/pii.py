@@ -31,6 +31,9 @@ BROADCAST_TEXTS = 100_000
 #: Draws in the format of the entity; each further one adds a character or a name, so no space stays full.
 SAME_FORMAT = 8
 
+#: Characters of an entity that one stream fills.
+PIECE = 63
+
 # Titles and common given names by gender, in two scripts.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "г-н", "господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Sra", "Señora", "г-жа", "госпожа")
@@ -66,8 +69,8 @@ _GIVEN = "(?:" + "|".join((*MALE, *FEMALE, *MALE_CYRILLIC, *FEMALE_CYRILLIC)) +
 #: possessive, so a long text takes linear time.
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?<![\w-])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[!-~&&[^\"',;]]{6,256}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,251}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200})(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<![\w-])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[!-~&&[^\"',;]]{6,}+",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])",
     "card": r"(?<![\w.+-])[3-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![\w-])",
@@ -145,10 +148,15 @@ class Surrogates:
         return F.conv(_at(stream, (k * 4) % 253 + 1, 4), 16, 10).cast("int") % below
 
     def scrambled(self, text: Column, stream: Column) -> Column:
-        """Letters become letters of the same case, digits digits; the rest stays. Hex stays hex."""
+        """Letters become letters of the same case, digits digits; the rest stays. Hex stays hex.
+
+        Long texts are taken in pieces, each with a stream of its own, in linear time.
+        """
         digit, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
         def filled(x: Column) -> Column:
+            """A piece of 1 to PIECE characters."""
+
             def step(out: Column, k: Column) -> Column:
                 c = _at(x["text"], k)
                 alphabet = (
@@ -160,10 +168,21 @@ class Surrogates:
                 )
                 return F.concat(out, let(alphabet, lambda a: _at(a, self.number(x["stream"], k, F.length(a)) + 1)))
 
-            return F.when(x["text"] == "", x["text"]).otherwise(_fold(x["text"], F.lit(""), step))
+            return _fold(x["text"], F.lit(""), step)
 
         hexadecimal = text.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{8,}$")
-        return let(F.struct(text.alias("text"), stream.alias("stream"), hexadecimal.alias("hex")), filled)
+
+        def piece(x: Column, part: Column, k: Column) -> Column:
+            own = F.concat(*(F.sha2(F.concat_ws("\x1f", x["stream"], k.cast("string"), F.lit(str(j))), 256) for j in range(4)))
+            own = F.when(k == 0, x["stream"]).otherwise(own)
+            return let(F.struct(part.alias("text"), own.alias("stream"), x["hex"].alias("hex")), filled)
+
+        def whole(x: Column) -> Column:
+            parts = F.regexp_extract_all(x["text"], F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+            long = F.array_join(F.transform(parts, lambda part, k: piece(x, part, k)), "")
+            return F.when(x["text"] == "", x["text"]).when(F.length(x["text"]) <= PIECE, filled(x)).otherwise(long)
+
+        return let(F.struct(text.alias("text"), stream.alias("stream"), hexadecimal.alias("hex")), whole)
 
     @staticmethod
     def placed(entity: Column, characters: Column) -> Column:

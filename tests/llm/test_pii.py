@@ -144,3 +144,20 @@ def test_further_draws_keep_the_check_digits(spark):
     assert (len(row["card"]), row["luhn"], len(row["iban"]), row["ip"].count("."), len(row["ssn"])) == (20, 0, 26, 7, 13)
     moved = row["iban"][4:] + row["iban"][:4]
     assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def test_long_secrets_are_taken_whole(spark):
+    """Secrets and keys of any length, without a rest in clear, a repeated stream or more than linear time."""
+    starts = ["token=", "api_key: ", "sk-", "xoxb-", "ghp_"]
+    sizes = [40, 257, 5000, 300000]
+    run = lambda n: ("aB3" * n)[:n]
+    rows = [(i, f"x {s}{run(n)} y", None, n) for i, (s, n) in enumerate((s, n) for s in starts for n in sizes)]
+    out = pseudonymize(spark.createDataFrame(rows, SCHEMA), "k").collect()
+    before = {r[0]: r[1] for r in rows}
+    for r in out:
+        old, new = before[r["doc_id"]], r["text"]
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", new[-r["kind"]:]))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", old[-r["kind"]:])))
+        assert len(new) == len(old) and new.endswith(" y")
+        body = new[-r["kind"] - 2 : -2]
+        assert not re.search("(?:aB3){3}", body)
+        assert r["kind"] < 5000 or body[:253] not in body[253:]
