@@ -7,6 +7,9 @@ differing bits. Copies share one fingerprint and are merged before anything is e
 copies of any size is one row, and a value is shared by at most as many fingerprints as lie within half
 the radius of it (65), so no key is hot. Within a value the least fingerprint is linked to the others,
 which for an even radius links everything that met there; other texts' links are never lost.
+
+Fingerprints of several seeds are computed in one pass over the texts. Texts that are close in any seed
+are linked, and the links of all seeds make one graph, whose nodes are the distinct arrays of fingerprints.
 """
 
 from __future__ import annotations
@@ -34,34 +37,56 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     A bit is set if more than half of the shingles' XXH64 have it set. Fewer words than ``size`` make
     one shingle; no words give zero.
     """
+    return seeded_fingerprints(text, size, (seed,))[0]
+
+
+def seeded_fingerprints(text: bytes, size: int, seeds: tuple[int, ...]) -> list[int]:
+    """The fingerprint for each seed; the text is split once."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(_FOLDED).split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     if len(words) <= size:
-        return xxh64_intdigest(b" ".join(words), seed)
+        return [xxh64_intdigest(b" ".join(words), seed) for seed in seeds]
     count = len(words) - size + 1
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((len(seeds), 64), np.int64)
     for at in range(0, count, _BLOCK):
         few = [words[at + k : min(at + _BLOCK, count) + k] for k in range(size)]
-        hashes = np.array([xxh64_intdigest(s, seed) for s in map(b" ".join, zip(*few, strict=True))], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+        shingles = list(map(b" ".join, zip(*few, strict=True)))
+        for k, seed in enumerate(seeds):
+            hashes = np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > count, bitorder="little").tobytes(), "little") for o in ones]
+
+
+def _column(texts: list[bytes], size: int, seeds: tuple[int, ...]) -> pa.Array:
+    """Fingerprints as signed longs, arrays of them for several seeds."""
+    found = [seeded_fingerprints(t, size, seeds) for t in texts]
+    values = pa.array(np.array(found, np.uint64).reshape(-1).view(np.int64))
+    if len(seeds) == 1:
+        return values
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(seeds)), values)
+
+
+def _type(seeds: tuple[int, ...]) -> str:
+    return "bigint" if len(seeds) == 1 else "array<bigint>"
+
 
+def fingerprints(documents: DataFrame, size: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(doc_id, bits): every document's fingerprint as a signed long, or an array of them for several seeds.
 
-def fingerprints(documents: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, bits): every document's fingerprint as a signed long; null texts have zero."""
+    Null texts have zero.
+    """
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = [fingerprint(t, size, seed) for t in as_bytes(piece.column("text")).to_pylist()]
-                bits = pa.array(np.array(found, np.uint64).view(np.int64))
+                bits = _column(as_bytes(piece.column("text")).to_pylist(), size, seeds)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), bits], ["doc_id", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, bits bigint")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id bigint, bits {_type(seeds)}")
 
 
 def _masks(half: int) -> list[int]:
@@ -70,33 +95,54 @@ def _masks(half: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct links (a, b) between the values of column ``bits`` that connect all within ``radius``.
 
     Links are between different fingerprints of at most ``radius`` differing bits. Not every such pair
-    is listed, but each pair is connected by listed ones. ``radius`` must be even.
+    is listed, but each pair is connected by listed ones. ``radius`` must be even. Values that differ in
+    the columns ``by``, which come first in the result, are not linked.
     """
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4")
     masks = F.array(*(F.lit(m) for m in _masks(radius // 2)))
     variants = distinct.select(
-        "bits", F.explode(F.transform(masks, lambda m: F.col("bits").bitwiseXOR(m))).alias("near")
+        *by, "bits", F.explode(F.transform(masks, lambda m: F.col("bits").bitwiseXOR(m))).alias("near")
     )
-    meeting = Window.partitionBy("near")
+    meeting = Window.partitionBy(*by, "near")
     return (
         variants.withColumn("least", F.min("bits").over(meeting))
         .where(F.col("bits") != F.col("least"))
         .where(F.bit_count(F.col("bits").bitwiseXOR(F.col("least"))) <= radius)
-        .select(F.col("least").alias("a"), F.col("bits").alias("b"))
+        .select(*by, F.col("least").alias("a"), F.col("bits").alias("b"))
         .distinct()
     )
 
 
-def _grouped(documents: DataFrame, size: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _seeded_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between arrays ``bits`` that connect all within ``radius`` in the value of some seed.
+
+    Each value of a seed is stood for by its least array: arrays that share a value are linked to it, and
+    close values by theirs. Only values of several arrays are joined with all arrays.
+    """
+    each = distinct.select(F.col("bits").alias("b"), F.posexplode("bits").alias("seed", "value"))
+    each = each.select(F.struct("seed", "value").alias("value"), "b")
+    heads = materialize(each.groupBy("value").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("arrays")))
+    shared = spread_join(each, heads.where("arrays > 1").select("value", "a"), "value", "b").where("a != b").select("a", "b")
+    close = near_links(heads.select("value.seed", F.col("value.value").alias("bits")), radius, ("seed",))
+
+    def end(name: str) -> DataFrame:
+        return heads.select(F.col("value.seed").alias("seed"), F.col("value.value").alias(name), F.col("a").alias(f"{name}_array"))
+
+    near = close.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"])
+    return shared.unionByName(near.select(F.col("a_array").alias("a"), F.col("b_array").alias("b")))
+
+
+def _grouped(documents: DataFrame, size: int, radius: int, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """(doc_id, bits) of all rows, and (bits, component, component_id) of all distinct fingerprints."""
-    rows = materialize(fingerprints(documents, size, seed))
+    rows = materialize(fingerprints(documents, size, seeds))
     distinct = materialize(rows.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    labels = components(near_links(distinct, radius)).withColumnRenamed("node", "bits")
+    links = near_links(distinct, radius) if len(seeds) == 1 else _seeded_links(distinct, radius)
+    labels = components(links).withColumnRenamed("node", "bits")
     merged = distinct.join(labels, "bits")
     named = merged.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = spread_join(merged, named, "label", "bits").select("bits", "label", "component_id")
@@ -116,7 +162,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, radius: int = 2, seed:
     others. Repeated rows stay and share a component; a null doc_id counts as larger than any, so
     component_id is null only where no document of the component has an id. Other columns are ignored.
     """
-    rows, groups = _grouped(documents, size, radius, seed)
+    rows, groups = _grouped(documents, size, radius, (seed,))
     return rows.join(groups, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -126,15 +172,18 @@ def near_duplicates(documents: DataFrame, size: int = 3, radius: int = 2, seed:
 BROADCAST_IDS = 1_000_000
 
 
-def deduplicate(documents: DataFrame, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def deduplicate(documents: DataFrame, size: int = 3, radius: int = 2, seed: int | tuple[int, ...] = 42) -> DataFrame:
     """One document of each component, in the columns of ``documents``: that with the least doc_id.
 
+    With several seeds, documents link that are within ``radius`` for any of them.
+
     Rows with a null or repeated doc_id are told apart by their fingerprints; among those that could
     stay for a component, the least row (column by column) does. A component without any doc_id keeps
     one row too.
     """
     names = documents.columns
-    rows, groups = _grouped(documents, size, radius, seed)
+    seeds = (seed,) if isinstance(seed, int) else tuple(seed)
+    rows, groups = _grouped(documents, size, radius, seeds)
     judged = rows.join(groups, "bits")
     repeated = materialize(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     odd_ids = broadcast_if_small(repeated, BROADCAST_IDS)
@@ -144,19 +193,18 @@ def deduplicate(documents: DataFrame, size: int = 3, radius: int = 2, seed: int
 
     nameless, shared = documents.where("doc_id is null"), documents.join(odd_ids, "doc_id", "left_semi").select(*names)
     odd = nameless.unionByName(shared).select(F.struct(*names).alias("row"), "doc_id", "text")
-    marked = _with_bits(odd, size, seed).join(groups, "bits")
+    marked = _with_bits(odd, size, seeds).join(groups, "bits")
     stay = marked.where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     return plain.unionByName(stay.groupBy("component").agg(F.min("row").alias("row")).select("row.*"))
 
 
-def _with_bits(rows: DataFrame, size: int, seed: int) -> DataFrame:
+def _with_bits(rows: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
     """(row, bits) of (row, text)."""
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, size, seed) for t in as_bytes(batch.column("text")).to_pylist()]
-            bits = pa.array(np.array(found, np.uint64).view(np.int64))
+            bits = _column(as_bytes(batch.column("text")).to_pylist(), size, seeds)
             yield pa.RecordBatch.from_arrays([batch.column("row"), bits], ["row", "bits"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(run, f"row {kind}, bits bigint")
+    return rows.select("row", "text").mapInArrow(run, f"row {kind}, bits {_type(seeds)}")

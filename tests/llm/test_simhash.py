@@ -100,3 +100,31 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and deduplicate(empty).count() == 0
+
+
+def test_links_of_all_seeds_make_one_graph(spark):
+    """Several seeds at once: components over the union of their links, by brute force."""
+    rows, seeds = corpus(), (42, 43, 44)
+    _, _, group = brute_components(rows, seeds[0])
+    for seed in seeds[1:]:
+        more = brute_components(rows, seed)[2]
+        for i, j in enumerate(more):
+            old, new = group[i], group[j]
+            group = [new if g == old else g for g in group]
+    least, expected = {}, {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(r[0], least.get(g, r[0]))
+    for r, g in zip(rows, group):
+        if r[0] == least.get(g):
+            expected[g] = min(expected.get(g, r), r, key=str)
+    kept = sorted(str(tuple(r)) for r in deduplicate(spark.createDataFrame(rows, SCHEMA), seed=seeds).collect())
+    assert kept == sorted(map(str, expected.values()))
+    assert len(kept) < len(deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert deduplicate(spark.createDataFrame([], SCHEMA), seed=seeds).count() == 0
+
+
+def test_the_pipeline_uses_several_seeds():
+    import corpus_pipeline
+
+    assert len(set(corpus_pipeline.SEEDS)) >= 3
