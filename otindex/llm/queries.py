@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from otindex.llm.byte_bpe import encode_documents
 from otindex.llm.chat_format import ESCAPE, Template, format_chats, read_chats
 from otindex.llm.decontaminate import find_leaks
+from otindex.llm.alignment import align
+from otindex.llm.collocations import collocations
 from otindex.llm.line_crf import classify, fit, held_out, learnable
+from otindex.llm.mixing import mix
 from otindex.llm.pii import pseudonymize
 from otindex.llm.quality_rules import judge
 from otindex.llm.simhash import near_duplicates
@@ -258,6 +261,59 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two or three words of every language."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return collocations(documents, size=3, min_count=10, top=2000)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), phrases AS MATERIALIZED (
+  SELECT lang, k, w[p:p + k - 1] AS w, count(*)::HUGEINT AS f
+  FROM words, range(1, 4) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(p) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT * FROM phrases WHERE f >= 10),
+cuts AS (
+  SELECT c.lang, c.w, c.f AS a, x.f AS l, y.f AS r, cut, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM frequent c, range(1, 3) AS s(cut)
+  JOIN frequent x ON x.lang = c.lang AND x.w = c.w[1:cut] JOIN frequent y ON y.lang = c.lang AND y.w = c.w[cut + 1:]
+  WHERE c.k > cut
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, w, max(f) AS longer FROM (
+    SELECT lang, w[1:2] AS w, f FROM frequent WHERE k = 3 UNION ALL SELECT lang, w[2:3], f FROM frequent WHERE k = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score
+  FROM best LEFT JOIN inside USING (lang, w) WHERE coalesce(100 * longer < 50 * a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources weighed 1, 2, 3 in turn takes."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix(documents, weights=(1, 2, 3), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens that two tokenizers share in every document, and how common their links are."""
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -269,6 +325,9 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_token_files": op9_token_files,
     "op10_line_crf": op10_line_crf,
+    "op11_collocations": op11_collocations,
+    "op12_mixing": op12_mixing,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op8_url_reputation": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op8_url_reputation": OP8_SQL, "op11_collocations": OP11_SQL}
