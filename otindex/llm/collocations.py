@@ -25,7 +25,7 @@ from otindex.llm.bytes_ import as_bytes, buffers, mixed, pieces, spans, word_has
 from otindex.session import materialize, working_folder
 
 #: Shards, bytes of text counted at a time, hashes of a bucket, and bits of the map of candidates.
-SHARDS, UNIT_BYTES, BUCKET_HASHES, MAP_BITS = 4, 8 << 20, 1 << 21, 27
+SHARDS, UNIT_BYTES, BUCKET_HASHES, MAP_BITS = 4, 3 << 20, 1 << 21, 27
 
 #: Bits of the map in one row.
 _BLOCK_BITS = 16
@@ -47,6 +47,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Places:
+    """Where the words of some texts lie: the lower-cased bytes, each word's start and end, and its row."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = buffers(as_bytes(column))
+        self.data = data = _LOWER[data]
+        self.breaks = _BREAKS[data]
+        starts, ends = spans(~(self.breaks | _SPACES[data]))
+        # a text begins like a break; a word across two texts is cut there
+        inner = np.unique(offsets[1:-1])
+        cut = inner[np.searchsorted(starts, inner, "left") > np.searchsorted(ends, inner, "right")]
+        self.starts, self.ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+        self.row = np.searchsorted(offsets, self.starts, "right") - 1
+
+
 class Unit:
     """The words of some texts: their numbers, the piece that each lies in, and their row.
 
@@ -54,18 +69,12 @@ class Unit:
     """
 
     def __init__(self, column: pa.Array):
-        data, offsets = buffers(as_bytes(column))
-        data = _LOWER[data]
-        breaks = _BREAKS[data]
-        starts, ends = spans(~(breaks | _SPACES[data]))
-        # a text begins like a break; a word across two texts is cut there
-        inner = np.unique(offsets[1:-1])
-        cut = inner[np.searchsorted(starts, inner, "left") > np.searchsorted(ends, inner, "right")]
-        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
-        self.row = np.searchsorted(offsets, starts, "right") - 1
-        self.piece = np.cumsum(breaks)[starts] + self.row if len(starts) else starts
-        words = data[np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts) + np.arange(int((ends - starts).sum()))]
-        where = np.concatenate(([0], np.cumsum(ends - starts)))
+        places = Places(column)
+        starts, sizes = places.starts, places.ends - places.starts
+        self.row = places.row
+        self.piece = np.cumsum(places.breaks, dtype=np.int32)[starts] + self.row if len(starts) else starts
+        where = np.concatenate(([0], np.cumsum(sizes)))
+        words = places.data[np.repeat(starts - where[:-1], sizes) + np.arange(where[-1])]
         joined = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(words)])
         coded = joined.dictionary_encode()
         self.names = coded.dictionary
@@ -129,7 +138,7 @@ def word_totals(rows: DataFrame) -> DataFrame:
     def count(batches):
         for texts, langs, shards in _units(batches):
             groups, of = _grouped(list(zip(langs, shards, strict=True)))
-            n = np.bincount(of[Unit(texts).row], minlength=len(groups)).astype(np.int64)
+            n = np.bincount(of[Places(texts).row], minlength=len(groups)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*zip(*groups, strict=True), n)], ["lang", "shard", "n"])
 
     return rows.mapInArrow(count, "lang string, shard bigint, n bigint").groupBy("lang", "shard").agg(F.sum("n").alias("n"))
@@ -239,7 +248,7 @@ def collocations(
     A phrase lies within a piece, between two of ``.,;:!?`` and line ends, and occurs ``min_count``
     times; one inside a longer phrase with at least ``share`` percent of its count is dropped. Ties are
     broken by count and phrase. A null language is ``und``, a null text empty; repeated rows count each;
-    other columns are ignored. A text longer than 8 MB is counted in one piece, in memory of some twenty times its
+    other columns are ignored. A text longer than 3 MB is counted in one piece, in memory of some twenty times its
     size.
     """
     spark = documents.sparkSession
