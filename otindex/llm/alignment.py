@@ -5,6 +5,10 @@ the last tokens of a group, which end together, point to the second tokenizer's
 pointers (every pointer takes its target's pointer, all at once) brings every token to the last token
 of its group in logarithmically many steps, and that token labels the group.
 
+A text is cut at every single space between two characters that are no white space. Both tokenizers end
+a token there whatever stands around it (no token of either holds such a place inside), so the parts
+between are encoded and aligned on their own, and a task remembers a bounded number of them.
+
 Texts are encoded once; the distinct links of each row are kept in the shared folder as 32-bit numbers with
 how often they occur. Counting adds up the links of many documents in a task before the shuffle. The
 counts come back in two ways: those of the commonest pairs, as many as fit a fixed size, are broadcast;
@@ -15,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,12 @@ from otindex.session import working_folder
 #: Pairs whose counts are broadcast, 9 bytes each, and link entries a task adds up before it passes them on.
 BROADCAST_PAIRS, HELD_LINKS = 4_000_000, 8_000_000
 
+#: Parts of texts that a task remembers.
+REMEMBERED = 200_000
+
+#: A place where both tokenizers always end a token.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
 _NOTHING = np.empty(0, np.int64)
 
 
@@ -54,15 +66,71 @@ class Encoders:
         ]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a, self.b))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both; none for empty texts and those that either does not give back."""
-        spaced = [" " + t for t in texts]
-        coded = zip(spaced, texts, self.bpe.encode_batch_fast(spaced, add_special_tokens=False), self.pieces.encode(texts, num_threads=1))
+    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int], bool]]:
+        """The ids of a space and each part by both, and whether both give its bytes back."""
+        spaced = [" " + t for t in parts]
+        out = []
+        for whole, a, b in zip(spaced, self.bpe.encode_batch_fast(spaced, add_special_tokens=False), self.pieces.encode(parts, num_threads=1)):
+            raw = whole.encode()
+            fine = b"".join(map(self.a.__getitem__, a.ids)) == raw == b"".join(map(self.b.__getitem__, b))
+            out.append((a.ids, b, fine))
+        return out
+
+
+@dataclass(frozen=True)
+class Part:
+    """A part of a text, aligned: numbers of tokens and groups, the groups as text, and linked id pairs."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    pairs: bytes
+    fine: bool
+
+
+class Parts(dict):
+    """Aligned parts of texts by their text; new ones are encoded and aligned together."""
+
+    def __init__(self, encoders: Encoders):
+        self.encoders = encoders
+
+    def learn(self, parts: list[str]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = [p for p in dict.fromkeys(parts) if p not in self]
+        coded = self.encoders.encode(new)
+        kept = [(a, b) for a, b, fine in coded if fine]
+        a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (zip(*kept) if kept else ((), ())))
+        # one after the other the parts are one text; tokens of both end where a part ends
+        labels = group_labels(np.cumsum(self.encoders.a_sizes[a]), np.cumsum(self.encoders.b_sizes[b]))
+        at = [0, 0]
+        for part, (a_ids, b_ids, fine) in zip(new, coded):
+            if not fine:
+                self[part] = Part(0, 0, 0, "", b"", False)
+                continue
+            to = [at[0] + len(a_ids), at[1] + len(b_ids)]
+            args = a[at[0] : to[0]], b[at[1] : to[1]], labels[0][at[0] : to[0]], labels[1][at[1] : to[1]]
+            self[part] = Part(
+                len(a_ids), len(b_ids), len(np.unique(args[2])), group_text(*args), linked_pairs(*args).tobytes(), True
+            )
+            at = to
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, groups as text, distinct pairs, how often each) of every text."""
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        self.learn([p for parts in cut for p in parts])
         out = []
-        for whole, text, a, b in coded:
-            a, raw = a.ids, whole.encode()
-            fine = text and b"".join(map(self.a.__getitem__, a)) == raw and b"".join(map(self.b.__getitem__, b)) == raw
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if fine else (_NOTHING, _NOTHING))
+        for parts in cut:
+            found = list(map(self.__getitem__, parts))
+            if not found or not all(p.fine for p in found):
+                out.append((0, 0, 0, "", _NOTHING, _NOTHING))
+                continue
+            pairs = np.frombuffer(b"".join([p.pairs for p in found]), np.int64)
+            out.append(
+                (sum([p.n_a for p in found]), sum([p.n_b for p in found]), sum([p.n_groups for p in found]),
+                 ";".join([p.text for p in found]), *np.unique(pairs, return_counts=True))
+            )
         return out
 
 
@@ -82,12 +150,12 @@ def group_labels(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np
     return pointer[:n], pointer[n:]
 
 
-def links(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs of linked tokens as ``a << 32 | b``, and how often each is linked."""
+def linked_pairs(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> np.ndarray:
+    """The id pairs of all linked tokens as ``a << 32 | b``."""
     low, high = np.searchsorted(b_groups, a_groups, "left"), np.searchsorted(b_groups, a_groups, "right")
     width = high - low
     at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width - low, width)
-    return np.unique((np.repeat(a, width) << 32) | b[at], return_counts=True)
+    return (np.repeat(a, width) << 32) | b[at]
 
 
 def group_text(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> str:
@@ -113,19 +181,14 @@ def aligned(documents: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     key = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        code = None
+        parts = None
         for batch in batches:
             for piece in pieces(batch, "text"):
-                code = code or Encoders(bpe_path, piece_path)
-                rows, pairs, times = [], [], []
-                for a, b in code.encode([t or "" for t in piece.column("text").to_pylist()]):
-                    labels = group_labels(np.cumsum(code.a_sizes[a]), np.cumsum(code.b_sizes[b]))
-                    found, often = links(a, b, *labels)
-                    digest = hashlib.sha256(group_text(a, b, *labels).encode()).hexdigest() if len(a) else ""
-                    rows.append((len(a), len(b), len(np.unique(labels[0])), digest))
-                    pairs.append(found)
-                    times.append(often)
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.string()])]
+                parts = parts if parts is not None else Parts(Encoders(bpe_path, piece_path))
+                rows = parts.rows([t or "" for t in piece.column("text").to_pylist()])
+                *counts, texts, pairs, times = zip(*rows)
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string())]
                 offsets = pa.array(np.cumsum([0, *map(len, pairs)], dtype=np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(k))) for x, k in ((pairs, "i8"), (times, "i4"))]
                 names = ["doc_id", "_row", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
@@ -173,7 +236,8 @@ def align(
     count of an id pair is the number of rows that have it linked; ``n_best`` are the links whose count
     is the highest of their first id, ``count_sum`` adds up the counts of all links. Repeated rows count
     each; rows of null, empty or unfaithfully encoded texts have zeros and an empty ``groups_sha256``.
-    Other columns are ignored. A text is encoded in one piece, in memory in proportion to it.
+    Other columns are ignored. A part of a text without a single space is encoded in one piece, in
+    memory in proportion to it.
     """
     spark = documents.sparkSession
     folder = working_folder(spark, "alignment")

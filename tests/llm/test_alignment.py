@@ -14,7 +14,7 @@ NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 
 def corpus():
     rng = random.Random(5)
-    words = ["The", "naïve", "tokenization", "über", "2024", "don't", "日本語", "🙂", "<|endoftext|>", "<s>", "<0x41>", "▁x", "a  b", "\t", "\n\n"]
+    words = ["The", "naïve", "tokenization", "über", "2024", "don't", "日本語", "🙂", "<|endoftext|>", "<s>", "<0x41>", "▁x", "a  b", "\t", "\n\n", "\x1c", "\u180e", "\u3000x", "  ", "\u2581", "\xa0y", "'s", "\u200b"]
     texts = [" ".join(rng.choices(words, k=rng.choice([1, 3, 30]))) for _ in range(25)]
     texts += [None, "", " ", "   ", "　", "x\x00y", "z" * 5000, texts[0], texts[0], "word " * 3000]
     rows = [(k, t, 1, "c") for k, t in enumerate(texts)]
