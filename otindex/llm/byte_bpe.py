@@ -94,19 +94,12 @@ def _id_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def encode(
-    documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Encode (doc_id, text): ids of short texts, holders of long texts, and ids of their pieces.
+def _rows_and_short(documents: DataFrame, chunk: int):
+    """(doc_id, text), and whether a text is encoded in its own row."""
+    return documents.select(F.col("doc_id").cast("long"), "text"), F.coalesce(F.length("text"), F.lit(0)) <= chunk
 
-    Returns (doc_id, ids) for texts of at most ``chunk`` characters, and for the others (doc_id, key)
-    and (key, piece, ids), where the ids of a key's pieces follow each other. Every row of
-    ``documents`` counts, repeated or not; a null text is empty and has no ids. Other columns are
-    ignored. ``ranks_path`` is read by each Python worker and must exist on every executor.
-    """
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
 
+def _short_encoder(ranks_path: str, pattern: str):
     def encode_short(batches):
         code = None
         for batch in batches:
@@ -115,7 +108,21 @@ def encode(
                 ids = [code.ids(code.scan.findall(t)) if t else b"" for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _id_lists(ids)], ["doc_id", "ids"])
 
-    short_ids = rows.where(short).mapInArrow(encode_short, "doc_id bigint, ids array<int>")
+    return encode_short
+
+
+def encode(
+    documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Encode (doc_id, text): ids of short texts, holders of long texts, and ids of their pieces.
+
+    Returns (doc_id, ids) for texts of at most ``chunk`` characters, and for the others (doc_id, key)
+    and (key, piece, ids), where the ids of a key's pieces follow each other. Every row of
+    ``documents`` counts, repeated or not; a null text is empty and has no ids. Other columns are
+    ignored. ``ranks_path`` is read by each Python worker and must exist on every executor.
+    """
+    rows, short = _rows_and_short(documents, chunk)
+    short_ids = rows.where(short).mapInArrow(_short_encoder(ranks_path, pattern), "doc_id bigint, ids array<int>")
 
     def cut(batches):
         for batch in batches:
@@ -211,7 +218,12 @@ def digest(ids: DataFrame, ranks_path: str, keys: list[str], order: str | None =
     """
     schema = ids.select(*keys).schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    if order is not None:
+        ids = ids.repartition(*keys).sortWithinPartitions(*keys, order)
+    return ids.select(*keys, "ids").mapInArrow(_digester(ranks_path, keys, order), f"{fields}, {_DIGEST}")
 
+
+def _digester(ranks_path: str, keys: list[str], order: str | None = None):
     def run(batches):
         table, names, now, state = [], [], None, None
 
@@ -247,10 +259,9 @@ def digest(ids: DataFrame, ranks_path: str, keys: list[str], order: str | None =
             yield output(arrow_schema, found)
         if state is not None:
             yield output(arrow_schema, [row(now, state)])
+        pa.default_memory_pool().release_unused()
 
-    if order is not None:
-        ids = ids.repartition(*keys).sortWithinPartitions(*keys, order)
-    return ids.select(*keys, "ids").mapInArrow(run, f"{fields}, {_DIGEST}")
+    return run
 
 
 def encode_documents(
@@ -261,7 +272,10 @@ def encode_documents(
     One row per row of ``documents``. ids_sha256 is over decimal ids joined by one space,
     decoded_sha256 over the bytes that the ids decode to.
     """
-    short_ids, holders, long_ids = encode(documents, ranks_path, pattern, chunk, overlap)
-    short = digest(short_ids, ranks_path, ["doc_id"])
+    _, holders, long_ids = encode(documents, ranks_path, pattern, chunk, overlap)
+    rows, is_short = _rows_and_short(documents, chunk)
+    encoder, digester = _short_encoder(ranks_path, pattern), _digester(ranks_path, ["doc_id"])
+    # one Python worker encodes and digests
+    short = rows.where(is_short).mapInArrow(lambda batches: digester(encoder(batches)), f"doc_id bigint, {_DIGEST}")
     long = digest(long_ids, ranks_path, ["key"], order="piece")
     return short.unionByName(holders.join(long, "key").drop("key"))
