@@ -20,7 +20,7 @@ import struct
 import zlib
 from array import array
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +108,12 @@ class WordEncoder(dict):
         ]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process, whose tasks follow each other and share the words it remembers."""
+    return WordEncoder(path)
+
+
 @dataclass(frozen=True)
 class Grammar:
     """Symbols below ``base`` are ids; rule k is symbol base + k and stands for left[k], right[k]."""
@@ -307,7 +313,7 @@ def write_tokens(
     def encode(batches):
         encoder = None
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer_path)
+            encoder = encoder or _encoder(tokenizer_path)
             end = np.array([end_id], encoder.kind).tobytes()
             for piece in pieces(batch, "text"):
                 ids = [x + end for x in encoder.batch(as_bytes(piece.column("text")).to_pylist())]
