@@ -21,6 +21,7 @@ import zlib
 from array import array
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import count as count_up
 
 import numpy as np
 import pyarrow as pa
@@ -162,14 +163,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, leas
 
     ``ids`` are those of all documents, ``ends`` where each document ends; ids are below ``base`` and
     symbols below ``limit``. Each round counts all pairs within documents and replaces those that
-    occur at least ``least`` times, the most frequent first as far as symbols are left.
+    occur at least ``least`` times, the most frequent first as far as symbols are left; rounds go on until
+    no pair does or no symbol is left.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq) + 1, bool)  # the last symbol of a document, or before the first
     last[ends] = True
     last = last[1:]
     left, right, lengths = (np.empty(0, np.int64) for _ in range(3))
-    for k in range(rounds):
+    for k in count_up():
         free = limit - base - len(left)
         if free <= 0 or len(seq) < 2:
             break
@@ -181,8 +183,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, leas
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        # Half of the free symbols, all in the last round: later rounds join what earlier ones made.
-        share = free if k == rounds - 1 else max(1, free // 2)
+        # Half of the free symbols in the first rounds, then all: later rounds join what earlier ones made.
+        share = free if k >= rounds - 1 else max(1, free // 2)
         if len(often) > share:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:share]])
         pairs = ordered[first[often]]

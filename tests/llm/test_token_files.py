@@ -98,3 +98,12 @@ def test_empty_table(spark):
     folder = working_folder(spark, "tokens")
     write_tokens(spark.createDataFrame([], SCHEMA), folder, PATH, 2)
     assert read_tokens(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("unit", [[7], [1, 2, 3], list(range(50))])
+def test_grammar_goes_on_until_nothing_repeats(unit):
+    """A shard of one repeated passage shrinks to a handful of symbols, and any part of it is found."""
+    ids = np.array(unit * (100_000 // len(unit)), np.uint32)
+    grammar, symbols, ends = compress(ids, np.array([len(ids)]), 49_408)
+    assert len(symbols) < 40 * len(unit) and list(ends) == [len(symbols)]
+    assert np.array_equal(grammar.expand(symbols), ids)
