@@ -23,7 +23,7 @@ from otindex.operators.ground import (
     kernel_table,
     tasks,
 )
-from otindex.operators.transport import Solution, _union, check_indices, checked_status, smooth
+from otindex.operators.transport import STACK_VALUES, Solution, _union, check_indices, checked_status, smooth
 from otindex.session import BROADCAST_ROWS, SALTS, materialize
 
 #: Members up to which one task may hold a whole group.
@@ -91,22 +91,27 @@ def _batched(members, cost, eps, debias, max_iter, tol, domain, check_every=sc.C
 
     def solve(batches):
         ground = DenseCost(*shared.value)
-        K = ground.kernel(eps)
+        smooth = sc.ExpSmoothing(ground.kernel(eps)) if domain == "exp" else sc.LogSmoothing(ground.matrix, eps)
         for batch in batches:
-            out = []
-            for group, w, idx, p in batch.itertuples(index=False):
-                A = np.stack([ground.column(i, q) for i, q in zip(idx, p)], axis=1)
-                w = np.asarray(w)
-                if domain == "exp":
-                    b, status, rounds, error = sc.barycenters(
-                        K, A[:, None, :], w[None], max_iter, tol, debias, None, check_every
-                    )
-                    solved = b[:, 0], status[0], int(rounds[0]), float(error[0])
-                else:
-                    solved = sc.barycenter_log(ground.matrix, A, w, eps, max_iter, tol, debias, check_every)
-                some = slice(None) if solved[2] else slice(0)  # no round was finite: no values
-                out.append((group, ground.ids[some], solved[0][some], *solved[1:]))
-            yield pd.DataFrame(out, columns=["group_id", "idx", "p", "status", "iterations", "error"])
+            for rows in _stacks(batch, len(ground.ids)):
+                A = np.stack([ground.column(i, q) for idx, p in zip(rows["idx"], rows["p"]) for i, q in zip(idx, p)], axis=1)
+                counts = rows["weight"].map(len).to_numpy()
+                b, status, rounds, error = sc.barycenter_groups(
+                    smooth, A, np.concatenate(rows["weight"].to_list()), np.cumsum(counts) - counts,
+                    max_iter, tol, debias, check_every,
+                )
+                # no round was finite: no values
+                some = [slice(None) if r else slice(0) for r in rounds]
+                yield pd.DataFrame(
+                    {
+                        "group_id": rows["group_id"].to_numpy(),
+                        "idx": [ground.ids[k] for k in some],
+                        "p": [b[k, g] for g, k in enumerate(some)],
+                        "status": status,
+                        "iterations": rounds,
+                        "error": error,
+                    }
+                )
 
     key = members.schema["group_id"].dataType.simpleString()
     solved = per_group.mapInPandas(
@@ -120,6 +125,19 @@ def _batched(members, cost, eps, debias, max_iter, tol, domain, check_every=sc.C
     )
 
 
+def _stacks(batch: pd.DataFrame, words: int):
+    """Cut groups, in order, into stacks whose members hold at most ``STACK_VALUES`` numbers, or one group."""
+    start, members = 0, 0
+    limit = max(1, STACK_VALUES // words)
+    for at, count in enumerate(batch["weight"].map(len)):
+        if at > start and members + count > limit:
+            yield batch.iloc[start:at]
+            start, members = at, 0
+        members += count
+    if len(batch):
+        yield batch.iloc[start:]
+
+
 # --- relational ------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from otindex.functions.kernel import distances
 from otindex.operators.ground import tasks
 from otindex.session import with_positions
 
@@ -64,10 +65,9 @@ def _tile(row, rooted: bool) -> pd.DataFrame:
     right = np.asarray(row.idx_hi)
     x = np.asarray(row.flat_lo).reshape(len(left), -1)
     y = np.asarray(row.flat_hi).reshape(len(right), -1)
-    # sums of squared differences, not the Gram form: no cancellation between close vectors
-    cost = np.stack([((y - vector) ** 2).sum(axis=1) for vector in x])
-    if rooted:
-        cost = np.sqrt(cost)
+    cost = distances(x, y, rooted)
+    if row.lo == row.hi:  # the same however the product was summed
+        cost = np.minimum(cost, cost.T)
     i = np.repeat(left, len(right))
     j = np.tile(right, len(left))
     flat = cost.ravel()

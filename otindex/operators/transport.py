@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from otindex.functions import scaling as sc
 from otindex.operators.ground import (
+    EXP_RANGE,
     DenseCost,
+    VectorCost,
     choose_domain,
     choose_strategy,
     chunks,
+    collect_ground,
     kernel_table,
     tasks,
 )
@@ -86,10 +89,11 @@ def pair_problems(
 
 
 def check_indices(cost: DataFrame, a: DataFrame, b: DataFrame) -> None:
-    """Every index that carries mass must occur in the cost: ``a`` as i, ``b`` as j."""
+    """Every index that carries mass must occur in the cost: ``a`` as i, ``b`` as j, or have a vector."""
     for side, name in ((a, "i"), (b, "j")):
         used = side.where(F.col("p") > 0).select(F.col("idx").alias(name)).distinct()
-        if not used.join(cost.select(name), name, "left_anti").isEmpty():
+        known = cost.select(F.col("word_id" if "vec" in cost.columns else name).alias(name))
+        if not used.join(known, name, "left_anti").isEmpty():
             raise ValueError("a histogram uses an index that the cost does not have")
 
 
@@ -107,12 +111,18 @@ def sinkhorn_pairs(
 ) -> Solution:
     """Solve ``pairs(problem_id, a_id, b_id)`` of histograms ``(id, idx, p)``; see :func:`sinkhorn`.
 
+    ``cost`` is ``(i, j, cost)``, or ``(word_id, vec)`` for the squared distance between vectors. From vectors a
+    task makes only the costs between the words of a pair, so histograms may come from any vocabulary;
+    such pairs are solved in the batched layout and ``domain='auto'`` looks at each pair's own costs.
     A pair with a histogram that is missing or has no mass has no potentials and the status ``empty``.
     In the batched strategy a pair is one small row when it is spread over the tasks; a shared
     histogram that can be broadcast joins it there and is never shuffled once per pair.
     """
-    domain = choose_domain(domain, cost, eps)
-    if choose_strategy(strategy, cost) == "batched":
+    from_vectors = "vec" in cost.columns
+    domain = domain if from_vectors else choose_domain(domain, cost, eps)
+    if from_vectors and strategy == "relational":
+        raise ValueError("vectors need the batched strategy")
+    if from_vectors or choose_strategy(strategy, cost) == "batched":
         check_indices(cost, dist_a, dist_b)
         spread = pairs.repartition(tasks(pairs), "problem_id")
         packed = _attach(_attach(spread, dist_a, "a"), dist_b, "b")
@@ -177,10 +187,30 @@ def stack(dense: DenseCost, rows: pd.DataFrame, side: str) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def padded_stacks(rows: pd.DataFrame):
+    """Cut rows, in order, into stacks whose padded couplings hold at most ``STACK_VALUES`` numbers."""
+    start, tall, wide = 0, 0, 0
+    sizes = list(zip(map(len, rows["idx_a"]), map(len, rows["idx_b"])))
+    for at, (a, b) in enumerate(sizes):
+        if at > start and max(tall, a) * max(wide, b) * (at + 1 - start) > STACK_VALUES:
+            yield rows.iloc[start:at]
+            start, tall, wide = at, 0, 0
+        tall, wide = max(tall, a), max(wide, b)
+    yield rows.iloc[start:]
+
+
+def _padded(arrays) -> np.ndarray:
+    """Arrays of different lengths as rows, filled up with zeros."""
+    out = np.zeros((len(arrays), max(map(len, arrays))))
+    for row, values in zip(out, arrays):
+        row[: len(values)] = values
+    return out
+
+
 def _batched(packed, cost, eps, max_iter, tol, domain, check_every=sc.CHECK_EVERY) -> Solution:
-    dense = DenseCost.collect(cost)
-    shared = dense.share(packed)
-    width = max(1, STACK_VALUES // (8 * len(dense.ids)))
+    dense = collect_ground(cost)
+    shared, kind = dense.share(packed), type(dense)
+    width = max(1, STACK_VALUES // (8 * max(1, len(dense.ids))))
 
     def solve_exp(rows, ground, K):
         U, V, status, rounds, error = sc.scale_pairs(
@@ -199,19 +229,45 @@ def _batched(packed, cost, eps, max_iter, tol, domain, check_every=sc.CHECK_EVER
             yield f[ia, s], g[ib, s], status[s], int(rounds[s]), float(error[s]), *moved
 
     def solve_log(rows, ground):
-        for ia, pa, ib, pb in zip(rows["idx_a"], rows["p_a"], rows["idx_b"], rows["p_b"]):
-            C = ground.matrix[np.ix_(ground.at(ia), ground.at(ib))]
-            solved = sc.scale_pair_log(C, np.asarray(pa), np.asarray(pb), eps, max_iter, tol, check_every)
-            level = solved[0][:, None] + solved[1][None, :]
+        for some in padded_stacks(rows):
+            at = [[ground.at(i) for i in some[f"idx_{side}"]] for side in "ab"]
+            A, B = (_padded(some[f"p_{side}"]) for side in "ab")
+            C = np.zeros((len(some), A.shape[1], B.shape[1]))
+            for c, ia, ib in zip(C, *at):
+                c[: len(ia), : len(ib)] = ground.matrix[np.ix_(ia, ib)]
+            F_, G_, status, rounds, error = sc.scale_pairs_log(C, A, B, eps, max_iter, tol, check_every)
+            level = F_[:, :, None] + G_[:, None, :]
+            mass = np.exp((level - C) / eps) * ((A > 0)[:, :, None] & (B > 0)[:, None, :])
+            linear = (mass * np.where(mass > 0, C, 0.0)).sum(axis=(1, 2))
+            regularized = (mass * (level - eps)).sum(axis=(1, 2))
+            for s, (ia, ib) in enumerate(zip(*at)):
+                moved = float(linear[s]), float(regularized[s])
+                yield F_[s, : len(ia)], G_[s, : len(ib)], status[s], int(rounds[s]), float(error[s]), *moved
+
+    def solve_alone(rows, ground):
+        """Each pair on the words that its two histograms have."""
+        for one in (rows.iloc[at : at + 1] for at in range(len(rows))):
+            (ia, ib), (pa, pb) = ([np.asarray(one[f"{x}_{side}"].iloc[0]) for side in "ab"] for x in ("idx", "p"))
+            C = ground.block(ground.at(ia), ground.at(ib))
+            if domain == "log" or (domain == "auto" and C.max() / eps > EXP_RANGE):
+                f, g, status, rounds, error = sc.scale_pairs_log(C[None], pa[None], pb[None], eps, max_iter, tol, check_every)
+                f, g = f[0], g[0]
+            else:
+                U, V, status, rounds, error = sc.scale_pairs(np.exp(-C / eps), pa[:, None], pb[:, None], max_iter, tol, None, check_every)
+                f, g = (eps * np.log(x[:, 0], where=x[:, 0] > 0, out=np.zeros(len(x))) for x in (U, V))
+            level = f[:, None] + g[None, :]
             mass = np.exp((level - C) / eps)
-            linear = (mass * np.where(mass > 0, C, 0.0)).sum()
-            yield *solved, float(linear), float((mass * (level - eps)).sum())
+            moved = float((mass * C).sum()), float((mass * (level - eps)).sum())
+            yield f, g, status[0], int(rounds[0]), float(error[0]), *moved
 
     def solve(batches):
-        ground = DenseCost(*shared.value)
-        K = ground.kernel(eps)
+        ground = kind(*shared.value)
+        K = None if kind is VectorCost else ground.kernel(eps)
         for rows in chunks(batches, width):
-            solved = solve_exp(rows, ground, K) if domain == "exp" else solve_log(rows, ground)
+            if K is None:
+                solved = solve_alone(rows, ground)
+            else:
+                solved = solve_exp(rows, ground, K) if domain == "exp" else solve_log(rows, ground)
             f, g, status, rounds, error, linear, regularized = zip(*solved)
             yield pd.DataFrame(
                 {

@@ -14,21 +14,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from otindex.functions import scaling as sc
 from otindex.operators import optim
 from otindex.operators.gradients import (
+    _stacking,
     _width,
     collect_topics,
     document_gradients,
+    document_targets,
     gradient_rows,
     softmax,
     topic_gradient,
     topic_matrix,
+    training_kernel,
 )
-from otindex.operators.ground import DenseCost, chunks, tasks
+from otindex.operators.ground import chunks, collect_ground, tasks
 from otindex.operators.linalg import softmax as softmax_table
 from otindex.operators.svd import truncated_svd
 from otindex.operators.text import pack
@@ -65,7 +69,8 @@ def initial_topics(cost: DataFrame, spec: DictionarySpec) -> DataFrame:
     """``(topic, word_id, value, m, v)``: random logits and zero moments."""
     zero = F.lit(0.0)
     topics = F.explode(F.sequence(F.lit(0), F.lit(spec.num_topics - 1))).alias("topic")
-    return cost.select(F.col("i").alias("word_id")).distinct().select(
+    words = F.col("word_id" if "vec" in cost.columns else "i").cast("int").alias("word_id")
+    return cost.select(words).distinct().select(
         topics, "word_id"
     ).select(
         "topic",
@@ -77,54 +82,96 @@ def initial_topics(cost: DataFrame, spec: DictionarySpec) -> DataFrame:
 
 
 def fit(
-    distributions: DataFrame, cost: DataFrame, spec: DictionarySpec, verbose: bool = False
+    distributions: DataFrame, cost: DataFrame, spec: DictionarySpec, verbose: bool = False, folder: str | None = None
 ) -> DictionaryModel:
-    """Learn topics and weights from ``(doc_id, word_id, p)`` and ``(i, j, cost)``."""
+    """Learn topics and weights from ``(doc_id, word_id, p)`` and the ground cost.
+
+    The cost is ``(i, j, cost)``, which every task holds whole, or the words' vectors ``(word_id, vec)``
+    with ``spec.metric`` between them: then no table of word pairs is made and the vocabulary may have any
+    size whose vectors and topics fit a task.
+
+    With a ``folder`` of the user's, on a store that all executors reach, a training that was broken off
+    goes on after its last finished step when it is called again with the same arguments.
+    """
     spark = distributions.sparkSession
-    folder = working_folder(spark, "dictionary")
-    dense = DenseCost.collect(cost, spec.max_words)
-    no_moments = F.array_repeat(F.lit(0.0), spec.num_topics)
-    docs = pack(distributions, "doc_id", "word_id").select(
-        "doc_id", "idx", "p", initial_logits(spec).alias("logits"),
-        no_moments.alias("m"), no_moments.alias("v"),
-    )
-    # sorted by document, so a batch is a few neighbouring files
-    optim.assign_batches(docs, spec.batch_size).drop("pos").write.partitionBy("batch").parquet(
-        f"{folder}/start"
-    )
-    start = spark.read.parquet(f"{folder}/start")
+    training = _Training(spark, folder or working_folder(spark, "dictionary"), collect_ground(cost, spec.metric, spec.reg), spec)
+    start = training.saved("start")
+    if start is None:
+        no_moments = F.array_repeat(F.lit(0.0), spec.num_topics)
+        docs = pack(distributions, "doc_id", "word_id").select(
+            "doc_id", "idx", "p", initial_logits(spec).alias("logits"),
+            no_moments.alias("m"), no_moments.alias("v"),
+        )
+        # sorted by document and so by batch: a batch is a range of few files, whatever their number
+        batched = optim.assign_batches(docs, spec.batch_size).drop("pos")
+        start = training.keep(batched.repartitionByRange(tasks(docs), "batch", "doc_id").sortWithinPartitions("batch", "doc_id"), "start")
+    training.columns = start.drop("batch").columns
     batches = (start.agg(F.max("batch")).first()[0] or 0) + 1
-    training = _Training(spark, folder, dense, spec, docs.columns)
-    training.topics = initial_topics(cost, spec).toArrow()
-    for epoch in range(spec.epochs):
-        for batch in range(batches):
-            source = (
-                start.where(F.col("batch") == batch).select(*docs.columns)
-                if epoch == 0
-                else training.documents(epoch - 1, batch)
-            )
-            loss = training.step(source, epoch, batch)
-            if verbose:
-                print(f"epoch {epoch + 1}/{spec.epochs} batch {batch + 1}/{batches} loss {loss:.6g}")
-    return training.model(spec.epochs - 1, batches)
+    training.begin(initial_topics(cost, spec), spec.epochs * batches)
+    done, rest = divmod(training.steps, batches)
+    if done and not rest and training.saved(f"epoch-{done - 1}") is None:
+        training.close(done - 1, batches)  # broken off between the last step of an epoch and its end
+    for step in range(training.steps, spec.epochs * batches):
+        epoch, batch = divmod(step, batches)
+        loss = training.step(training.documents(start, epoch, batch), epoch, batch)
+        if verbose:
+            print(f"epoch {epoch + 1}/{spec.epochs} batch {batch + 1}/{batches} loss {loss:.6g}")
+        if batch + 1 == batches:
+            training.close(epoch, batches)
+    return training.model(spec.epochs - 1)
 
 
 class _Training:
-    def __init__(self, spark, folder, dense, spec, columns):
+    """The state of a training: one folder of documents per finished epoch, and per step the topics.
+
+    Steps of the running epoch write folders of their own; a finished epoch is written as a whole, in as
+    few files as its start, and is what the next one reads.
+    """
+
+    def __init__(self, spark, folder, dense, spec):
         self.spark, self.folder, self.dense, self.spec = spark, folder, dense, spec
-        self.columns = columns
-        self.topics = self.schema = None
+        self.columns = self.topics = None
         self.steps = 0
         self.losses = []
         self.offset = self._no_offset()
 
     def keep(self, table: DataFrame, name: str) -> DataFrame:
-        table.write.parquet(f"{self.folder}/{name}")
+        table.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(table.schema).parquet(f"{self.folder}/{name}")
 
-    def documents(self, epoch: int, batch: int) -> DataFrame:
-        rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/step-{epoch}-{batch}")
-        return rows.where("topic is null").select(*self.columns)
+    def saved(self, name: str) -> DataFrame | None:
+        """A table that was written to its end, or None."""
+        try:
+            self.spark.read.text(f"{self.folder}/{name}/_SUCCESS")
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return None
+
+    def begin(self, topics: DataFrame, steps: int) -> None:
+        """Start with ``topics``, or with what the last finished step left."""
+        low, high = 0, steps  # steps finish in order: the last one by bisection
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.saved(f"topics-{mid}") is not None else (low, mid - 1)
+        if not low:
+            self.topics = topics.toArrow()
+            return
+        history = [self.spark.read.parquet(f"{self.folder}/history-{k}").first() for k in range(1, low + 1)]
+        self.steps, self.losses = low, [tuple(row) for row in history]
+        self.topics = self.saved(f"topics-{low}").toArrow()
+        if self.spec.weight_grad == "shared":
+            self.offset = self.saved(f"offset-{low}")
+
+    def documents(self, start: DataFrame, epoch: int, batch: int) -> DataFrame:
+        rows = start if epoch == 0 else self.saved(f"epoch-{epoch - 1}")
+        return rows.where(F.col("batch") == batch).select(*self.columns)
+
+    def close(self, epoch: int, batches: int) -> None:
+        """Write the documents of all batches of an epoch as one table."""
+        paths = [f"{self.folder}/step-{epoch}-{batch}" for batch in range(batches)]
+        rows = self.spark.read.parquet(*paths).where("topic is null").select(*self.columns, "batch")
+        count = tasks(rows)
+        self.keep(rows.repartitionByRange(count, "batch", "doc_id").sortWithinPartitions("batch", "doc_id"), f"epoch-{epoch}")
 
     def step(self, docs: DataFrame, epoch: int, batch: int) -> float:
         spec = self.spec
@@ -132,30 +179,31 @@ class _Training:
         logits = topic_matrix(self.topics, self.dense, "value")
         if spec.weight_grad == "shared":
             docs = docs.withColumn("own", F.col("logits")).withColumn("logits", self._shifted("logits"))
-        rows = gradient_rows(docs.repartition(tasks(docs)), self.dense, logits, spec)
+        rows = gradient_rows(docs.repartition(tasks(docs), "doc_id"), self.dense, logits, spec)
         if spec.weight_grad == "shared":
             rows = rows.withColumn("logits", F.col("own")).drop("own")
         else:
             rows = self._moved(rows, epoch + 1)
-        rows = self.keep(rows, f"step-{epoch}-{batch}")
-        self.schema = rows.schema
+        rows = self.keep(rows.withColumn("batch", F.lit(batch)), f"step-{epoch}-{batch}")
         grads = topic_gradient(rows)
         state = self.spark.createDataFrame(self.topics)
+        told = ["loss", sc.CONVERGED, sc.MAX_ITER, sc.NONFINITE]
         moved = self._update(state, grads, ["topic", "word_id"]).join(
-            grads.select("topic", "word_id", "loss"), ["topic", "word_id"]
+            grads.select("topic", "word_id", *told), ["topic", "word_id"]
         )
         fetched = moved.toArrow()
-        loss = fetched.column("loss")[0].as_py()
-        states = dict(rows.where("topic is null").groupBy("status").count().collect())
+        loss, *counts = (fetched.column(name)[0].as_py() for name in told)
         if loss is None:
             raise RuntimeError(
-                f"no document of batch {batch} has a finite loss: the kernel underflows; raise reg or scale the cost"
+                f"no document of batch {batch} has a finite loss: the kernel underflows; raise reg, scale the cost or train in the log domain"
             )
-        self.topics = fetched.drop_columns(["loss"])
+        self.topics = fetched.drop_columns(told)
         if spec.weight_grad == "shared":
             self._move_offset(rows)
-        counts = (states.get(s, 0) for s in (sc.CONVERGED, sc.MAX_ITER, sc.NONFINITE))
         self.losses.append((self.steps, epoch, batch, loss, *counts))
+        self.keep(self.spark.createDataFrame(self.losses[-1:], HISTORY).coalesce(1), f"history-{self.steps}")
+        # written last: with it the step is finished
+        self.keep(self.spark.createDataFrame(self.topics).coalesce(1), f"topics-{self.steps}")
         return loss
 
     def _update(self, state: DataFrame, grads: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,9 +262,8 @@ class _Training:
             self._update(self.offset, grads, ["topic"]), f"offset-{self.steps}"
         )
 
-    def model(self, epoch: int, batches: int) -> DictionaryModel:
-        paths = [f"{self.folder}/step-{epoch}-{batch}" for batch in range(batches)]
-        final = self.spark.read.schema(self.schema).parquet(*paths).where("topic is null")
+    def model(self, epoch: int) -> DictionaryModel:
+        final = self.saved(f"epoch-{epoch}")
         logits = self._shifted("logits") if self.spec.weight_grad == "shared" else F.col("logits")
         topics = self.spark.createDataFrame(self.topics).select(
             F.col("word_id").alias("i"), F.col("topic").alias("j"), "value"
@@ -240,7 +287,7 @@ def softmax_array(logits):
     return F.transform(lifted, lambda x: x / total)
 
 
-def topic_array(topics: DataFrame, dense: DenseCost) -> np.ndarray:
+def topic_array(topics: DataFrame, dense) -> np.ndarray:
     """Topics as a words x topics array of probabilities."""
     return collect_topics(topics.withColumnRenamed("p", "logit"), dense)
 
@@ -256,17 +303,23 @@ def reconstruct(model: DictionaryModel, cost: DataFrame) -> DataFrame:
 def reconstruction(model: DictionaryModel, cost: DataFrame) -> Solution:
     """The reconstructed documents and ``(doc_id, status, iterations, error)`` for every one."""
     spec = model.spec
-    dense = DenseCost.collect(cost, spec.max_words)
-    shared = dense.share(cost)
+    dense = collect_ground(cost, spec.metric, spec.reg)
+    shared, kind = dense.share(cost), type(dense)
     topics = model.weights.sparkSession.sparkContext.broadcast(topic_array(model.topics, dense))
     width = _width(len(dense.ids), 1, 8 * spec.num_topics)
 
     def solve(batches):
-        ground, A = DenseCost(*shared.value), topics.value[:, None, :]
-        K = ground.kernel(spec.reg)
+        ground, A = kind(*shared.value), topics.value[:, None, :]
+        K = training_kernel(ground, spec)
         for rows in chunks(batches, width):
             W = np.stack(rows["weights"].to_list())
-            fitted, status, rounds, error = sc.barycenters(K, A, W, spec.max_iter, spec.tol, spec.debias)
+            if K is None:
+                with np.errstate(divide="ignore"):
+                    smooth, log_a = sc.LogSmoothing(ground.matrix, spec.reg), np.log(topics.value)
+                fitted, status, rounds, error = sc.log_barycenters(smooth, log_a, W, spec.max_iter, spec.tol, spec.debias)
+                fitted = np.exp(fitted)
+            else:
+                fitted, status, rounds, error = sc.barycenters(K, A, W, spec.max_iter, spec.tol, spec.debias)
             none = np.empty(0)
             yield pd.DataFrame(
                 {"doc_id": rows["doc_id"].to_numpy(),
@@ -287,41 +340,55 @@ def reconstruction(model: DictionaryModel, cost: DataFrame) -> Solution:
 
 
 def predict(
-    model: DictionaryModel, distributions: DataFrame, cost: DataFrame, steps: int = 50, lr: float = 0.1
+    model: DictionaryModel, distributions: DataFrame, cost: DataFrame, steps: int = 50, lr: float = 0.1, tol: float = 1e-4
 ) -> DataFrame:
-    """``(doc_id, weights)`` of new documents, fitted with the topics held fixed.
+    """``(doc_id, weights, status, iterations)`` of new documents, fitted with the topics held fixed.
 
-    Documents do not depend on each other, so each task fits its own in one pass.
+    Documents do not depend on each other, so each task fits its own in one pass. A document stops
+    when a step moves none of its weights by ``tol`` (``converged``), after ``steps`` steps
+    (``max_iter``), or as soon as its solver is not finite (``nonfinite``, with the weights so far).
     """
     spec = model.spec
-    dense = DenseCost.collect(cost, spec.max_words)
-    shared = dense.share(cost)
+    dense = collect_ground(cost, spec.metric, spec.reg)
+    shared, kind = dense.share(cost), type(dense)
     with np.errstate(divide="ignore"):
         frozen = np.log(topic_array(model.topics, dense))
     topics = cost.sparkSession.sparkContext.broadcast(frozen)
-    width = _width(len(dense.ids), spec.max_iter, 3 * spec.num_topics)
+    width, whole = _stacking(len(dense.ids), spec.max_iter, spec.num_topics + 1)
     docs = pack(distributions, "doc_id", "word_id").withColumn("logits", initial_logits(spec))
 
     def solve(batches):
-        ground = DenseCost(*shared.value)
-        K = ground.kernel(spec.reg)
+        ground = kind(*shared.value)
+        K = training_kernel(ground, spec)
         for rows in chunks(batches, width):
-            Y = np.stack([ground.column(i, p) for i, p in zip(rows["idx"], rows["p"])], axis=1)
+            targets = document_targets(ground, rows)
             logits = np.stack(rows["logits"].to_list())
             m, v = np.zeros_like(logits), np.zeros_like(logits)
+            status = np.full(len(rows), sc.MAX_ITER, dtype=object)
+            taken, live = np.zeros(len(rows), int), np.arange(len(rows))
             for t in range(1, steps + 1):
-                _, grad, *_ = document_gradients(ground, K, topics.value, logits, Y, spec)
-                m = spec.beta1 * m + (1 - spec.beta1) * grad
-                v = spec.beta2 * v + (1 - spec.beta2) * grad**2
-                ahead, spread = m / (1 - spec.beta1**t), v / (1 - spec.beta2**t)
-                logits = logits - lr * ahead / (np.sqrt(spread) + spec.eps)
+                here = [targets[k] for k in live]
+                _, grad, _, state = document_gradients(ground, K, topics.value, logits[live], here, spec, whole)
+                broken = state == sc.NONFINITE
+                status[live[broken]] = sc.NONFINITE
+                live, grad = live[~broken], grad[~broken]
+                m[live] = spec.beta1 * m[live] + (1 - spec.beta1) * grad
+                v[live] = spec.beta2 * v[live] + (1 - spec.beta2) * grad**2
+                ahead, spread = m[live] / (1 - spec.beta1**t), v[live] / (1 - spec.beta2**t)
+                moved = logits[live] - lr * ahead / (np.sqrt(spread) + spec.eps)
+                step = np.abs(softmax(moved, 1) - softmax(logits[live], 1)).max(axis=1, initial=0.0)
+                logits[live], taken[live] = moved, t
+                status[live[step < tol]] = sc.CONVERGED
+                live = live[step >= tol]
+                if not live.size:
+                    break
             yield pd.DataFrame(
-                {"doc_id": rows["doc_id"].to_numpy(), "weights": list(softmax(logits, 1))}
+                {"doc_id": rows["doc_id"].to_numpy(), "weights": list(softmax(logits, 1)), "status": status, "iterations": taken}
             )
 
     key = distributions.schema["doc_id"].dataType.simpleString()
     return docs.repartition(tasks(docs), "doc_id").mapInPandas(
-        solve, f"doc_id {key}, weights array<double>"
+        solve, f"doc_id {key}, weights array<double>, status string, iterations int"
     )
 
 

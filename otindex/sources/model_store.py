@@ -28,5 +28,6 @@ def save_model(
 
 def load_model(spark: SparkSession, path: str) -> DictionaryModel:
     params = json.loads(spark.read.text(f"{path}/params").first()[0])
+    params.pop("max_words", None)  # of models saved when the vocabulary had a limit
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
     return DictionaryModel(**tables, spec=DictionarySpec(**params))

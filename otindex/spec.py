@@ -13,9 +13,9 @@ class DictionarySpec:
 
     ``batch_size`` documents make one optimizer step, which is one Spark job: raise it with the
     corpus. ``weight_grad='shared'`` moves the weights of all documents by the batch mean,
-    ``'per_doc'`` moves each document by its own gradient. ``max_words`` bounds the vocabulary,
-    because every task holds the cost between all words: raise it along with the memory of the
-    Python workers (a cost of 4,096 words takes 128 MB).
+    ``'per_doc'`` moves each document by its own gradient. ``metric`` is the distance between words
+    where the ground cost is given by their vectors. ``domain='auto'`` trains in the log domain where the
+    largest cost exceeds 500 times ``reg``.
     """
 
     num_topics: int = 4
@@ -34,13 +34,16 @@ class DictionarySpec:
     decay: float = 0.01
     weight_grad: str = "per_doc"
     seed: int = 0
-    max_words: int = 4096
+    metric: str = "sqeuclidean"
+    domain: str = "auto"
 
     def __post_init__(self):
         allowed = {
             "loss": ("squared", "linear", "regularized"),
             "optimizer": ("sgd", "adam", "adamw"),
             "weight_grad": ("per_doc", "shared"),
+            "metric": ("sqeuclidean", "euclidean"),
+            "domain": ("auto", "exp", "log"),
         }
         for name, values in allowed.items():
             if getattr(self, name) not in values:

@@ -135,6 +135,100 @@ def test_fit_is_reproducible(model, tables):
     assert one == pytest.approx(two, abs=1e-10)
 
 
+def test_a_training_that_was_broken_off_goes_on(spark, model, tables, tmp_path, monkeypatch):
+    """Killed in the middle of a step, and again after the last step of an epoch: the same topics."""
+    folder = str(tmp_path / "training")
+    whole = dl._Training.step
+
+    def killed(self, docs, epoch, batch):
+        if self.steps == 2 and (epoch, batch) == (1, 0):
+            dl.gradient_rows(docs, self.dense, dl.topic_matrix(self.topics, self.dense, "value"), self.spec).count()
+            raise KeyboardInterrupt
+        return whole(self, docs, epoch, batch)
+
+    monkeypatch.setattr(dl._Training, "step", killed)
+    with pytest.raises(KeyboardInterrupt):
+        dl.fit(*tables, SPEC, folder=folder)
+    steps = []
+
+    def counted(self, docs, epoch, batch):
+        steps.append((epoch, batch))
+        return whole(self, docs, epoch, batch)
+
+    monkeypatch.setattr(dl._Training, "step", counted)
+    monkeypatch.setattr(dl._Training, "close", lambda self, *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        dl.fit(*tables, SPEC, folder=folder)
+    monkeypatch.undo()
+    monkeypatch.setattr(dl._Training, "step", counted)
+    again = dl.fit(*tables, SPEC, folder=folder)
+    assert steps == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    one, two = ({(r.topic, r.word_id): r.p for r in m.topics.collect()} for m in (model, again))
+    assert one == pytest.approx(two, abs=1e-10)
+    told, expected = ([x for r in m.history.orderBy("step").collect() for x in r] for m in (again, model))
+    assert told == pytest.approx(expected, abs=1e-9)
+    weights = [{r.doc_id: r.weights for r in m.weights.collect()} for m in (model, again)]
+    assert all(weights[0][d] == pytest.approx(weights[1][d], abs=1e-10) for d in weights[0])
+
+
+@pytest.mark.parametrize("loss", ["squared", "linear", "regularized"])
+@pytest.mark.parametrize("debias", [False, True])
+def test_log_gradients_equal_those_of_the_kernel(spark, tables, loss, debias):
+    docs, cost = tables
+    rng = np.random.default_rng(3)
+    topics = spark.createDataFrame(
+        [(k, w, float(rng.normal())) for k in range(2) for w in range(3)], "topic int, word_id int, logit double"
+    )
+    weights = spark.createDataFrame(
+        [(d, [float(x) for x in rng.normal(size=2)]) for d in range(3)], "doc_id bigint, logits array<double>"
+    )
+    found = []
+    for domain in ("exp", "log"):
+        spec = DictionarySpec(num_topics=2, loss=loss, debias=debias, max_iter=23, tol=0.0, reg=0.3, domain=domain)
+        by_topic, by_doc = batch_gradient(docs, topics, weights, cost, spec)
+        found.append(({(r.topic, r.word_id): r.grad for r in by_topic.collect()}, {r.doc_id: r for r in by_doc.collect()}))
+    assert found[0][0] == pytest.approx(found[1][0], abs=1e-10)
+    for d, r in found[0][1].items():
+        other = found[1][1][d]
+        assert r.loss == pytest.approx(other.loss, abs=1e-10) and r.grad == pytest.approx(other.grad, abs=1e-10)
+        assert r.status == other.status
+
+
+def test_log_gradient_on_a_steep_cost_by_finite_differences(spark, make):
+    """At reg 0.001 the kernel underflows: only the log domain has a gradient."""
+    cost = make.cost([[0.1, 0.8, 1.4], [0.6, 0.3, 0.9], [1.2, 0.7, 0.2]])
+    docs = make.histograms([[0.4, 0.3, 0.3], [0.1, 0.8, 0.1]], "doc_id", "word_id")
+    spec = DictionarySpec(num_topics=2, reg=0.001, max_iter=30, tol=0.0)
+    rng, h = np.random.default_rng(4), 1e-6
+    alpha, logits = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+
+    def run(alpha, logits):
+        topics = [(k, w, float(alpha[w, k])) for k in range(2) for w in range(3)]
+        weights = [(d, [float(x) for x in logits[d]]) for d in range(2)]
+        return batch_gradient(
+            docs, spark.createDataFrame(topics, "topic int, word_id int, logit double"),
+            spark.createDataFrame(weights, "doc_id bigint, logits array<double>"), cost, spec,
+        )
+
+    def losses(alpha, logits):
+        return {r.doc_id: r.loss for r in run(alpha, logits)[1].collect()}
+
+    by_topic, by_doc = run(alpha, logits)
+    assert {r.status for r in by_doc.collect()} == {"max_iter"}
+    topic, doc = {(r.topic, r.word_id): r.grad for r in by_topic.collect()}, {r.doc_id: r.grad for r in by_doc.collect()}
+    step = np.zeros_like(alpha)
+    step[1, 0] = h
+    up, down = losses(alpha + step, logits), losses(alpha - step, logits)
+    assert topic[0, 1] == pytest.approx(np.mean([(up[d] - down[d]) / (2 * h) for d in range(2)]), abs=1e-5)
+    step = np.zeros_like(logits)
+    step[:, 1] = h
+    up, down = losses(alpha, logits + step), losses(alpha, logits - step)
+    for d in range(2):
+        assert doc[d][1] == pytest.approx((up[d] - down[d]) / (2 * h), abs=1e-5)
+    trained = dl.fit(docs, cost, DictionarySpec(num_topics=2, batch_size=2, epochs=2, reg=0.001, max_iter=30))
+    assert {r.nonfinite for r in trained.history.collect()} == {0}
+
+
 @pytest.mark.parametrize("fmt", ["tsv", "csv", "parquet"])
 def test_corpus_round_trip(spark, tmp_path, fmt):
     texts = ['tab\there "quoted", so', "two\nlines", " blanks ", "", None, "\\N?", "a\\", '"', "#x", "é\r\nz"]
@@ -186,7 +280,7 @@ def test_training_says_what_is_not_finite(spark, make):
         [(0, 0, 0.0), (0, 1, 0.0), (0, 2, -800.0)], "topic int, word_id int, logit double"
     )
     weights = spark.createDataFrame([(0, [0.0]), (1, [0.0])], "doc_id bigint, logits array<double>")
-    spec = DictionarySpec(num_topics=1, reg=0.5, max_iter=50, debias=False)
+    spec = DictionarySpec(num_topics=1, reg=0.5, max_iter=50, debias=False, domain="exp")
     by_topic, by_doc = batch_gradient(docs, topics, weights, cost, spec)
     rows = {r.doc_id: r for r in by_doc.collect()}
     assert {r.status for r in rows.values()} == {"nonfinite"}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from otindex.operators.gradients import batch_gradient
-from otindex.operators.text import build_vocabulary
 from otindex.plans import dictionary as dl
 from otindex.plans import index as ix
 from otindex.session import working_folder
 from otindex.sources.model_store import load_model, save_model
-from otindex.spec import DictionarySpec, EmbeddingSpec, IndexSpec
+from otindex.spec import DictionarySpec, IndexSpec
 from workloads.tables import EPS, KERNEL, PROFILES, corpus, profiles, quantity_cost, rounded, table
 
 #: One round and a squared loss: short enough to write out in SQL.
@@ -19,6 +20,10 @@ ONE_ROUND = DictionarySpec(num_topics=5, reg=EPS, max_iter=1, tol=0.0, debias=Fa
 SMALL = DictionarySpec(num_topics=3, batch_size=64, epochs=2, max_iter=40, lr=0.05)
 
 
+#: The end-to-end model: all words, and one pass over the documents.
+INDEX = IndexSpec(dictionary=DictionarySpec(batch_size=500, epochs=1, max_iter=20, reg=0.5, lr=0.05))
+
+
 def _shares(spark, sf_dir):
     return profiles(spark, sf_dir).select(
         F.col("id").alias("doc_id"), F.col("idx").alias("word_id"), "p"
@@ -35,7 +40,7 @@ def squared_loss(spark, sf_dir):
     return rounded(dl.reconstruction_loss(predicted, _shares(spark, sf_dir)), "loss", digits=9)
 
 
-def _gradient(spark, sf_dir):
+def _gradient(spark, sf_dir, domain="auto"):
     topics = profiles(spark, sf_dir, "n_regionkey").select(
         F.col("id").alias("topic"), F.col("idx").alias("word_id"), F.ln("p").alias("logit")
     )
@@ -43,7 +48,7 @@ def _gradient(spark, sf_dir):
     logits = F.array(*(0.3 * F.pmod(F.col("doc_id") + k, F.lit(5)) for k in range(5)))
     weights = docs.withColumn("logits", logits)
     return batch_gradient(
-        _shares(spark, sf_dir), topics, weights, quantity_cost(spark, sf_dir), ONE_ROUND
+        _shares(spark, sf_dir), topics, weights, quantity_cost(spark, sf_dir), replace(ONE_ROUND, domain=domain)
     )
 
 
@@ -90,8 +95,21 @@ def batch_gradient_topics(spark, sf_dir):
     return rounded(_gradient(spark, sf_dir)[0], "grad", digits=9)
 
 
+def batch_gradient_topics_log(spark, sf_dir):
+    """The same by the reverse of the log updates."""
+    return rounded(_gradient(spark, sf_dir, "log")[0], "grad", digits=9)
+
+
 def batch_gradient_weights(spark, sf_dir):
-    by_doc = _gradient(spark, sf_dir)[1]
+    return _by_weight(spark, sf_dir, "auto")
+
+
+def batch_gradient_weights_log(spark, sf_dir):
+    return _by_weight(spark, sf_dir, "log")
+
+
+def _by_weight(spark, sf_dir, domain):
+    by_doc = _gradient(spark, sf_dir, domain)[1]
     rows = by_doc.select("doc_id", "loss", F.posexplode("grad").alias("topic", "grad"))
     return rounded(rows, "loss", "grad", digits=9)
 
@@ -135,24 +153,16 @@ def scores_docs(spark, sf_dir):
 
 
 def wasserstein_index(spark, sf_dir):
-    """The whole model on all documents; the n-th most frequent word takes the n-th vector."""
-    dated = corpus(spark, sf_dir)
-    spec = IndexSpec(
-        dictionary=DictionarySpec(batch_size=500, epochs=1, max_iter=15, reg=0.3, lr=0.05),
-        embedding=EmbeddingSpec(min_count=5),
-    )
-    ranked = build_vocabulary(ix.prepare(dated, spec), spec.embedding.min_count)
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("int").alias("word_id"), F.col("embedding").cast("array<double>").alias("vec")
-    )
-    pretrained = ranked.join(vectors, "word_id").select("word", "vec")
-    return ix.wasserstein_index(dated, spec, pretrained)
+    """The whole model on all documents and all words seen five times, with vectors trained on them."""
+    return ix.wasserstein_index(corpus(spark, sf_dir), INDEX)
 
 
 QUERIES = {
     "squared_loss": squared_loss,
     "batch_gradient_topics": batch_gradient_topics,
     "batch_gradient_weights": batch_gradient_weights,
+    "batch_gradient_topics_log": batch_gradient_topics_log,
+    "batch_gradient_weights_log": batch_gradient_weights_log,
     "wdl_fit": wdl_fit,
     "wdl_fit_shared": wdl_fit_shared,
     "reconstruct": reconstruct,
@@ -254,3 +264,6 @@ abar AS (
 SELECT topic, i AS word_id, round(a * (abar - sum(a * abar) OVER (PARTITION BY topic)), 9) + 0.0 AS grad
 FROM abar JOIN topic USING (topic, i)""",
 }
+
+for _name in ("batch_gradient_topics", "batch_gradient_weights"):
+    ORACLES[f"{_name}_log"] = ORACLES[_name]

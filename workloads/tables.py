@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from otindex.functions.stopwords import ENGLISH
 from otindex.operators.distance import pairwise_distance
 from otindex.operators.text import distribution, tokenize
-from otindex.session import materialize, spread
+from otindex.session import broadcast_if_small, materialize, spread, with_positions
 from otindex.sources.corpus import attach_dates
 
 EPS = 0.1
@@ -88,6 +88,23 @@ def nation_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return atoms, weights
 
 
+def word_vectors(vocabulary: DataFrame, given: DataFrame) -> DataFrame:
+    """``(word_id, vec)``: a vector of its own for every word, from the given ones.
+
+    With V given vectors word n has vector n modulo V, plus half of a vector behind it: the next one for
+    the first V words, the one after that for the next V, and so on.
+    """
+    numbered = with_positions(given.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vec_id")
+    numbered = materialize(numbered.select("pos", "x"))
+    size = max(1, numbered.count())
+    first, second = (numbered.select(F.col("pos").alias(p), F.col("x").alias(x)) for p, x in (("_p", "_x"), ("_q", "_y")))
+    placed = vocabulary.select(
+        "word_id", F.pmod("word_id", F.lit(size)).alias("_p"), F.pmod(F.expr(f"word_id + word_id div {size} + 1"), F.lit(size)).alias("_q")
+    )
+    joined = placed.join(broadcast_if_small(first), "_p").join(broadcast_if_small(second), "_q")
+    return joined.select("word_id", F.zip_with("_x", "_y", lambda x, y: x + 0.5 * y).alias("vec"))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Round to a fixed number of digits; adding zero turns -0.0 into 0.0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})

@@ -8,7 +8,7 @@ from otindex.operators import text as tx
 from otindex.operators.embeddings import train_embeddings
 from otindex.operators.index import index_by_period, standardize, topic_top_words
 from otindex.operators.optim import assign_batches
-from otindex.session import working_folder
+from otindex.session import broadcast_if_small, materialize, working_folder
 from otindex.sources.corpus import read_corpus, write_corpus
 from workloads.tables import (
     STOP,
@@ -22,7 +22,6 @@ from workloads.tables import (
 
 MIN_COUNT = 5
 BLOCK_WORDS = 1000
-TOP_WORDS = 50
 
 
 def corpus_rows(spark, sf_dir):
@@ -107,19 +106,20 @@ def top_words(spark, sf_dir):
     return rounded(topic_top_words(shares, words, 10), "p")
 
 
-def _frequent_share(spark, sf_dir):
-    """Share of the most frequent words in each dated document."""
+def _commonness(spark, sf_dir):
+    """How common the words of each dated document are: the mean logarithm of their frequency."""
     dated = corpus(spark, sf_dir)
     tok = tx.tokenize(dated)
     words = tx.build_vocabulary(tok, MIN_COUNT)
-    shares = tx.doc_distributions(tok, words).where(F.col("word_id") < TOP_WORDS)
-    scores = shares.groupBy("doc_id").agg(F.sum("p").alias("score"))
+    frequencies = broadcast_if_small(materialize(words.select("word_id", "freq")))
+    shares = tx.doc_distributions(tok, words).join(frequencies, "word_id")
+    scores = shares.groupBy("doc_id").agg(F.sum(F.col("p") * F.ln("freq")).alias("score"))
     return dated.select("doc_id", "ts").join(scores, "doc_id")
 
 
 def flagship_index(spark, sf_dir):
-    """Monthly standardized index of the share of frequent words."""
-    series = standardize(index_by_period(_frequent_share(spark, sf_dir), "month"))
+    """Monthly standardized index of how common words are, over the whole vocabulary."""
+    series = standardize(index_by_period(_commonness(spark, sf_dir), "month"))
     return rounded(series, "index")
 
 
@@ -242,7 +242,7 @@ SELECT period_start, round((x - avg(x) OVER ()) / stddev_samp(x) OVER () + 100,
     "flagship_index": f"""
 WITH {WORDS}, {vocabulary_sql(MIN_COUNT)},
 scored AS (
-  SELECT w.doc_id, count(*) FILTER (WHERE word_id < {TOP_WORDS}) / count(*) AS score
+  SELECT w.doc_id, sum(ln(freq)) / count(*) AS score
   FROM words w LEFT JOIN vocabulary v ON w.token = v.word GROUP BY 1
 ),
 series AS (

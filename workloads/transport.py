@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from otindex.operators import embeddings as emb
 from otindex.operators import gradients as gr
 from otindex.operators import text as tx
 from otindex.operators.barycenter import barycenter
-from otindex.operators.distance import pairwise_distance
 from otindex.operators.transport import (
     pair_problems,
     sinkhorn,
@@ -22,7 +20,6 @@ from workloads.tables import (
     EPS,
     KERNEL,
     PROFILES,
-    WORDS,
     nation_members,
     profiles,
     quantity_cost,
@@ -30,13 +27,13 @@ from workloads.tables import (
     supplier_pairs,
     table,
     tokenized,
-    vocabulary_sql,
+    word_vectors,
 )
 
 EXACT = dict(max_iter=400, tol=1e-13)
 
-#: Smoothing for costs between unit word vectors, and the least frequency of their words.
-WORD_EPS, FREQUENT = 0.5, 500
+#: Smoothing for costs between word vectors, and the least frequency of their words.
+WORD_EPS, MIN_COUNT = 0.5, 5
 
 
 def _problems(spark, sf_dir):
@@ -71,6 +68,13 @@ def sinkhorn_log_2(spark, sf_dir):
     return rounded(_rounds(spark, sf_dir, 2, "log")[0], "potential")
 
 
+def sinkhorn_log_batched(spark, sf_dir):
+    """Two rounds in the log domain, all problems of a task in one padded stack."""
+    a, b = _problems(spark, sf_dir)
+    solution = sinkhorn(a, b, quantity_cost(spark, sf_dir), EPS, 2, 0.0, "log", "batched")
+    return rounded(solution.values, "potential")
+
+
 def _plan_3(spark, sf_dir):
     potentials, cost = _rounds(spark, sf_dir, 3, "exp")
     return transport_plan(potentials, cost, EPS)
@@ -100,7 +104,7 @@ def regularized_converged(spark, sf_dir):
 
 def sinkhorn_status(spark, sf_dir):
     a, b = _problems(spark, sf_dir)
-    return sinkhorn(a, b, quantity_cost(spark, sf_dir), EPS).status
+    return rounded(sinkhorn(a, b, quantity_cost(spark, sf_dir), EPS).status, "error", digits=10)
 
 
 def sinkhorn_gradient(spark, sf_dir):
@@ -122,6 +126,13 @@ def sinkhorn_gradient_2(spark, sf_dir):
     return rounded(gr.sinkhorn_gradient(a, b, cost, EPS, "linear", 2, 0.0), "grad")
 
 
+def sinkhorn_gradient_log_2(spark, sf_dir):
+    """The same by the reverse of the log updates."""
+    a, b = _problems(spark, sf_dir)
+    cost = quantity_cost(spark, sf_dir)
+    return rounded(gr.sinkhorn_gradient(a, b, cost, EPS, "linear", 2, 0.0, "log"), "grad")
+
+
 def sinkhorn_jacobian_1(spark, sf_dir):
     """The derivatives through one round."""
     a, b = _problems(spark, sf_dir)
@@ -146,6 +157,18 @@ def _barycenter(rounds, domain, debias):
     return query
 
 
+def _stacked_barycenter(rounds, debias):
+    """Some rounds in the log domain, all groups of a task in one stack."""
+
+    def query(spark, sf_dir):
+        atoms, weights = nation_members(spark, sf_dir)
+        cost = quantity_cost(spark, sf_dir)
+        solution = barycenter(atoms, weights, cost, EPS, debias, max_iter=rounds, tol=0.0, domain="log", strategy="auto")
+        return rounded(solution.values, "p", digits=8)
+
+    return query
+
+
 def barycenter_converged(spark, sf_dir):
     atoms, weights = nation_members(spark, sf_dir)
     solution = barycenter(atoms, weights, quantity_cost(spark, sf_dir), EPS, **EXACT)
@@ -159,7 +182,7 @@ def barycenter_debiased(spark, sf_dir):
 
 def barycenter_status(spark, sf_dir):
     atoms, weights = nation_members(spark, sf_dir)
-    return barycenter(atoms, weights, quantity_cost(spark, sf_dir), EPS).status
+    return rounded(barycenter(atoms, weights, quantity_cost(spark, sf_dir), EPS).status, "error", digits=10)
 
 
 def _jacobian(wrt):
@@ -172,28 +195,24 @@ def _jacobian(wrt):
 
 
 def document_transport(spark, sf_dir):
-    """Each document against all documents of its source, over frequent words with a vector.
+    """Each document against all documents of its source, over all words seen ``MIN_COUNT`` times.
 
-    A document without such a word has no cost and says that it is empty.
+    A document without such a word says that it is empty.
     """
     documents = table(spark, sf_dir, "documents")
     tok = tokenized(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("int").alias("word_id"), F.col("embedding").alias("vec")
-    )
-    ranked = tx.build_vocabulary(tok, FREQUENT).join(vectors, "word_id")
-    words = materialize(emb.attach_vectors(ranked.drop("vec"), ranked.select("word", "vec")))
-    cost = materialize(pairwise_distance(words))
-    counts = tx.lookup_words(tx.word_counts(tok), words).where("word_id is not null")
+    vocabulary = materialize(tx.build_vocabulary(tok, MIN_COUNT))
+    vectors = materialize(word_vectors(vocabulary, table(spark, sf_dir, "embeddings")))
+    counts = tx.lookup_words(tx.word_counts(tok), vocabulary).where("word_id is not null")
     counts = materialize(counts.join(documents.select("doc_id", "source"), "doc_id"))
     by_doc = tx.distribution(counts, "doc_id", "word_id", "count").withColumnRenamed("doc_id", "id")
     by_source = tx.distribution(counts, "source", "word_id", "count").withColumnRenamed("source", "id")
     pairs = documents.select(
         F.col("doc_id").alias("problem_id"), F.col("doc_id").alias("a_id"), F.col("source").alias("b_id")
     )
-    solution = sinkhorn_pairs(pairs, by_doc, by_source, cost, WORD_EPS, **EXACT)
+    solution = sinkhorn_pairs(pairs, by_doc, by_source, vectors, WORD_EPS)
     costs = solution.status.select("problem_id", "status").join(
-        solved_cost(solution, cost, WORD_EPS), "problem_id", "left"
+        solved_cost(solution, vectors, WORD_EPS), "problem_id", "left"
     )
     return rounded(costs.select("problem_id", (F.col("status") == "empty").alias("empty"), "cost"), "cost")
 
@@ -211,6 +230,9 @@ def _jacobian_1(wrt):
 QUERIES = {
     "sinkhorn_3": sinkhorn_3,
     "sinkhorn_log_2": sinkhorn_log_2,
+    "sinkhorn_log_batched": sinkhorn_log_batched,
+    "barycenter_log_batched": _stacked_barycenter(2, False),
+    "debiased_log_batched": _stacked_barycenter(2, True),
     "plan_3": plan_3,
     "cost_linear_3": cost_linear_3,
     "cost_regularized_3": cost_regularized_3,
@@ -230,6 +252,7 @@ QUERIES = {
     "barycenter_jacobian_weights": _jacobian("weights"),
     "barycenter_jacobian_atoms": _jacobian("atoms"),
     "sinkhorn_gradient_2": sinkhorn_gradient_2,
+    "sinkhorn_gradient_log_2": sinkhorn_gradient_log_2,
     "sinkhorn_jacobian_1": sinkhorn_jacobian_1,
     "barycenter_jacobian_weights_1": _jacobian_1("weights"),
     "barycenter_jacobian_atoms_1": _jacobian_1("atoms"),
@@ -265,6 +288,27 @@ b AS MATERIALIZED (
 {_rounds_sql(rounds)}"""
 
 
+def _first_check(key: str, checks: list[int], errors: str) -> str:
+    """The first look at the errors, every ten rounds, that finds them below 1e-8."""
+    return f"""{errors}
+SELECT {key}, 'converged' AS status, rounds AS iterations, round(error, 10) + 0.0 AS error
+FROM ({" UNION ALL ".join(f"SELECT {c}::INT AS rounds, * FROM e{c}" for c in checks)}) WHERE error < 1e-8
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY rounds) = 1"""
+
+
+def _status_sql(rounds: int) -> str:
+    checks = list(range(10, rounds + 1, 10))
+    errors = [
+        f"""e{c} AS (
+  SELECT problem_id, sqrt(sum(pow(p - u * s, 2))) AS error FROM a JOIN u{c} USING (problem_id, i) JOIN (
+    SELECT problem_id, i, sum(k * v) AS s FROM v{c} JOIN kernel USING (j) GROUP BY 1, 2
+  ) USING (problem_id, i) GROUP BY 1
+)"""
+        for c in checks
+    ]
+    return _first_check("problem_id", checks, ", ".join([_pairs_sql(rounds), *errors]))
+
+
 def _potentials_sql(rounds: int) -> str:
     return f"""{_pairs_sql(rounds)}
 SELECT problem_id, 'a' AS side, i AS idx, round({EPS} * ln(u), 6) + 0.0 AS potential FROM u{rounds}
@@ -322,37 +366,18 @@ d{r} AS MATERIALIZED (
 SELECT group_id, j AS idx, round(b, {digits}) AS p FROM b{rounds}"""
 
 
-_DOCUMENTS = f"""WITH {WORDS}, {vocabulary_sql(FREQUENT)},
-ranked AS (SELECT word_id, word, embedding FROM vocabulary JOIN embeddings ON vec_id = word_id),
-axis AS (
-  SELECT word_id, generate_subscripts(embedding, 1) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM ranked
-),
-kernel AS MATERIALIZED (
-  SELECT l.word_id AS i, r.word_id AS j, sum(pow(l.x - r.x, 2)) AS cost,
-    exp(-sum(pow(l.x - r.x, 2)) / {WORD_EPS}) AS k
-  FROM axis l JOIN axis r ON l.place = r.place GROUP BY 1, 2
-),
-counted AS MATERIALIZED (
-  SELECT w.doc_id, source, word_id, count(*) AS n
-  FROM words w JOIN ranked ON token = word JOIN documents d ON d.doc_id = w.doc_id GROUP BY 1, 2, 3
-),
-a AS MATERIALIZED (
-  SELECT doc_id AS problem_id, word_id AS i, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM counted
-),
-by_source AS (SELECT source, word_id, sum(n) AS n FROM counted GROUP BY 1, 2),
-shares AS (SELECT source, word_id, n / sum(n) OVER (PARTITION BY source) AS p FROM by_source),
-b AS MATERIALIZED (
-  SELECT doc_id AS problem_id, word_id AS j, p
-  FROM (SELECT DISTINCT doc_id, source FROM counted) JOIN shares USING (source)
-),
-{_rounds_sql(40)},
-plan AS (
-  SELECT problem_id, i, j, u * k * v AS mass, cost
-  FROM u40 JOIN kernel USING (i) JOIN v40 USING (problem_id, j)
-),
-solved AS ({_LINEAR})
-SELECT doc_id AS problem_id, solved.problem_id IS NULL AS empty, cost
-FROM documents LEFT JOIN solved ON doc_id = problem_id"""
+def _barycenter_status_sql(rounds: int) -> str:
+    checks = list(range(10, rounds + 1, 10))
+    errors = [
+        f"""e{c} AS (
+  SELECT group_id, sqrt(sum(pow(p - u * s, 2))) AS error FROM atom JOIN u{c} USING (group_id, member, i) JOIN (
+    SELECT group_id, member, i, sum(k * v) AS s FROM v{c} JOIN kernel USING (j) GROUP BY 1, 2, 3
+  ) USING (group_id, member, i) GROUP BY 1
+)"""
+        for c in checks
+    ]
+    rounds_sql = _barycenter_sql(rounds, False, 8).rsplit("SELECT", 1)[0].rstrip()
+    return _first_check("group_id", checks, ", ".join([rounds_sql, *errors]))
 
 
 def _applied(name: str, vector: str, value: str, inner: str, outer: str, weight: str = "k") -> str:
@@ -392,6 +417,7 @@ _BARYCENTER_1 = _barycenter_sql(1, False, 8).rsplit("SELECT", 1)[0]
 
 ORACLES = {
     "sinkhorn_gradient_2": _GRADIENT_2,
+    "sinkhorn_gradient_log_2": _GRADIENT_2,
     "sinkhorn_jacobian_1": _JACOBIAN_1,
     "barycenter_jacobian_weights_1": f"""{_BARYCENTER_1}
 SELECT group_id, j AS out, member, round(b * ln(t), 7) + 0.0 AS value FROM t1 JOIN b1 USING (group_id, j)""",
@@ -399,12 +425,16 @@ SELECT group_id, j AS out, member, round(b * ln(t), 7) + 0.0 AS value FROM t1 JO
 ones AS (SELECT i, sum(k) AS kv FROM kernel GROUP BY 1)
 SELECT group_id, j AS out, member, i AS in, round(weight * b / t * k / kv, 7) + 0.0 AS value
 FROM t1 JOIN b1 USING (group_id, j) JOIN kernel USING (j) JOIN ones USING (i)""",
-    "document_transport": _DOCUMENTS,
     "sinkhorn_3": _potentials_sql(3),
     "sinkhorn_log_2": _potentials_sql(2),
+    "sinkhorn_log_batched": _potentials_sql(2),
+    "barycenter_log_batched": _barycenter_sql(2, False, 8),
+    "debiased_log_batched": _barycenter_sql(2, True, 8),
     "plan_3": _plan_sql(3, "SELECT problem_id, i, j, round(mass, 9) AS mass FROM plan"),
     "cost_linear_3": _plan_sql(3, _LINEAR),
     "cost_regularized_3": _plan_sql(3, _REGULARIZED),
+    "sinkhorn_status": _status_sql(80),
+    "barycenter_status": _barycenter_status_sql(60),
     "sinkhorn_converged": _plan_sql(80, _LINEAR),
     "regularized_converged": _plan_sql(80, _REGULARIZED),
     "sinkhorn_gradient": f"""{_pairs_sql(80)}
