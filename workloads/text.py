@@ -111,9 +111,9 @@ def _commonness(spark, sf_dir):
     dated = corpus(spark, sf_dir)
     tok = tx.tokenize(dated)
     words = tx.build_vocabulary(tok, MIN_COUNT)
-    frequencies = broadcast_if_small(materialize(words.select("word_id", "freq")))
-    shares = tx.doc_distributions(tok, words).join(frequencies, "word_id")
-    scores = shares.groupBy("doc_id").agg(F.sum(F.col("p") * F.ln("freq")).alias("score"))
+    frequencies = broadcast_if_small(materialize(words.select("word", "freq")))
+    counts = tx.word_counts(tok).join(frequencies, "word", "left")
+    scores = counts.groupBy("doc_id").agg((F.sum(F.col("count") * F.ln("freq")) / F.max("n_tokens")).alias("score"))
     return dated.select("doc_id", "ts").join(scores, "doc_id")
 
 
