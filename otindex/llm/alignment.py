@@ -5,10 +5,6 @@ the last tokens of a group, which end together, point to the second tokenizer's
 pointers (every pointer takes its target's pointer, all at once) brings every token to the last token
 of its group in logarithmically many steps, and that token labels the group.
 
-A text is cut at every single space between two characters that are no white space. Both tokenizers end
-a token there whatever stands around it (no token of either holds such a place inside), so the parts
-between are encoded and aligned on their own, and a task remembers a bounded number of them.
-
 Texts are encoded once; the distinct links of each row are kept in the shared folder as 32-bit numbers with
 how often they occur. Counting adds up the links of many documents in a task before the shuffle. The
 counts come back in two ways: those of the commonest pairs, as many as fit a fixed size, are broadcast;
@@ -18,9 +14,10 @@ rarer pairs, none of which is a hot key, are joined by a shuffle.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
-from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +30,8 @@ from otindex.session import working_folder
 #: Pairs whose counts are broadcast, 9 bytes each, and link entries a task adds up before it passes them on.
 BROADCAST_PAIRS, HELD_LINKS = 4_000_000, 8_000_000
 
-#: Parts of texts that a task remembers.
-REMEMBERED = 200_000
-
-#: A place where both tokenizers always end a token.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how byte-level BPE of this kind splits a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _NOTHING = np.empty(0, np.int64)
 
@@ -65,73 +59,65 @@ class Encoders:
             for k, piece in enumerate(map(self.pieces.id_to_piece, range(self.pieces.get_piece_size())))
         ]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a, self.b))
+        self.quick = self._by_ranks(json.loads(self.bpe.to_str()))
+        # every id as text, with what may follow it
+        self.names = [
+            np.array([f"{i}{mark}" for mark in marks for i in range(len(table))], object) for table, marks in ((self.a, ",|"), (self.b, ",;"))
+        ]
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """The ids of a space and each part by both, and whether both give its bytes back."""
-        spaced = [" " + t for t in parts]
-        out = []
-        for whole, a, b in zip(spaced, self.bpe.encode_batch_fast(spaced, add_special_tokens=False), self.pieces.encode(parts, num_threads=1)):
+    def _by_ranks(self, settings: dict):
+        """The same tokenizer by ranks, which is several times as fast, if its merges are numbered in their order."""
+        model, splits = settings["model"], settings["pre_tokenizer"] or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
+        if not plain or settings["normalizer"] or any(model["vocab"]["".join(m)] != 256 + k for k, m in enumerate(merges)):
+            return None
+        import tiktoken
+
+        ranks = {token: k for k, token in enumerate(self.a[: 256 + len(merges)])}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both; none for empty texts and those that either does not give back."""
+        spaced = [" " + t for t in texts]
+        if self.quick:
+            a = list(map(self.quick.encode_ordinary, spaced))
+        else:
+            a = [e.ids for e in self.bpe.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.pieces.encode(texts, num_threads=1)
+        for k, (whole, text) in enumerate(zip(spaced, texts)):
             raw = whole.encode()
-            fine = b"".join(map(self.a.__getitem__, a.ids)) == raw == b"".join(map(self.b.__getitem__, b))
-            out.append((a.ids, b, fine))
-        return out
-
-
-@dataclass(frozen=True)
-class Part:
-    """A part of a text, aligned: numbers of tokens and groups, the groups as text, and linked id pairs."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    text: str
-    pairs: bytes
-    fine: bool
-
-
-class Parts(dict):
-    """Aligned parts of texts by their text; new ones are encoded and aligned together."""
-
-    def __init__(self, encoders: Encoders):
-        self.encoders = encoders
-
-    def learn(self, parts: list[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self]
-        coded = self.encoders.encode(new)
-        kept = [(a, b) for a, b, fine in coded if fine]
-        a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (zip(*kept) if kept else ((), ())))
-        # one after the other the parts are one text; tokens of both end where a part ends
-        labels = group_labels(np.cumsum(self.encoders.a_sizes[a]), np.cumsum(self.encoders.b_sizes[b]))
-        at = [0, 0]
-        for part, (a_ids, b_ids, fine) in zip(new, coded):
-            if not fine:
-                self[part] = Part(0, 0, 0, "", b"", False)
-                continue
-            to = [at[0] + len(a_ids), at[1] + len(b_ids)]
-            args = a[at[0] : to[0]], b[at[1] : to[1]], labels[0][at[0] : to[0]], labels[1][at[1] : to[1]]
-            self[part] = Part(
-                len(a_ids), len(b_ids), len(np.unique(args[2])), group_text(*args), linked_pairs(*args).tobytes(), True
-            )
-            at = to
-
-    def rows(self, texts: list[str]) -> list[tuple]:
-        """(n_a, n_b, n_groups, groups as text, distinct pairs, how often each) of every text."""
-        cut = [_CUT.split(t) if t else [] for t in texts]
-        self.learn([p for parts in cut for p in parts])
-        out = []
-        for parts in cut:
-            found = list(map(self.__getitem__, parts))
-            if not found or not all(p.fine for p in found):
-                out.append((0, 0, 0, "", _NOTHING, _NOTHING))
-                continue
-            pairs = np.frombuffer(b"".join([p.pairs for p in found]), np.int64)
-            out.append(
-                (sum([p.n_a for p in found]), sum([p.n_b for p in found]), sum([p.n_groups for p in found]),
-                 ";".join([p.text for p in found]), *np.unique(pairs, return_counts=True))
-            )
-        return out
+            if not text or b"".join(map(self.a.__getitem__, a[k])) != raw or b"".join(map(self.b.__getitem__, b[k])) != raw:
+                a[k], b[k] = [], []
+        return a, b
+
+    def rows(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """Of every text the numbers of tokens of both and of groups, the digest of the groups, and its
+        distinct linked pairs with how often each is linked. All texts are aligned together."""
+        coded = self.encode(texts)
+        n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in coded)
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in coded)
+        # one after the other the texts are one text; tokens of both end where a text ends
+        a_groups, b_groups = group_labels(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
+        a_last, b_last = (np.append(g[1:] != g[:-1], [True])[: len(g)] for g in (a_groups, b_groups))
+        a_stop, b_stop = np.cumsum(n_a), np.cumsum(n_b)
+        groups = np.diff(np.concatenate(([0], np.cumsum(a_last)))[np.concatenate(([0], a_stop))])
+        # the groups as text: ``a1,a2|b1;a3|b2,b3``
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + np.searchsorted(b_groups, a_groups, "left")] = self.names[0][a + a_last * len(self.a)]
+        shown[np.arange(len(b)) + np.searchsorted(a_groups, b_groups, "right")] = self.names[1][b + b_last * len(self.b)]
+        shown, stops = shown.tolist(), (a_stop + b_stop).tolist()
+        digests = ["" if i == j else hashlib.sha256("".join(shown[i:j])[:-1].encode()).hexdigest() for i, j in zip([0, *stops], stops)]
+        pairs, of = linked_pairs(a, b, a_groups, b_groups)
+        ends = np.searchsorted(of, a_stop, "left").tolist()  # ``of`` is each link's token of the first kind
+        found = [np.unique(pairs[i:j], return_counts=True) for i, j in zip([0, *ends], ends)]
+        return [n_a, n_b, groups], digests, found
+
+
+@lru_cache(maxsize=1)
+def _encoders(bpe_path: str, piece_path: str) -> Encoders:
+    """Those of a worker process, whose tasks follow each other."""
+    return Encoders(bpe_path, piece_path)
 
 
 def group_labels(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,23 +136,12 @@ def group_labels(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np
     return pointer[:n], pointer[n:]
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> np.ndarray:
-    """The id pairs of all linked tokens as ``a << 32 | b``."""
+def linked_pairs(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of all linked tokens as ``a << 32 | b``, and the places of their first tokens, rising."""
     low, high = np.searchsorted(b_groups, a_groups, "left"), np.searchsorted(b_groups, a_groups, "right")
     width = high - low
     at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width - low, width)
-    return (np.repeat(a, width) << 32) | b[at]
-
-
-def group_text(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``."""
-
-    def parts(ids, groups):
-        cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
-        names, at = list(map(str, ids.tolist())), [0, *cuts.tolist(), len(ids)]
-        return [",".join(names[i:j]) for i, j in zip(at, at[1:])]
-
-    return ";".join(map("|".join, zip(parts(a, a_groups), parts(b, b_groups), strict=True)))
+    return (np.repeat(a, width) << 32) | b[at], np.repeat(np.arange(len(a)), width)
 
 
 _FIELDS = "_row bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
@@ -181,16 +156,12 @@ def aligned(documents: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     key = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        parts = None
         for batch in batches:
             for piece in pieces(batch, "text"):
-                parts = parts if parts is not None else Parts(Encoders(bpe_path, piece_path))
-                rows = parts.rows([t or "" for t in piece.column("text").to_pylist()])
-                *counts, texts, pairs, times = zip(*rows)
-                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                counts, digests, found = _encoders(bpe_path, piece_path).rows([t or "" for t in piece.column("text").to_pylist()])
                 columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string())]
-                offsets = pa.array(np.cumsum([0, *map(len, pairs)], dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(k))) for x, k in ((pairs, "i8"), (times, "i4"))]
+                offsets = pa.array(np.cumsum([0, *(len(p) for p, _ in found)], dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(k))) for x, k in zip(zip(*found), ("i8", "i4"))]
                 names = ["doc_id", "_row", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("_row"), *columns, *lists], names)
 
@@ -236,8 +207,7 @@ def align(
     count of an id pair is the number of rows that have it linked; ``n_best`` are the links whose count
     is the highest of their first id, ``count_sum`` adds up the counts of all links. Repeated rows count
     each; rows of null, empty or unfaithfully encoded texts have zeros and an empty ``groups_sha256``.
-    Other columns are ignored. A part of a text without a single space is encoded in one piece, in
-    memory in proportion to it.
+    Other columns are ignored. A text is encoded in one piece, in memory in proportion to it.
     """
     spark = documents.sparkSession
     folder = working_folder(spark, "alignment")
