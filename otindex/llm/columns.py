@@ -14,10 +14,10 @@ def fresh(table: DataFrame, name: str) -> str:
 
 
 def set_aside(table: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """``table`` with the columns of these names renamed, and how to rename them back."""
+    """``table`` with the columns of these names, letter case aside, renamed, and how to rename them back."""
     back: dict[str, str] = {}
     for column in table.columns:
-        if column in names:
+        if column.lower() in names:
             other = fresh(table, f"kept_{column}")
             table = table.withColumnRenamed(column, other)
             back[other] = column

@@ -146,7 +146,7 @@ def find_leaks(
         F.sum(F.octet_length("words") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64)
     ).first()[0]
     blocks = max(1, -(-(size or 0) // block_bytes))
-    carried = [c for c in documents.columns if c not in ADDED and (keep_text or c != "text")]
+    carried = [c for c in documents.columns if c.lower() not in ADDED and (keep_text or c != "text")]
 
     def block(k: int) -> list[tuple[str, list[str]]]:
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else windows

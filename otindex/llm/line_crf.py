@@ -297,7 +297,7 @@ def classify(
     One row per row. A null text, or one without words, is a single empty line. Columns named like
     the added ones are replaced. ``keep_text=False`` leaves the text out of the result.
     """
-    carried = [c for c in documents.columns if c not in ADDED and (keep_text or c != "text")]
+    carried = [c for c in documents.columns if c.lower() not in ADDED and (keep_text or c != "text")]
 
     def run(batches):
         for batch in batches:

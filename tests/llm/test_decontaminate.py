@@ -69,3 +69,13 @@ def test_empty_tables(spark):
     documents, benchmark, docs, _ = tables(spark)
     assert find_leaks(documents.limit(0), benchmark).count() == 0
     assert find_leaks(documents, benchmark.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_columns_that_differ_in_letter_case(spark):
+    """A column named like an added one but for its case is replaced in the report and kept in the text."""
+    docs = spark.createDataFrame([(1, "one two three", 7), (2, "four five", 8)], "doc_id bigint, text string, N_Hit int")
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    found = find_leaks(docs, items, 3)
+    assert sorted((r["doc_id"], r["n_hit"]) for r in found.collect()) == [(1, 3), (2, 0)]
+    kept = decontaminate(docs, items, 3)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "four five", 8)]

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from otindex.llm.line_crf import NAMES, Chains, Fit, classify, fit, held_out, learnable, line_features, loss_and_slope, marginals
+from otindex.llm.line_crf import NAMES, Chains, Fit, accepted, classify, fit, held_out, learnable, line_features, loss_and_slope, marginals
 
 SCHEMA = "doc_id bigint, text string, score string, label int"
 
@@ -91,3 +91,11 @@ def test_empty_tables(spark):
     assert classify(docs, fit(docs, none)).count() == 0
     row = classify(spark.createDataFrame([(1, "x", "", 1)], SCHEMA), fit(docs, none)).first()
     assert row["score"] == 0.5 and row["predicted"] == 1
+
+
+def test_columns_that_differ_in_letter_case(spark):
+    docs = spark.createDataFrame([(1, "some text", 7)], "doc_id bigint, text string, Score int")
+    weights = np.zeros(len(NAMES) + 3)
+    assert [c.lower() for c in classify(docs, weights).columns] == ["doc_id", "text", "score", "predicted"]
+    kept = accepted(docs, weights, 0.0)
+    assert kept.columns == docs.columns and kept.first()["Score"] == 7
