@@ -10,7 +10,7 @@ from otindex.operators import gradients as gr
 from otindex.operators.barycenter import barycenter
 from otindex.operators.distance import pairwise_distance
 from otindex.operators.ground import DenseCost, VectorCost
-from otindex.operators.transport import padded_stacks, sinkhorn, solved_cost
+from otindex.operators.transport import padded_stacks, sinkhorn, sinkhorn_pairs, solved_cost
 from otindex.plans import dictionary as dl
 from otindex.session import materialize
 from otindex.spec import DictionarySpec
@@ -229,3 +229,21 @@ def test_jacobians_of_large_groups_come_in_blocks(spark, make, monkeypatch):
         found.append(({tuple(r)[:4]: r.value for r in rows}, {tuple(r)[:4]: r.value for r in pairs}))
     assert len(found[0][0]) == 12 * 40 * 12 and len(found[0][1]) == 2 * 2 * 144
     assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1])
+
+
+@pytest.mark.parametrize("domain", ["auto", "exp", "log"])
+def test_pairs_from_vectors_equal_pairs_from_the_cost(spark, make, domain):
+    """Histograms over any words: only the costs between a pair's own words are made."""
+    rng = np.random.default_rng(10)
+    X = vectors(9, 3)
+    a, b = (make.histograms(rng.dirichlet(np.ones(9), 3).tolist(), "id") for _ in "ab")
+    empty = spark.createDataFrame([(0, 0, 1), (1, 1, 1), (2, 2, 0), (3, 2, 77)], "problem_id bigint, a_id bigint, b_id bigint")
+    dense = sinkhorn_pairs(empty, a, b, make.cost(direct(X, X)), 0.4, 500, 1e-10, "exp", "batched")
+    sparse = sinkhorn_pairs(empty, a, b, vector_table(spark, X), 0.4, 500, 1e-10, domain)
+    found = [{r.problem_id: (r.status, r.iterations) for r in s.status.collect()} for s in (dense, sparse)]
+    assert found[0] == found[1] and found[1][3][0] == "empty"
+    for kind in ("linear", "regularized"):
+        costs = [{r.problem_id: r.cost for r in solved_cost(s, None, 0.4, kind).collect()} for s in (dense, sparse)]
+        assert costs[0] == pytest.approx(costs[1], abs=1e-9)
+    with pytest.raises(ValueError):
+        sinkhorn_pairs(empty, a, b, vector_table(spark, X), 0.4, strategy="relational")
