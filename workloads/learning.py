@@ -21,7 +21,7 @@ SMALL = DictionarySpec(num_topics=3, batch_size=64, epochs=2, max_iter=40, lr=0.
 
 
 #: The end-to-end model: all words, and one pass over the documents.
-INDEX = IndexSpec(dictionary=DictionarySpec(batch_size=500, epochs=1, max_iter=20, reg=0.5, lr=0.05))
+INDEX = IndexSpec(dictionary=DictionarySpec(batch_size=500, epochs=1, max_iter=10, reg=0.5, lr=0.05))
 
 
 def _shares(spark, sf_dir):
