@@ -29,6 +29,9 @@ from otindex.llm.bytes_ import as_bytes, buffers, pieces
 
 ESCAPE = "\x1b"
 
+#: Characters of role and text in the bounds between tasks.
+BOUND_CHARS = 64
+
 PART_SCHEMA = "conv_id bigint, part bigint, formatted string, loss_starts array<int>, loss_ends array<int>"
 
 
@@ -145,9 +148,12 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """
     template = template or Template()
     columns = ("conv_id", "turn", "role", "text")
+    # The sampled bounds of the ranges go to the driver, so they hold the starts of role and text only.
+    # Starts sort like the whole: rows of equal starts share a task, where they are sorted in full.
+    bounds = ("conv_id", "turn", F.substring("role", 1, BOUND_CHARS), F.substring("text", 1, BOUND_CHARS))
     rows = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text")
-    ).repartitionByRange(*columns)
+    ).repartitionByRange(*bounds)
     rows = rows.sortWithinPartitions(*columns).withColumn("_task", F.spark_partition_id().cast("long"))
 
     def run(batches):

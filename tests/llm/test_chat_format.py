@@ -52,3 +52,11 @@ def test_the_mask_holds_assistant_texts_only(spark):
 
 def test_empty_table(spark):
     assert read_chats(format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_ties_beyond_the_bounds_of_the_tasks(spark):
+    """Turns that differ only after the characters that bound the tasks still come in full order."""
+    rows = [(1, 0, "user", "x" * 200 + str(k % 7), "") for k in range(300)] + [(1, 0, "user" * 40 + "b", "t", ""), (1, 0, "user" * 40 + "a", "t", "")]
+    out = read_chats(format_chats(spark.createDataFrame(rows, SCHEMA).repartition(5))).collect()
+    said = "".join(f"{r[2]}\n{r[3]}\n" for r in sorted(rows, key=lambda r: (r[2], r[3])))
+    assert len(out) == 1 and out[0]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
