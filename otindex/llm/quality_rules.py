@@ -37,6 +37,24 @@ FEATURES = {
 }
 
 
+def _exactly_twice(raw, starts, ends, of, at: np.ndarray, window: int) -> np.ndarray:
+    """Those windows (by first word) whose words, compared as bytes, occur at least twice in their text.
+
+    The hashes only choose whom to compare, so texts made to collide do not change a count.
+    """
+    if not len(at):
+        return at
+    inside = np.unique(at[:, None] + np.arange(window))
+    numbers: dict[bytes, int] = {}
+    bounds = zip(starts[inside].tolist(), ends[inside].tolist(), strict=True)
+    words = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in bounds], np.int64)
+    key = of[at].astype(np.int64)
+    for k in range(window):
+        key = key * len(numbers) + words[np.searchsorted(inside, at + k)]
+        _, key, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return at[counts[key] > 1]
+
+
 def statistics(texts: list[bytes], window: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Counts (texts x COUNTS, long) and features (texts x FEATURES, float) of some texts."""
     n = len(texts)
@@ -68,7 +86,7 @@ def statistics(texts: list[bytes], window: int = 5) -> tuple[np.ndarray, np.ndar
     salt = mixed(np.arange(1, n + 1, dtype=np.uint64))
     _, which, counts = np.unique(windows[inside] ^ salt[of[inside]], return_inverse=True, return_counts=True)
     change = np.zeros(len(starts) + 1, np.int64)
-    twice = inside[counts[which] > 1]
+    twice = _exactly_twice(raw, starts, ends, of, inside[counts[which] > 1], window)
     np.add.at(change, twice, 1)
     np.add.at(change, twice + window, -1)
     repeat = np.cumsum(change[:-1]) > 0

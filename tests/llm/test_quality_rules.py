@@ -77,3 +77,13 @@ def test_empty_tables(spark):
     assert judge(spark.createDataFrame([], SCHEMA), none).count() == 0
     row = judge(spark.createDataFrame([(1, "a b c d e f g h i j k", "", 1)], SCHEMA), none).first()
     assert row["kept"] and row["score"] == 0.5
+
+
+def test_texts_made_to_collide_do_not_change_a_count():
+    """Thue-Morse words and their complements share every polynomial hash modulo 2**64."""
+    bits = [bin(k).count("1") & 1 for k in range(1 << 12)]
+    word, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    raw = [" ".join(["w", "x", word, "y", "z", "w", "x", other, "y", "z"]), " ".join(["w", "x", word, "y", "z"] * 2)]
+    counts, _ = statistics([t.encode() for t in raw])
+    assert [tuple(c) for c in counts.tolist()] == [brute(t) for t in raw]
+    assert counts[0, 4] == 0 and counts[1, 4] == 10
