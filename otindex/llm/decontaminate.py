@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from otindex.llm.bytes_ import as_bytes, pieces, spans, window_hashes, word_hashes
-from otindex.llm.columns import fresh, set_aside
+from otindex.llm.columns import fresh, quoted, set_aside
 from otindex.session import materialize
 
 #: Bytes of windows and item ids in one broadcast block.
@@ -106,7 +106,7 @@ _SPANS = "array<struct<start:int,stop:int>>"
 def _scan(documents: DataFrame, rows: list[tuple[str, list[str]]], carried: list[str], hits_only: bool) -> DataFrame:
     """``carried`` columns plus n_words, n_hit, spans and items against one block."""
     block = documents.sparkSession.sparkContext.broadcast(rows)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*carried).schema]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*map(quoted, carried)).schema]
     schema = ", ".join([*fields, "n_words bigint", "n_hit bigint", f"spans {_SPANS}", "items array<string>"])
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
 
@@ -123,7 +123,7 @@ def _scan(documents: DataFrame, rows: list[tuple[str, list[str]]], carried: list
                 )
                 yield out.filter(pa.array([x > 0 for x in found[1]])) if hits_only else out
 
-    return documents.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)
+    return documents.select(*map(quoted, dict.fromkeys([*carried, "text"]))).mapInArrow(run, schema)
 
 
 ADDED = ("n_words", "n_hit", "spans", "items")
@@ -146,6 +146,7 @@ def find_leaks(
         F.sum(F.octet_length("words") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64)
     ).first()[0]
     blocks = max(1, -(-(size or 0) // block_bytes))
+    documents, back = set_aside(documents, ())
     carried = [c for c in documents.columns if c.lower() not in ADDED and (keep_text or c != "text")]
 
     def block(k: int) -> list[tuple[str, list[str]]]:
@@ -153,7 +154,7 @@ def find_leaks(
         return [(r["words"], r["items"]) for r in part.toLocalIterator()]
 
     if blocks == 1:
-        return _scan(documents, block(0), carried, False)
+        return _scan(documents, block(0), carried, False).withColumnsRenamed(back)
     key = fresh(documents, "digest")
     keyed = documents.withColumn(key, F.sha2("text", 256))
     base = _scan(keyed, [], [*carried, key], False).drop("n_hit", "spans", "items")
@@ -163,12 +164,12 @@ def find_leaks(
     ])
     merged = _merge(found, keyed, key)
     return base.join(merged, key, "left").select(
-        *carried,
+        *map(quoted, carried),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def _merge(found: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
@@ -212,7 +213,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, actio
     kept, back = set_aside(documents, ADDED)
     found = find_leaks(kept, benchmark, n)
     if action == "documents":
-        return found.where("n_hit = 0").select(*kept.columns).withColumnsRenamed(back).select(*names)
+        return found.where("n_hit = 0").select(*map(quoted, kept.columns)).withColumnsRenamed(back).select(*map(quoted, names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def cut(batches):
@@ -226,5 +227,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, actio
             columns = [text if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"]
             yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != "spans"])
 
-    clean = found.select(*kept.columns, "spans").mapInArrow(cut, fields)
-    return clean.withColumnsRenamed(back).select(*names)
+    clean = found.select(*map(quoted, kept.columns), "spans").mapInArrow(cut, fields)
+    return clean.withColumnsRenamed(back).select(*map(quoted, names))

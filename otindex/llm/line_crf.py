@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otindex.llm.bytes_ import as_bytes, mixed, pieces, spans, window_hashes, word_hashes
-from otindex.llm.columns import set_aside
+from otindex.llm.columns import quoted, set_aside
 
 _WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&<>"))
@@ -297,6 +297,7 @@ def classify(
     One row per row. A null text, or one without words, is a single empty line. Columns named like
     the added ones are replaced. ``keep_text=False`` leaves the text out of the result.
     """
+    documents, back = set_aside(documents, ())
     carried = [c for c in documents.columns if c.lower() not in ADDED and (keep_text or c != "text")]
 
     def run(batches):
@@ -309,16 +310,16 @@ def classify(
                 score = np.bincount(text, p * weight, len(lines)) / np.bincount(text, weight, len(lines))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), pa.array(score)], [*carried, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*carried).schema]
-    scored = documents.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, ", ".join([*fields, "score double"]))
-    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*map(quoted, carried)).schema]
+    scored = documents.select(*map(quoted, dict.fromkeys([*carried, "text"]))).mapInArrow(run, ", ".join([*fields, "score double"]))
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int")).withColumnsRenamed(back)
 
 
 def accepted(documents: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, in their own columns."""
     kept, back = set_aside(documents, ADDED)
-    good = classify(kept, weights, least).where("predicted = 1").select(*kept.columns)
-    return good.withColumnsRenamed(back).select(*documents.columns)
+    good = classify(kept, weights, least).where("predicted = 1").select(*map(quoted, kept.columns))
+    return good.withColumnsRenamed(back).select(*map(quoted, documents.columns))
 
 
 def held_out(doc_id: Column) -> Column:

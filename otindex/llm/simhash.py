@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from otindex.llm.bytes_ import as_bytes, pieces
+from otindex.llm.columns import orderable, quoted
 from otindex.llm.components import components, spread_join
 from otindex.session import broadcast_if_small, materialize
 
@@ -178,10 +180,10 @@ def deduplicate(documents: DataFrame, size: int = 3, radius: int = 2, seed: int
     With several seeds, documents link that are within ``radius`` for any of them.
 
     Rows with a null or repeated doc_id are told apart by their fingerprints; among those that could
-    stay for a component, the least row (column by column) does. A component without any doc_id keeps
-    one row too.
+    stay for a component, the least row (column by column; maps and variants by their JSON text) does.
+    A component without any doc_id keeps one row too.
     """
-    names = documents.columns
+    names = [quoted(c) for c in documents.columns]
     seeds = (seed,) if isinstance(seed, int) else tuple(seed)
     rows, groups = _grouped(documents, size, radius, seeds)
     judged = rows.join(groups, "bits")
@@ -192,10 +194,12 @@ def deduplicate(documents: DataFrame, size: int = 3, radius: int = 2, seed: int
     plain = plain.join(broadcast_if_small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*names)
 
     nameless, shared = documents.where("doc_id is null"), documents.join(odd_ids, "doc_id", "left_semi").select(*names)
-    odd = nameless.unionByName(shared).select(F.struct(*names).alias("row"), "doc_id", "text")
+    key = F.struct(*(orderable(f) for f in documents.schema)).alias("key")
+    odd = nameless.unionByName(shared).select(F.struct(F.struct(*names).alias("whole"), key).alias("row"), "text")
     marked = _with_bits(odd, size, seeds).join(groups, "bits")
-    stay = marked.where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return plain.unionByName(stay.groupBy("component").agg(F.min("row").alias("row")).select("row.*"))
+    stay = marked.where(F.col("row.whole.doc_id").eqNullSafe(F.col("component_id")))
+    one = stay.groupBy("component").agg(F.min_by("row.whole", "row.key").alias("whole"))
+    return plain.unionByName(one.select("whole.*"))
 
 
 def _with_bits(rows: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
@@ -206,5 +210,6 @@ def _with_bits(rows: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
             bits = _column(as_bytes(batch.column("text")).to_pylist(), size, seeds)
             yield pa.RecordBatch.from_arrays([batch.column("row"), bits], ["row", "bits"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(run, f"row {kind}, bits {_type(seeds)}")
+    bits = LongType() if len(seeds) == 1 else ArrayType(LongType())
+    schema = StructType([rows.schema["row"], StructField("bits", bits)])
+    return rows.select("row", "text").mapInArrow(run, schema)

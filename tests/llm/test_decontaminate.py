@@ -79,3 +79,13 @@ def test_columns_that_differ_in_letter_case(spark):
     assert sorted((r["doc_id"], r["n_hit"]) for r in found.collect()) == [(1, 3), (2, 0)]
     kept = decontaminate(docs, items, 3)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "four five", 8)]
+
+
+def test_maps_and_dotted_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "one two three four", "q", {"k": 1}), (2, "four five", "p", None)], "doc_id bigint, text string, `a.b` string, m map<string,int>"
+    )
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate(docs, items, 3).collect()] == [(2, "four five", "p", None)]
+    cut = {r["doc_id"]: tuple(r) for r in decontaminate(docs, items, 3, "spans").collect()}
+    assert cut[1] == (1, " four", "q", {"k": 1}) and cut[2] == (2, "four five", "p", None)

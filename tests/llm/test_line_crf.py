@@ -99,3 +99,10 @@ def test_columns_that_differ_in_letter_case(spark):
     assert [c.lower() for c in classify(docs, weights).columns] == ["doc_id", "text", "score", "predicted"]
     kept = accepted(docs, weights, 0.0)
     assert kept.columns == docs.columns and kept.first()["Score"] == 7
+
+
+def test_maps_and_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "q", {"k": 1})], "doc_id bigint, text string, `a.b` string, m map<string,int>")
+    kept = accepted(docs, np.zeros(len(NAMES) + 3), 0.0)
+    assert kept.columns == docs.columns and tuple(kept.first()) == (1, "some text", "q", {"k": 1})
+    assert classify(docs, np.zeros(len(NAMES) + 3)).columns == [*docs.columns, "score", "predicted"]

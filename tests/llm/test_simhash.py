@@ -128,3 +128,13 @@ def test_the_pipeline_uses_several_seeds():
     import corpus_pipeline
 
     assert len(set(corpus_pipeline.SEEDS)) >= 3
+
+
+def test_maps_and_dotted_names(spark):
+    """Columns without an order and names with dots or backticks pass; equal ids still keep one row a component."""
+    schema = "doc_id bigint, text string, `a.b` string, `c``d` int, m map<string,int>"
+    rows = [(1, "x y z", "q", 1, {"k": 2}), (1, "x y z", "p", 1, {"k": 1}), (1, "x y z", "p", 1, {"k": 3}), (None, "u v w", None, None, None)]
+    for seed in (42, (42, 43)):
+        kept = deduplicate(spark.createDataFrame(rows, schema), seed=seed)
+        assert kept.columns == ["doc_id", "text", "a.b", "c`d", "m"]
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[1], rows[3])))
