@@ -1,14 +1,18 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from otindex.operators import gradients as gr
 from otindex.operators.barycenter import barycenter
-from otindex.operators.ground import choose_domain, choose_strategy
+from otindex.operators.ground import choose_domain, choose_strategy, kernel_table
 from otindex.operators.transport import (
+    choose_shift,
     pair_problems,
     sinkhorn,
     sinkhorn_pairs,
+    smooth,
     solved_cost,
     transport_cost,
     transport_plan,
@@ -353,3 +357,19 @@ def test_oversized_cost_is_refused(make, monkeypatch):
     assert choose_strategy("auto", cost) == "relational"
     with pytest.raises(ValueError):
         choose_strategy("batched", cost)
+
+
+def test_log_sums_share_a_shift_only_where_it_is_safe(make):
+    """One shift per vector gives the sums that a shift per sum gives, without sorting the joined rows."""
+    squares = [[(i - j) ** 2 for j in range(4)] for i in range(4)]
+    vectors = make.matrix([[-900.0, -905.0, -math.inf, -903.0], [700.0, 10.0, 3.0, -math.inf], [-math.inf] * 4], "key", "i")
+    vectors = vectors.withColumnRenamed("value", "x")
+    kernel = kernel_table(make.cost(squares), 0.1)
+    assert choose_shift(kernel, "log") == "level" and choose_shift(kernel, "exp") == "exp"
+    assert choose_shift(kernel_table(make.cost(squares).where("i < 3 or j < 3"), 0.1), "log") == "log"
+    assert choose_shift(kernel_table(make.cost([[0, 70], [70, 0]]), 0.1), "log") == "log"
+    shared, own = (smooth(vectors, kernel, "i", "j", ["key"], domain) for domain in ("level", "log"))
+    found, expected = ({(r.key, r.j): r.x for r in t.collect()} for t in (shared, own))
+    assert len(found) == 12 and found == pytest.approx(expected, rel=1e-12)
+    plan = smooth(vectors, kernel, "i", "j", ["key"], "level")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # printed from the top: the window is below the join
