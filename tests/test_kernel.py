@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from otindex.functions import kernel as kn
 from otindex.functions import scaling as sc
+from otindex.operators import barycenter as bc
 from otindex.operators import gradients as gr
 from otindex.operators.barycenter import barycenter
 from otindex.operators.distance import pairwise_distance
@@ -247,3 +248,49 @@ def test_pairs_from_vectors_equal_pairs_from_the_cost(spark, make, domain):
         assert costs[0] == pytest.approx(costs[1], abs=1e-9)
     with pytest.raises(ValueError):
         sinkhorn_pairs(empty, a, b, vector_table(spark, X), 0.4, strategy="relational")
+
+
+def test_a_group_is_held_by_its_numbers_not_its_members(make, monkeypatch):
+    """A group of many members is solved in one task while its numbers fit, whatever its members."""
+    rng = np.random.default_rng(5)
+    columns = rng.dirichlet(np.ones(3), 300)
+    atoms, weights = make.group(columns.tolist(), [1 / 300] * 300)
+    cost = make.cost([[(i - j) ** 2 / 4 for j in range(3)] for i in range(3)])
+    with monkeypatch.context() as patch:
+        patch.setattr(bc, "_Relational", None)
+        one = bc.barycenter(atoms, weights, cost, 0.1, True, max_iter=20, tol=0.0)
+        found = [r.p for r in one.values.orderBy("idx").collect()]
+    monkeypatch.setattr(bc, "GROUP_VALUES", 300)
+    other = bc.barycenter(atoms, weights, cost, 0.1, True, max_iter=2, tol=0.0)
+    same = bc.barycenter(atoms, weights, cost, 0.1, True, max_iter=2, tol=0.0, strategy="relational")
+    assert len(found) == 3 and [r.p for r in other.values.orderBy("idx").collect()] == pytest.approx([r.p for r in same.values.orderBy("idx").collect()])
+
+
+def test_log_stacks_are_narrow_enough_for_all_arrays_of_a_round():
+    for words, rounds, topics in ((50, 1, 6), (50, 1000, 6), (4096, 40, 9)):
+        width, _ = gr._stacking(words, rounds, topics, True)
+        assert width == 1 or width * words * topics * 8 * min(rounds, 10) <= 2_000_000
+
+
+def test_jacobian_rows_of_one_output_come_in_pieces(spark, make, monkeypatch):
+    atoms, weights = make.group([[0.2, 0.8], [0.5, 0.5], [0.9, 0.1]], [0.2, 0.3, 0.5])
+    cost = make.cost([[0, 0.3], [0.3, 0]])
+    found = []
+    for values in (1000, 2):
+        monkeypatch.setattr(gr, "BLOCK_VALUES", values)
+        rows = gr.barycenter_jacobian(atoms, weights, cost, 0.2, "atoms", max_iter=3, tol=0.0).collect()
+        found.append({tuple(r)[:4]: r.value for r in rows})
+    assert len(found[0]) == 12 and found[0] == pytest.approx(found[1], abs=1e-12)
+
+
+def test_one_sweep_serves_the_outputs_of_both_sides():
+    """Bars on both sides at once give the sum of the sweeps of each."""
+    rng = np.random.default_rng(2)
+    K, A, B = rng.uniform(0.1, 1, (3, 4)), rng.dirichlet(np.ones(3))[:, None], rng.dirichlet(np.ones(4))[:, None]
+    trail = []
+    sc.scale_pairs(K, A, B, 23, 0.0, trail)
+    ubar, vbar = np.hstack([np.eye(3), np.zeros((3, 4))]), np.hstack([np.zeros((4, 3)), np.eye(4)])
+    both = sc.pairs_reverse(K, A, B, trail, ubar, vbar)
+    for at in range(7):
+        one = sc.pairs_reverse(K, np.hstack([A, A]), np.hstack([B, B]), [(np.arange(2), np.hstack([v, v])) for _, v in trail], ubar[:, [at, at]], vbar[:, [at, at]])
+        assert both[:, at] == pytest.approx(one[:, 0], abs=1e-12)
