@@ -298,3 +298,17 @@ def test_a_batch_without_a_finite_document_is_an_error(spark, make):
         assert "finite" in str(error)
     else:  # whatever was solved is counted
         assert {(r.converged or 0) + r.max_iter + r.nonfinite for r in model.history.collect()} == {2}
+
+
+@pytest.mark.parametrize(("optimizer", "weight_grad"), [("adamw", "per_doc"), ("sgd", "shared"), ("adam", "shared")])
+def test_small_batches_are_walked_through_in_runs(tables, monkeypatch, tmp_path, optimizer, weight_grad):
+    """Runs give what single steps give, and no step is a job of its own."""
+    spec = DictionarySpec(**{**SPEC.__dict__, "optimizer": optimizer, "weight_grad": weight_grad, "batch_size": 1})
+    single = dl.fit(*tables, spec, folder=str(tmp_path / "single"))
+    monkeypatch.setattr(dl, "RUN_STEPS", 2)
+    monkeypatch.setattr(dl._Training, "step", None)
+    runs = dl.fit(*tables, spec)
+    for name in ("topics", "weights", "history"):
+        one, two = (sorted(tuple(r) for r in getattr(m, name).collect()) for m in (single, runs))
+        flat = [[x for r in t for c in r for x in (c if isinstance(c, list) else [c])] for t in (one, two)]
+        assert len(one) > 0 and flat[0] == pytest.approx(flat[1], abs=1e-9)
