@@ -90,3 +90,15 @@ def test_distribution_by_weight(spark):
     rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, 6.0), (2, 5, 3.0)], "k int, b int, w double")
     out = {(r.k, r.idx): r.p for r in tx.distribution(rows, "k", "b", "w").collect()}
     assert out == {(1, 0): 0.25, (1, 1): 0.75, (2, 5): 1.0}
+
+
+def test_entries_other_than_zero_are_read_from_dense_vectors(tokens, monkeypatch):
+    """Also where a batch of vectors is made and read in pieces."""
+    monkeypatch.setattr(tx, "DENSE_VALUES", 2)
+    words = tx.build_vocabulary(tokens, 1)
+    blocks = tx.count_vectors(tokens, words, 2)
+    expected = {
+        (r.doc_id, r.block, len(r.counts), at, n) for r in blocks.collect() for at, n in enumerate(r.counts) if n
+    }
+    found = [tuple(r) for r in tx.nonzero_counts(blocks).collect()]
+    assert len(found) == len(expected) > 6 and set(found) == expected

@@ -63,9 +63,8 @@ def word_count_vectors(spark, sf_dir):
     """The entries other than zero of the dense vectors, with the size of the block they lie in."""
     tok = tokenized(spark, sf_dir)
     blocks = tx.count_vectors(tok, tx.build_vocabulary(tok, MIN_COUNT), BLOCK_WORDS)
-    entries = blocks.select("doc_id", "block", F.size("counts").alias("size"), F.posexplode("counts").alias("at", "count"))
     word = (F.col("block") * BLOCK_WORDS + F.col("at")).alias("word_id")
-    return entries.where("count > 0").select("doc_id", word, "size", "count")
+    return tx.nonzero_counts(blocks).select("doc_id", word, "size", "count")
 
 
 def doc_distributions(spark, sf_dir):
