@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from otindex.operators import linalg as la
 from otindex.operators import svd
+from otindex.operators import distance
 from otindex.operators.distance import check_symmetric, pairwise_distance
 
 GOLDEN = [[20, 10, 15, 0, 2], [10, 5, 8, 1, 0], [0, 1, 2, 6, 3], [1, 0, 0, 10, 5]]
@@ -154,3 +155,40 @@ def test_joins_on_an_index_beyond_the_broadcast_limit(make, monkeypatch):
     assert product() == pytest.approx(expected)
     monkeypatch.setattr("otindex.operators.linalg.BROADCAST_ROWS", 0)
     assert product() == pytest.approx(expected)
+
+
+def test_check_symmetric_where_pairs_lie_apart(spark, monkeypatch):
+    """Entries in any tasks, several of a pair, nulls and NaN: as one aggregation over the pairs says."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, j) for i in range(9) for j in range(9)]
+    rows = [(i, j, float(abs(i - j))) for i, j in pairs]
+    rows += [(2, 5, 3.0), (7, 7, 0.0), (3, 1, None), (4, 4, float("nan")), (None, None, 1.0), (None, 6, 2.0), (20, 21, 1.0)]
+    rows.remove((8, 0, 8.0))
+    plain = spark.createDataFrame(rows, "i int, j int, cost double")
+    spread = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], plain.schema).repartition(3)
+    monkeypatch.setattr("otindex.operators.distance.CHECK_ROWS", 10)
+    for cost in (plain, plain.coalesce(1), spread):
+        both = cost.groupBy(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(
+            F.count(F.lit(1)).alias("n"), (F.max("cost") - F.min("cost")).alias("gap")
+        )
+        bad = (F.col("n") != F.when(F.col("lo") == F.col("hi"), 1).otherwise(2)) | (F.col("gap") > 0)
+        expected = both.agg(F.sum("n"), F.sum(bad.cast("long"))).first()
+        assert tuple(check_symmetric(cost).first()) == tuple(expected)
+    assert tuple(check_symmetric(plain.where("i > 99")).first()) == (None, None)
+
+
+def test_whole_pairs_come_as_ranges_and_vectors_are_not_sent_per_tile(spark, monkeypatch):
+    vectors = spark.range(40).selectExpr("cast(id as int) AS word_id", "array(cast(id as double), 1.0D) AS vec")
+    cost = pairwise_distance(vectors, tile=8)
+    assert distance._ranges(cost.selectExpr("least(i, j) AS lo", "greatest(i, j) AS hi", "cost"), 0.0).count() < 400
+    plan = cost._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(distance, "BROADCAST_VALUES", 0)
+    other = pairwise_distance(vectors, tile=8)
+    assert sorted(map(tuple, cost.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_check_symmetric_with_indices_far_apart(spark):
+    far = 1 << 62
+    rows = [(-far, far, 1.0), (far, -far, 1.0), (-far, -far, 0.0), (5, far, 2.0), (far, 5, 3.0)]
+    assert tuple(check_symmetric(spark.createDataFrame(rows, "i bigint, j bigint, cost double").coalesce(1)).first()) == (5, 1)
