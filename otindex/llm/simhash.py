@@ -9,7 +9,9 @@ the radius of it (65), so no key is hot. Within a value the least fingerprint is
 which for an even radius links everything that met there; other texts' links are never lost.
 
 Fingerprints of several seeds are computed in one pass over the texts. Texts that are close in any seed
-are linked, and the links of all seeds make one graph, whose nodes are the distinct arrays of fingerprints.
+are linked, and the links of all seeds make one graph, whose nodes are numbers of the distinct arrays of
+fingerprints. Of a seed's fingerprints only those emit values that agree with another in two of ``radius + 2``
+blocks of bits, as all do that have another within the radius.
 """
 
 from __future__ import annotations
@@ -120,42 +122,69 @@ def near_links(distinct: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -
     )
 
 
+def crowded(distinct: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``distinct`` whose ``bits`` may have another value within ``radius``, and no others if possible.
+
+    Of ``radius + 2`` blocks of bits such values share two. A row emits its bits in every pair of blocks, and
+    stays if one of these also comes from another row; nothing is paired, so a frequent one is only counted.
+    """
+    cuts = [64 * k // (radius + 2) for k in range(radius + 3)]
+    blocks = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+    masks = [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
+    emitted = distinct.select(*by, "bits", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("pair", "mask"))
+    emitted = emitted.select(*by, "bits", "pair", F.col("bits").bitwiseAND(F.col("mask")).alias("part"))
+    key = [*by, "pair", "part"]
+    met = materialize(emitted.groupBy(*key).count().where("count > 1").select(*key))
+    return emitted.join(broadcast_if_small(met), key, "left_semi").select(*by, "bits").distinct()
+
+
 def _seeded_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between arrays ``bits`` that connect all within ``radius`` in the value of some seed.
+    """Links (a, b) between the ``node`` numbers of arrays ``bits`` that connect all within ``radius`` in some seed.
 
-    Each value of a seed is stood for by its least array: arrays that share a value are linked to it, and
-    close values by theirs. Only values of several arrays are joined with all arrays.
+    Each value of a seed is stood for by its least node: nodes that share a value are linked to it, and
+    close values by theirs. Only values of several nodes are joined with all nodes.
     """
-    each = distinct.select(F.col("bits").alias("b"), F.posexplode("bits").alias("seed", "value"))
-    each = each.select(F.struct("seed", "value").alias("value"), "b")
-    heads = materialize(each.groupBy("value").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("arrays")))
-    shared = spread_join(each, heads.where("arrays > 1").select("value", "a"), "value", "b").where("a != b").select("a", "b")
-    close = near_links(heads.select("value.seed", F.col("value.value").alias("bits")), radius, ("seed",))
+    each = distinct.select(F.col("node").alias("b"), F.posexplode("bits").alias("seed", "value"))
+    heads = materialize(each.groupBy("seed", "value").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("nodes")))
+    value = F.struct("seed", "value").alias("value")
+    several = heads.where("nodes > 1").select(value, "a")
+    shared = spread_join(each.select(value, "b"), several, "value", "b").where("a != b").select("a", "b")
+    close = crowded(heads.select("seed", F.col("value").alias("bits")), radius, ("seed",))
+    close = materialize(near_links(close, radius, ("seed",)))
 
-    def end(name: str) -> DataFrame:
-        return heads.select(F.col("value.seed").alias("seed"), F.col("value.value").alias(name), F.col("a").alias(f"{name}_array"))
+    def end(links: DataFrame, name: str) -> DataFrame:
+        least = heads.select("seed", F.col("value").alias(name), F.col("a").alias(f"{name}_node"))
+        return least.join(broadcast_if_small(links, BROADCAST_LINKS), ["seed", name])
 
-    near = close.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"])
-    return shared.unionByName(near.select(F.col("a_array").alias("a"), F.col("b_array").alias("b")))
+    near = end(materialize(end(close, "a")), "b")
+    return materialize(shared.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))))
 
 
 def _grouped(documents: DataFrame, size: int, radius: int, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """(doc_id, bits) of all rows, and (bits, component, component_id) of all distinct fingerprints."""
     rows = materialize(fingerprints(documents, size, seeds))
-    distinct = materialize(rows.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    links = near_links(distinct, radius) if len(seeds) == 1 else _seeded_links(distinct, radius)
-    labels = components(links).withColumnRenamed("node", "bits")
-    merged = distinct.join(labels, "bits")
+    distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    if len(seeds) == 1:
+        distinct = materialize(distinct).withColumn("node", F.col("bits"))
+        links = near_links(distinct, radius)
+    else:
+        distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
+        links = _seeded_links(distinct, radius)
+    merged = distinct.select("node", "least").join(components(links), "node")
     named = merged.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = spread_join(merged, named, "label", "bits").select("bits", "label", "component_id")
-    groups = distinct.join(linked, "bits", "left").select(
+    linked = spread_join(merged, named, "label", "node").select("node", "label", "component_id")
+    groups = distinct.join(linked, "node", "left").select(
         "bits",
-        F.coalesce("label", "bits").alias("component"),
+        F.coalesce("label", "node").alias("component"),
         F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return rows, materialize(groups)
 
 
+#: Links up to which they are broadcast.
+BROADCAST_LINKS = 1_000_000
+
+
 def near_duplicates(documents: DataFrame, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``documents``.
 

@@ -5,7 +5,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from otindex.llm.components import components
-from otindex.llm.simhash import deduplicate, fingerprint, near_duplicates, near_links
+from otindex.llm.simhash import crowded, deduplicate, fingerprint, near_duplicates, near_links
 
 SCHEMA = "doc_id bigint, text string, fingerprint string, label long"
 
@@ -138,3 +138,18 @@ def test_maps_and_dotted_names(spark):
         kept = deduplicate(spark.createDataFrame(rows, schema), seed=seed)
         assert kept.columns == ["doc_id", "text", "a.b", "c`d", "m"]
         assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[1], rows[3])))
+
+
+@pytest.mark.parametrize("radius", [0, 2, 4])
+def test_only_values_that_may_have_a_close_one_emit_their_ball(spark, radius):
+    """Whoever has another within the radius stays; nearly all of the scattered rest emits nothing."""
+    rng = random.Random(9)
+    alone, pairs = {(s, rng.getrandbits(64)) for s in (0, 1) for _ in range(300)}, set()
+    for k in range(60):
+        value = rng.getrandbits(64)
+        pairs |= {(k % 2, value), (k % 2, value ^ sum(1 << b for b in rng.sample(range(64), max(1, radius))))}
+    signed = [(s, v - (1 << 64) if v >> 63 else v) for s, v in alone | pairs]
+    kept = {(r.seed, r.bits % (1 << 64)) for r in crowded(spark.createDataFrame(signed, "seed int, bits bigint"), radius, ("seed",)).collect()}
+    if radius:
+        assert pairs <= kept
+    assert len(kept - pairs) < 30
