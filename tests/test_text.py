@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,53 @@ def test_entries_other_than_zero_are_read_from_dense_vectors(tokens, monkeypatch
     }
     found = [tuple(r) for r in tx.nonzero_counts(blocks).collect()]
     assert len(found) == len(expected) > 6 and set(found) == expected
+
+
+@pytest.mark.parametrize("oov", ["bucket", "drop"])
+def test_distributions_read_each_text_once(tokens, oov):
+    """Documents with ids of their own are counted in their task: one scan, no join, no shuffle."""
+    words = tx.build_vocabulary(tokens, 2)
+    plan = tx.doc_distributions(tokens, words, oov)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Union" not in plan
+    assert "sort_array" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("limit", [1_000, 1])
+@pytest.mark.parametrize("oov", ["bucket", "drop"])
+def test_distributions_of_repeated_and_missing_ids(spark, oov, limit):
+    """Rows that share an id, null too, share their total or their bucket."""
+    texts = [(1, "a a b x y"), (2, "b c z"), (2, "a b z z"), (None, "a c"), (None, "q a"), (3, None), (4, ""), (5, "q q")]
+    tokenized = tx.tokenize(spark.createDataFrame(texts, "doc_id long, text string"))
+    words = spark.createDataFrame([(0, "a", 9), (1, "b", 8), (2, "c", 7)], "word_id int, word string, freq long")
+    found = sorted(map(str, map(tuple, tx.doc_distributions(tokenized, words, oov, limit).collect())))
+    if oov == "bucket":
+        expected = [
+            (1, 0, 2 / 5), (1, 1, 1 / 5), (1, 3, 2 / 5), (2, 1, 1 / 3), (2, 2, 1 / 3), (2, 0, 1 / 4), (2, 1, 1 / 4),
+            (2, 3, 3 / 4), (None, 0, 1 / 2), (None, 2, 1 / 2), (None, 0, 1 / 2), (None, 3, 1 / 2), (5, 3, 1.0),
+        ]
+    else:
+        expected = [
+            (1, 0, 2 / 3), (1, 1, 1 / 3), (2, 1, 1 / 4), (2, 2, 1 / 4), (2, 0, 1 / 4), (2, 1, 1 / 4),
+            (None, 0, 1 / 3), (None, 2, 1 / 3), (None, 0, 1 / 3),
+        ]
+    assert found == sorted(map(str, expected))
+
+
+def test_pieces_are_whole_documents_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(tx, "PIECE_TOKENS", 3)
+    tokens = [["a"], None, ["b", "a"], ["c"], ["d"] * 5, [], ["a", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    pieces = list(tx._batch_pieces(batch))
+    assert [p.column("doc_id").to_pylist() for p, _ in pieces] == [[0, 1, 2], [3], [4], [5, 6]]
+    for piece, sizes in pieces:
+        row, code, words = tx._encoded(piece, sizes)
+        assert [words[c].as_py() for c in code] == [t for some in piece.column("tokens").to_pylist() for t in some or []]
+        assert list(sizes) == [len(some or []) for some in piece.column("tokens").to_pylist()]
+
+
+def test_word_counts_of_any_tokens(spark):
+    """Null tokens count for the length only, empty and missing arrays give nothing."""
+    rows = [("p", ["b", None, "a", "b"]), ("q", []), ("r", None), ("s", [None]), ("t", ["a"])]
+    counted = tx.word_counts(spark.createDataFrame(rows, "doc_id string, tokens array<string>"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, counted.collect())) == [("p", 4, "a", 1), ("p", 4, "b", 2), ("t", 1, "a", 1)]
