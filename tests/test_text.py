@@ -1,4 +1,6 @@
 from collections import Counter
+from datetime import datetime
+from math import log
 
 import pyarrow as pa
 import pytest
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 
 from otindex.functions.stopwords import ENGLISH
 from otindex.operators import text as tx
+from otindex.sources.corpus import attach_dates
+from workloads.text import _commonness
 
 SENTENCES = ["This is a sentence", "this is ANOTHER sentence.", "", "this is jslf", "... !!"]
 
@@ -153,3 +157,28 @@ def test_word_counts_of_any_tokens(spark):
     counted = tx.word_counts(spark.createDataFrame(rows, "doc_id string, tokens array<string>"))
     assert counted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(tuple, counted.collect())) == [("p", 4, "a", 1), ("p", 4, "b", 2), ("t", 1, "a", 1)]
+
+
+def test_dates_are_found_by_ids_alone(spark):
+    """Texts are not shuffled to find their dates, which may be several; ids that are null or unknown have none."""
+    documents = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d"), (9, "e")], "doc_id long, text string")
+    dates = spark.createDataFrame([(k, f"2020-01-{k + 1:02d}") for k in (1, 2, 2, 3)] + [(None, "2020-01-09")], "k long, day string")
+    found = attach_dates(documents, dates, "k", "day")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["doc_id", "ts", "text"]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "2020-01-02", "a"), (1, "2020-01-02", "d"), (2, "2020-01-03", "b"), (2, "2020-01-03", "b"),
+    ]
+
+
+def test_the_commonness_of_words_by_hand(spark, tmp_path):
+    """The mean log frequency over all tokens, for rows that share an id too; texts are neither sorted nor sent to Python."""
+    texts = [(1, "a a b"), (2, "a a x"), (3, ""), (4, None), (5, "a q b b b b")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    orders = [(k, datetime(2020, 1, k)) for k in range(1, 6)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    scored = _commonness(spark, str(tmp_path))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "MapInArrow" not in plan
+    common = log(5)
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({1: common, 2: 2 * common / 3, 5: 5 * common / 6})
