@@ -97,6 +97,27 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert out == {**{k: 0 for k in range(61)}, **{k: 1000 for k in range(1000, 1300)}}
 
 
+def test_links_within_a_component_are_joined_once(spark, monkeypatch):
+    """Rounds go on with what is still apart: the links of a dense group are not joined in each of them."""
+    from otindex.llm import components as module
+
+    rng, joined = random.Random(11), []
+    links = [(a, b) for b in range(1, 200) for a in rng.sample(range(b), min(b, 12))] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000)]
+    way = rng.sample(range(2000, 2020), 20)
+    links += list(zip(way[1:], way))
+    whole = module.spread_join
+
+    def counted(left, right, key, *more):
+        if key in ("a", "b"):
+            joined.append(left.count())
+        return whole(left, right, key, *more)
+
+    monkeypatch.setattr(module, "spread_join", counted)
+    out = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {**{k: 0 for k in range(200)}, **{k: 1000 for k in range(1000, 1101)}, **{k: 2000 for k in way}, 5000: 5000}
+    assert len(joined) > 2 and sum(joined) <= 2.5 * len(links)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and deduplicate(empty).count() == 0
