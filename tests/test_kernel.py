@@ -1,5 +1,7 @@
 """The kernel made from word vectors, sparse targets, stacked log-domain solvers, and stored states."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from otindex.functions import kernel as kn
 from otindex.functions import scaling as sc
 from otindex.operators import barycenter as bc
 from otindex.operators import gradients as gr
+from otindex.operators import transport as tr
 from otindex.operators.barycenter import barycenter
 from otindex.operators.distance import pairwise_distance
 from otindex.operators.ground import DenseCost, VectorCost
@@ -250,6 +253,36 @@ def test_pairs_from_vectors_equal_pairs_from_the_cost(spark, make, domain):
         sinkhorn_pairs(empty, a, b, vector_table(spark, X), 0.4, strategy="relational")
 
 
+@pytest.mark.parametrize("domain", ["exp", "log"])
+def test_a_large_pair_is_solved_in_blocks(domain):
+    """In blocks, kept or not, a pair has the potentials, rounds and costs of its dense cost."""
+    rng, eps = np.random.default_rng(12), 0.4
+    X, Y = vectors(30, 3), vectors(70, 3, seed=1)
+    a, b, C = rng.dirichlet(np.ones(30)), rng.dirichlet(np.ones(70)), direct(X, Y)
+    f, g, status, rounds, error = sc.scale_pairs_log(C[None], a[None], b[None], eps, 500, 1e-9)
+    mass = np.exp((f[0][:, None] + g[0][None, :] - C) / eps)
+    for kept in (0, 500, 10_000):
+        found = tr.solve_in_blocks(kn.PairKernel(X, Y, eps, values=100, kept=kept), a, b, 500, 1e-9, domain)
+        plan = np.exp((found[0][:, None] + found[1][None, :] - C) / eps)
+        assert plan == pytest.approx(mass, abs=1e-9)
+        assert found[2:4] == (status[0], rounds[0]) and found[4] == pytest.approx(error[0], abs=1e-12)
+        assert found[5] == pytest.approx((mass * C).sum(), abs=1e-9)
+        assert found[6] == pytest.approx((mass * (eps * np.log(mass) + C - eps)).sum(), abs=1e-9)
+
+
+@pytest.mark.parametrize("domain", ["auto", "log"])
+def test_memory_of_a_pair_does_not_grow_with_its_coupling(domain):
+    """500 x 20,000 words, whose coupling alone has 80 MB, once as costs and once as kernel."""
+    rng = np.random.default_rng(13)
+    X, Y = vectors(500, 3), vectors(20_000, 3, seed=1)
+    a, b = rng.dirichlet(np.ones(500)), rng.dirichlet(np.ones(20_000))
+    tracemalloc.start()
+    found = tr.solve_in_blocks(kn.PairKernel(X, Y, 0.4, values=100_000, kept=1_000_000), a, b, 2, 0.0, domain)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[3] == 2 and np.isfinite(found[5]) and peak < 40_000_000
+
+
 def test_a_group_is_held_by_its_numbers_not_its_members(make, monkeypatch):
     """A group of many members is solved in one task while its numbers fit, whatever its members."""
     rng = np.random.default_rng(5)
