@@ -312,3 +312,20 @@ def test_small_batches_are_walked_through_in_runs(tables, monkeypatch, tmp_path,
         one, two = (sorted(tuple(r) for r in getattr(m, name).collect()) for m in (single, runs))
         flat = [[x for r in t for c in r for x in (c if isinstance(c, list) else [c])] for t in (one, two)]
         assert len(one) > 0 and flat[0] == pytest.approx(flat[1], abs=1e-9)
+
+
+def test_the_query_trains_for_the_epochs_and_rounds_of_the_reference(spark, tmp_path, monkeypatch):
+    from workloads import learning
+
+    rows = [(s, float(q)) for s in range(70) for q in range(1, 6) for _ in range(1 + (s * q) % 4)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    fit, models = dl.fit, []
+    monkeypatch.setattr(dl, "fit", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
+    topics = learning.wdl_fit(spark, str(tmp_path))
+    (model,) = models
+    assert (model.spec.max_iter, model.spec.tol) == (1000, 1e-8)
+    told = model.history.orderBy("step").collect()
+    assert [(r.epoch, r.batch) for r in told] == [(e, b) for e in range(5) for b in range(2)]
+    assert [r.converged + r.max_iter + r.nonfinite for r in told] == [64, 6] * 5
+    by_topic = topics.groupBy("topic").agg(F.sum("p").alias("p"), F.count("*").alias("n")).collect()
+    assert len(by_topic) == 3 and all(r.n == 5 and r.p == pytest.approx(1) for r in by_topic)
