@@ -182,3 +182,29 @@ def test_the_commonness_of_words_by_hand(spark, tmp_path):
     assert "sort_array" not in plan and "MapInArrow" not in plan
     common = log(5)
     assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({1: common, 2: 2 * common / 3, 5: 5 * common / 6})
+
+
+def test_dense_vectors_are_filled_and_read_in_one_task(tokens):
+    """Dense arrays do not travel: one scan, one Python stage, no join, no shuffle."""
+    words = tx.build_vocabulary(tokens, 2)
+    plan = tx.nonzero_counts(tx.count_vectors(tokens, words, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("limit", [1_000, 1])
+def test_vectors_of_repeated_and_missing_ids(spark, monkeypatch, limit):
+    """Rows that share an id have the words of all, those without one have none; either way of filling agrees."""
+    monkeypatch.setattr(tx, "DENSE_VALUES", 4)
+    texts = [(1, "a a b x y"), (2, "b c z"), (2, "a b z z"), (None, "a c"), (3, None), (4, ""), (5, "q q"), (6, "c")]
+    tokenized = tx.tokenize(spark.createDataFrame(texts, "doc_id long, text string"))
+    words = spark.createDataFrame([(0, "a", 9), (1, "b", 8), (2, "c", 7)], "word_id int, word string, freq long")
+    blocks = tx.count_vectors(tokenized, words, 2, limit)
+    assert sorted((r.doc_id or 0, r.block, r.counts) for r in blocks.collect()) == sorted(
+        (d, k, counts[2 * k : 2 * k + 2])
+        for d, counts in [(0, [0] * 3), (1, [2, 1, 0]), (2, [1] * 3), (2, [1] * 3), (3, [0] * 3), (4, [0] * 3), (5, [0] * 3), (6, [0, 0, 1])]
+        for k in range(2)
+    )
+    found = [(1, 0, 2, 0, 2), (1, 0, 2, 1, 1), (6, 1, 1, 0, 1), *[(2, 0, 2, 0, 1), (2, 0, 2, 1, 1), (2, 1, 1, 0, 1)] * 2]
+    assert sorted(map(tuple, tx.nonzero_counts(blocks).collect())) == sorted(found)
+    empty = tx.count_vectors(tokenized, words.where("false"), 2, limit)
+    assert [(r.block, r.counts) for r in empty.collect()] == [(0, [])] * len(texts)
