@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from otindex.operators import linalg as la
 from otindex.operators import svd
 from otindex.operators import distance
 from otindex.operators.distance import check_symmetric, pairwise_distance
+from otindex.session import made_in_tasks, read_in_tasks
 
 GOLDEN = [[20, 10, 15, 0, 2], [10, 5, 8, 1, 0], [0, 1, 2, 6, 3], [1, 0, 0, 10, 5]]
 
@@ -192,3 +194,30 @@ def test_check_symmetric_with_indices_far_apart(spark):
     far = 1 << 62
     rows = [(-far, far, 1.0), (far, -far, 1.0), (-far, -far, 0.0), (5, far, 2.0), (far, 5, 3.0)]
     assert tuple(check_symmetric(spark.createDataFrame(rows, "i bigint, j bigint, cost double").coalesce(1)).first()) == (5, 1)
+
+
+def test_entries_are_checked_in_the_tasks_that_make_them(spark, monkeypatch):
+    """Only ranges travel; gaps, lone entries and pairs of two tasks are found as in a plain table."""
+
+    def make(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                rows = [(k, 5, 1.0), (5, k, 1.0 + (k == 1)), (k, k, 0.0), [(7, 8, 2.0), (8, 7, 2.0), (9, 3, float("nan"))][k]]
+                i, j, cost = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(cost)], ["i", "j", "cost"])
+
+    made = made_in_tasks(spark.range(3).repartition(3, "id"), make, "i int, j int, cost double")
+    assert read_in_tasks(made.select("i", "j", "cost"), make, "i int") is None
+    plain = tuple(check_symmetric(made.select("i", "j", "cost")).first())
+    vectors = spark.range(300).selectExpr("cast(id as int) AS word_id", "array(cast(id as double), 1.0D) AS vec")
+    monkeypatch.setattr(distance, "_ranges", None)
+    assert tuple(check_symmetric(made).first()) == plain == (12, 2)
+    assert tuple(check_symmetric(pairwise_distance(vectors, tile=8)).first()) == (90_000, 0)
+
+
+def test_neighbouring_tiles_make_long_ranges(spark):
+    vectors = spark.range(512).selectExpr("cast(id as int) AS word_id", "array(cast(id as double), 1.0D) AS vec")
+    cost = pairwise_distance(vectors, tile=8)
+    ranges = read_in_tasks(cost, lambda batches: distance._packed(0.0)(distance._keyed(batches)), distance.RANGES)
+    # 2,080 tiles, each with ranges of its 8 first indices, come in groups of four
+    assert ranges.count() < 8 * 2_080 / 3 and ranges.agg(F.sum("n")).first()[0] == 512 * 512
